@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .quality_rules import repetition_rules
 from .simhash import simhash_groups
+from .suffix_dedup import repeated_spans
 from .token_files import token_file_index
 
 
@@ -18,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_spans(table(spark, sf_dir, "documents"), min_bytes=200)
+    return cut.select(
+        "doc_id",
+        F.col("text_bytes").alias("n_bytes"),
+        (F.col("text_bytes") - F.length("kept_bytes")).cast("long").alias("n_removed"),
+        F.size("removed_spans").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select(
@@ -41,7 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op5_simhash, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op5_simhash, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
