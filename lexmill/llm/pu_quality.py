@@ -122,7 +122,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     trusted = hash_sample(marked.where("label = 1"), "doc_id", fit_rows, 11)
     free = hash_sample(source.select("doc_id").where(in_training()), "doc_id", fit_rows, 12).select("doc_id", F.lit(0).alias("label")).distinct()
     rows = [r for part in (trusted, free) for r in _feature_rows(source.join(F.broadcast(part), "doc_id").select("doc_id", "text", "label")).orderBy("doc_id", "x").collect()]
-    x = np.frombuffer(b"".join(r.x for r in rows), "<f8").reshape(len(rows), -1)
+    x = np.frombuffer(b"".join(r.x for r in rows), "<f8").reshape(-1, len(NAMES))
     is_positive = np.array([r.label == 1 for r in rows])
     if is_positive.all() or not is_positive.any():
         return None
