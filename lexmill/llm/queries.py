@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .decontaminate import find_contamination
+from .html_extract import extract_main_text
+from .licenses import oracle as license_sql
+from .licenses import scan_licenses
 from .pu_quality import quality_scores
 from .quality_rules import repetition_rules
 from .simhash import simhash_groups
@@ -47,6 +50,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return scan_licenses(files)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -68,8 +81,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_decontaminate, op5_simhash, op6_quality, op7_toxicity, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_decontaminate, op4_html_text, op5_simhash, op6_quality, op7_toxicity, op8_licenses, op9_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licenses": license_sql()}
