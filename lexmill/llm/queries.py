@@ -80,8 +80,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_decontaminate, op4_html_text, op5_simhash, op6_quality, op7_toxicity, op8_licenses, op9_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_decontaminate, op4_html_text, op5_simhash, op6_quality, op7_toxicity, op8_licenses, op9_quality_rules, op10_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
