@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not now[0] or now == mark:
             break
         mark = now
-        links = staged(_small_star(_large_star(links)), "links")
+        before, links = links, staged(_small_star(_large_star(links)), "links")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

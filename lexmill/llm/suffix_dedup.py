@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, split_rows, staged, text_slices, utf8
+from .common import discard, id_type, split_rows, staged, text_slices, utf8
 
 ANCHOR = 32
 #: Piece bytes that one construction holds (whole groups; a group has at most HOT pieces).
@@ -183,37 +183,42 @@ def _spans(docs: DataFrame, min_bytes: int, hot: int) -> DataFrame:
             datas = utf8(part.column("text"))
             sizes = np.fromiter(map(len, datas), np.int64, len(datas))
             d, s, n, at, key = anchor_runs(np.frombuffer(b"".join(datas), np.uint8), sizes, min_bytes)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), part.column("th").take(pa.array(d)), pa.array(key, pa.int64()), pa.array(s, pa.int32()), pa.array(at - s, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "th", "key", "s", "rel", "n"])
+            by = np.lexsort((s, key, d))  # a row for each key of a document, with all its runs
+            d, s, n, at, key = d[by], s[by], n[by], at[by], key[by]
+            first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (key[1:] != key[:-1]))[: len(d)])
+            runs = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (s, at - s, n)], ["s", "rel", "n"])
+            runs = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), runs)
+            who = pa.array(d[first])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("th").take(who), pa.array(key[first], pa.int64()), runs], ["doc_id", "th", "key", "at"])
 
     who = f"doc_id {kind}, th long"
-    anchors = staged(docs.mapInArrow(anchor_kernel, f"{who}, key long, s int, rel int, n int"), "anchors")
-    twice = anchors.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    per_doc = anchors.join(twice, "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "s", "rel", "n")).alias("hits"), F.count("*").alias("rows"))
+    anchors = staged(docs.mapInArrow(anchor_kernel, f"{who}, key long, at array<struct<s: int, rel: int, n: int>>"), "anchors")
+    twice = anchors.groupBy("key").agg(F.sum(F.size("at")).alias("c")).where("c > 1").drop("c")
+    per_doc = anchors.join(twice, "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "at")).alias("hits"))
 
     def cut_kernel(batches):
         import xxhash
 
         for part in text_slices(batches):
-            out = {x: [] for x in ("key", "ph", "s", "rel", "n", "piece")}
-            row_of = []
+            found: dict[tuple[int, int, int], tuple[int, bytes, list[int]]] = {}  # equal pieces of a document are one row
             for i, (data, hits) in enumerate(zip(utf8(part.column("text")), part.column("hits").to_pylist(), strict=True)):
                 for h in hits:
-                    piece = data[h["s"] : h["s"] + h["n"] - 1 + min_bytes]
-                    out["piece"].append(piece)
-                    out["ph"].append(xxhash.xxh64_intdigest(piece, 7) - (1 << 63))
-                    for x in ("key", "s", "rel", "n"):
-                        out[x].append(h[x])
-                    row_of.append(i)
-            at = pa.array(row_of, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("th").take(at), pa.array(out["key"], pa.int64()), pa.array(out["ph"], pa.int64()), *(pa.array(out[x], pa.int32()) for x in ("s", "rel", "n")), pa.array(out["piece"], pa.binary())], ["doc_id", "th", "key", "ph", "s", "rel", "n", "piece"])
+                    for r in h["at"]:
+                        piece = data[r["s"] : r["s"] + r["n"] - 1 + min_bytes]
+                        found.setdefault((i, h["key"], xxhash.xxh64_intdigest(piece, 7) - (1 << 63)), (r["rel"], piece, []))[2].append(r["s"])
+            row_of, key, ph = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            rel, piece, starts = zip(*found.values(), strict=True) if found else ((), (), ())
+            at = pa.array(row_of)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("th").take(at), pa.array(key), pa.array(ph), pa.array(rel, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(piece, pa.binary())], ["doc_id", "th", "key", "ph", "rel", "starts", "piece"])
 
     joined = docs.join(per_doc.select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "hits"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "hits")
-    pieces = staged(joined.mapInArrow(cut_kernel, f"{who}, key long, ph long, s int, rel int, n int, piece binary"), "pieces")
+    pieces = staged(joined.mapInArrow(cut_kernel, f"{who}, key long, ph long, rel int, starts array<int>, piece binary"), "pieces")
+    discard(anchors)
 
-    kinds = pieces.groupBy("key", "ph").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    kinds = pieces.groupBy("key", "ph").agg(F.sum(F.size("starts")).alias("copies"), F.first(F.length("piece") - min_bytes).cast("int").alias("last"))
     per_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
     kinds = staged(kinds.join(per_key, "key"), "kinds")
-    copied = kinds.where("copies > 1").select("key", "ph", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("runs"))
+    copied = kinds.where("copies > 1").select("key", "ph", F.array(F.struct(F.lit(0).alias("a"), F.col("last").alias("b"))).alias("runs"))
 
     def distinct(condition: str) -> DataFrame:
         return pieces.join(kinds.where(condition).select("key", "ph"), ["key", "ph"], "left_semi").groupBy("key", "ph").agg(F.first("rel").alias("rel"), F.first("piece").alias("piece"))
@@ -222,9 +227,11 @@ def _spans(docs: DataFrame, min_bytes: int, hot: int) -> DataFrame:
     if kinds.where(F.col("kinds") > hot).limit(1).count():
         flags = flags.unionByName(_settle_hot(distinct(f"kinds > {hot}"), min_bytes))
     flags = flags.where(F.size("runs") > 0)
-    spans = pieces.select("doc_id", "th", "key", "ph", "s").join(flags, ["key", "ph"]).select("doc_id", "th", "s", F.explode("runs").alias("r"))
+    spans = pieces.select("doc_id", "th", "key", "ph", "starts").join(flags, ["key", "ph"]).select("doc_id", "th", "runs", F.explode("starts").alias("s")).select("doc_id", "th", "s", F.explode("runs").alias("r"))
     spans = spans.select("doc_id", "th", F.struct((F.col("s") + F.col("r.a")).alias("start"), (F.col("s") + F.col("r.b") + min_bytes).alias("end")).alias("span"))
-    return spans.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
+    spans = staged(spans.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(pieces, kinds)
+    return spans
 
 
 def merge_spans(spans: list[dict]) -> list[tuple[int, int]]:
