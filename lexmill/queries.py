@@ -1,3 +1,9 @@
 """Registry of the queries: key -> (Spark function, DuckDB SQL or None)."""
 
+from __future__ import annotations
+
+from lexmill.plans import graph
+
 QUERIES: dict = {}
+for topic in (graph,):
+    QUERIES |= topic.QUERIES
