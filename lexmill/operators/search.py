@@ -70,7 +70,7 @@ def bm25(chunks: DataFrame, query_terms: list[str], key: str = "chunk_id", scope
 def fuse(semantic: DataFrame, lexical: DataFrame, weight: float = 0.7, key: str = "chunk_id", how: str = "full") -> DataFrame:
     """(key, semantic_score, bm25_score, hybrid_score): weighted sum over the full outer join, missing scores 0."""
     both = semantic.join(lexical, key, how).select(key, F.round(F.coalesce("score", F.lit(0.0)), 6).alias("semantic_score"), F.round(F.coalesce("bm25", F.lit(0.0)), 6).alias("bm25_score"))
-    return both.withColumn("hybrid_score", F.round(weight * F.col("semantic_score") + (1 - weight) * F.col("bm25_score"), 6))
+    return both.withColumn("hybrid_score", F.round(weight * F.col("semantic_score") + (1 - weight) * F.col("bm25_score"), 7))
 
 
 def top(scored: DataFrame, k: int, score: str = "hybrid_score", key: str = "chunk_id") -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexmill.plans import graph
+from lexmill.plans import assessment, graph, retrieval, text
 
 QUERIES: dict = {}
-for topic in (graph,):
+for topic in (text, graph, retrieval, assessment):
     QUERIES |= topic.QUERIES
