@@ -116,24 +116,32 @@ def mock_distractors(s, sf):
     return _passages(s, sf).select("doc_id", F.array_join(N.three_distractors(words), "|").alias("distractors"))
 
 
-def _p(name):
-    """Query of a prompt's digest."""
-    words = F.filter(F.split("passage", " "), lambda w: w != "")
-    build = {
-        "prompt_mcq": lambda: N.mcq_prompt(c("passage"), c("lang"), c("doc_id"), F.slice(words, F.lit(1), (c("doc_id") % 9).cast("int"))),
-        "prompt_batch": lambda: N.batch_prompt(c("passage"), c("lang"), c("doc_id") % 5 + 1, F.lit("- Q1: easy")),
-        "prompt_distractor": lambda: N.distractor_prompt(c("passage"), F.lit("right"), F.slice(words, 1, 8)),
-        "prompt_short": lambda: N.short_prompt(c("passage"), c("lang")),
-        "prompt_tf": lambda: N.true_false_prompt(c("passage"), F.lit("vi")),
-    }[name]
+def _some_words():
+    return F.filter(F.split("passage", " "), lambda w: w != "")
 
-    def run(s, sf):
-        return _passages(s, sf).select("doc_id", F.md5(build()).alias("prompt_md5"))
 
-    return run
+def _digest(s, sf, prompt):
+    return _passages(s, sf).select("doc_id", F.md5(prompt).alias("prompt_md5"))
 
 
-prompt_mcq, prompt_batch, prompt_distractor, prompt_short, prompt_tf = map(_p, ("prompt_mcq", "prompt_batch", "prompt_distractor", "prompt_short", "prompt_tf"))
+def prompt_mcq(s, sf):
+    return _digest(s, sf, N.mcq_prompt(c("passage"), c("lang"), c("doc_id"), F.slice(_some_words(), F.lit(1), (c("doc_id") % 9).cast("int"))))
+
+
+def prompt_batch(s, sf):
+    return _digest(s, sf, N.batch_prompt(c("passage"), c("lang"), c("doc_id") % 5 + 1, F.lit("- Q1: easy")))
+
+
+def prompt_distractor(s, sf):
+    return _digest(s, sf, N.distractor_prompt(c("passage"), F.lit("right"), F.slice(_some_words(), 1, 8)))
+
+
+def prompt_short(s, sf):
+    return _digest(s, sf, N.short_prompt(c("passage"), c("lang")))
+
+
+def prompt_tf(s, sf):
+    return _digest(s, sf, N.true_false_prompt(c("passage"), F.lit("vi")))
 
 
 def llm_token_budget(s, sf):

@@ -35,7 +35,7 @@ def _semantic(s, sf):
 
 
 def vec_normalize(s, sf):
-    v = V.normalized(F.transform("embedding", lambda x: x * 3))
+    v = V.normalized(F.transform("embedding", lambda x: x.cast("double") * 4))
     return X.table(s, sf, "embeddings").select("vec_id", F.round(v[0], 6).alias("first"), F.round(V.norm(v), 6).alias("length"))
 
 
@@ -352,7 +352,7 @@ def _v(names: str, ctes: str, body: str) -> str:
 
 
 SQL = {
-    "vec_normalize": "with n as (select vec_id, list_transform(embedding::double[], lambda x: (x * 3)::float::double) v from embeddings) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as first, 1.0::double as length from n",
+    "vec_normalize": "with n as (select vec_id, list_transform(embedding::double[], lambda x: x * 4) v from embeddings) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as first, 1.0::double as length from n",
     "vec_add_stats": "select count(*) n_added, count(*) filter (vec_id % 3 <> 0) n_new, count(*) filter (vec_id % 3 = 0) n_duplicate from embeddings where vec_id % 2 = 0",
     "vec_topk": _v("vectors", SEM, f"select chunk_id, round(score, 6) score from sem order by 2 desc, 1 limit {K}"),
     "vec_topk_batch": _v("vectors", RANK, "select qid, chunk_id, score, rank::int rank from ranked"),
