@@ -55,7 +55,7 @@ def anchor_runs(joined: np.ndarray, sizes: np.ndarray, min_bytes: int) -> tuple[
     width = min_bytes - ANCHOR + 1
     if len(hashes) < width:
         return empty
-    bits = np.uint64(max(16, int(len(joined)).bit_length()))
+    bits = np.uint64(32)  # the same in every batch: equal windows then choose alike, ties of the upper half go to the left
     least = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
     size = 1
     while 2 * size <= width:
