@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import id_type, keyed_text, staged, text_slices, texts
 
 Q = 8
+#: Length of the q-grams that are counted once more inside a candidate region: shorter ones leave fewer false candidates.
+REGION_Q = 4
 #: Edits allowed, as a share of a passage's characters.
 EDITS = 0.1
 #: Benchmark characters of one pass over the documents. What is broadcast is at most about 40 bytes for each,
@@ -101,6 +103,12 @@ def align(pattern: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, in
     return (edits, start, m + at - budget) if edits <= budget else None
 
 
+def may_match(pattern: np.ndarray, region: np.ndarray, budget: int) -> bool:
+    """q-gram lemma inside a region: whether enough of the pattern's REGION_Q-grams occur there."""
+    grams = gram_hashes(pattern, REGION_Q)
+    return int(np.isin(grams, gram_hashes(region, REGION_Q)).sum()) >= len(grams) - REGION_Q * budget
+
+
 def find_passages(docs: list[str], bench: Benchmark, q: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, item, start, end, edits) of passages in normalised documents: the best one for each pair."""
     joined = "\0".join(docs) + "\0"
@@ -136,7 +144,11 @@ def find_passages(docs: list[str], bench: Benchmark, q: int) -> Iterator[tuple[i
                 s, t = max(0, lo - int(begins[d])), min(int(sizes[d]), hi - int(begins[d]))
                 if t > s and found.get((d, j), (e + 1,))[0]:
                     exact = docs[d].find(pattern, s, t)
-                    got = (0, exact - s, exact - s + len(pattern)) if exact >= 0 else align(_codes(pattern), codes[begins[d] + s : begins[d] + t], e)
+                    if exact >= 0:
+                        got = (0, exact - s, exact - s + len(pattern))
+                    else:
+                        region, symbols = codes[begins[d] + s : begins[d] + t], _codes(pattern)
+                        got = align(symbols, region, e) if may_match(symbols, region, e) else None
                     if got and got < found.get((d, j), (e + 1,)):
                         found[d, j] = (got[0], got[1] + s, got[2] + s)
                 d += 1
