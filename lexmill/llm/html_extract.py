@@ -13,7 +13,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices, texts
+from .common import free_prefix, text_slices, texts
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)""", re.S
@@ -230,11 +230,11 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "
     """
     tree = train_tree(pages.sparkSession, rows)
     others = [c for c in pages.columns if c not in (html_col, out_col)]
-    source = pages.select(*others, F.col(html_col).cast("string").alias("__html"))
+    source = pages.select(*others, F.col(html_col).cast("string").alias(page := free_prefix(pages.columns) + "html"))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in others)
 
     def kernel(batches):
-        for part in text_slices(batches, "__html"):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([main_text(x, tree) for x in texts(part.column("__html"))], pa.string())], [*others, out_col])
+        for part in text_slices(batches, page):
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([main_text(x, tree) for x in texts(part.column(page))], pa.string())], [*others, out_col])
 
     return source.mapInArrow(kernel, f"{schema}{', ' if others else ''}`{out_col}` string")

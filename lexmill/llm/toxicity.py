@@ -94,7 +94,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Tasks count, for each word feature, the sample's documents that have it and those of them that
     are toxic; the ``features`` with the highest chi-squared (ties by name) are kept. The driver gets the sample's
     bits for these only. Later models are trained with out-of-fold predictions of earlier categories, so they see the
-    errors they will meet. Without any label the chain predicts 1/2; with one class, that class's share.
+    errors they will meet. Without any label nothing is toxic: all probabilities are close to 0.
     """
     sample = hash_sample(one_label(labels, id_col, label_col), "doc_id", fit_rows, 7)
     rows = staged(keyed_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id"), "fit")
@@ -136,7 +136,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     got = rows.mapInArrow(bits_kernel, "doc_id string, bits binary").withColumn("fold", F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(FOLDS))).orderBy("doc_id", "bits").collect()
     width = len(chain.features)
     if not got:
-        chain.weights = [np.zeros(width + k + 1) for k in range(len(CATEGORIES))]
+        chain.weights = [np.append(np.zeros(width + k), -30.0) for k in range(len(CATEGORIES))]
         return chain
     bits = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1)
     x, marks = bits[:, :width].astype(np.float32), bits[:, width : width + len(CATEGORIES)].astype(np.float64)

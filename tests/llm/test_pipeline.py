@@ -66,3 +66,20 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert set(kept[4]) == set(kept[3])
     digest = lambda rows: sorted(hashlib.sha256(str((r.doc_id, r.ids)).encode()).hexdigest() for r in rows)
     assert digest(corpus_pipeline.run(spark, folder).collect()) == digest(kept[4].values())
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, hits string, label int, __text string, component_id long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    some = [(1, "a b c", None, None, None, "k", "h", 1, "t", 9), (2, None, None, None, None, None, None, None, None, None), (3, "a b c", "en", "s", 5, "k", "h", 1, "t", 9), (None, "null id", None, None, None, None, None, None, None, None)]
+    for rows in ([], some):
+        frame = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, folder)
+            assert out.columns == frame.columns, name
+            left = [r.doc_id for r in out.collect()]
+            want = [r[0] for r in rows if not (name == "near_duplicates" and r[0] == 3)]
+            assert sorted(map(str, left)) == sorted(map(str, want)), name
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, folder).count() == len(rows)
