@@ -72,15 +72,17 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, steps: int = 15) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the constant."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
+    """Ridge logistic regression by Newton steps over blocks of rows; the last weight is the constant."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        grad, curve = ridge * w, np.diag(ridge)
+        for i in range(0, len(x), 2048):
+            part = np.column_stack([x[i : i + 2048], np.ones(len(x[i : i + 2048]))]).astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            grad += part.T @ (p - y[i : i + 2048])
+            curve += (part * (p * (1 - p))[:, None]).T @ part
         step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
