@@ -109,7 +109,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def words_kernel(batches):
         _check_kind(tokenizer_path)
-        table = piece_table(tokenizer_path, "<i4", "", True)
+        table = piece_table(tokenizer_path, "<i4", False, True)
         for part in text_slices(batches):
             lists = [x.split() for x in utf8(part.column("text"))]
             table.learn(set().union(*lists))

@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     def kernel(batches):
         task = TaskContext.get()
         width = 2 if load_tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
-        lead, rest = piece_table(tokenizer_path, f"<u{width}", ""), piece_table(tokenizer_path, f"<u{width}", " ")
+        lead, rest = piece_table(tokenizer_path, f"<u{width}"), piece_table(tokenizer_path, f"<u{width}", True)
         end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
         out = None
         for part in text_slices(batches):

@@ -10,11 +10,12 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from string import ascii_letters
 
 import numpy as np
 
 #: Entries that a worker's table holds; beyond it, pieces that the current batch does not use are forgotten.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -28,14 +29,51 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+#: Signs behind a word that make one pre-token of their own.
+_TRAIL = b".,;:!?#*$%&|>"
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it prints in Latin-1, else the next from U+0100 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
+
+
 class PieceTable:
-    """ids (little-endian bytes of ``dtype``) and decoded text of pieces; ``prefix`` goes before each piece."""
+    """ids (little-endian bytes of ``dtype``) and decoded text of pieces.
+
+    spaced: the tokenizer is byte-level and each piece follows a space that its first token takes
+    along. Otherwise it normalises pieces, drops white space and marks the end of pre-tokens.
+    """
 
-    def __init__(self, path: str, dtype: str, prefix: str = "", decode: bool = False):
-        self.path, self.dtype, self.prefix, self.decode = path, np.dtype(dtype), prefix, decode
+    def __init__(self, path: str, dtype: str, spaced: bool = False, decode: bool = False):
+        self.path, self.dtype, self.spaced, self.decode = path, np.dtype(dtype), spaced, decode
         self.ids: dict[bytes, bytes] = {}
         self.words: dict[bytes, str] = {}
         self.blank: set[bytes] = set()
+        self.trails: dict[bytes, list[int]] = {b"": []}
+        tokenizer = load_tokenizer(path)
+        self.tokenizer, self.model, self.normalizer = tokenizer, tokenizer.model, tokenizer.normalizer
+        self.lowers = self.normalizer is not None and self.normalizer.normalize_str(ascii_letters) == ascii_letters.lower()
+        self.tokens = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+        self.letters = dict(enumerate(byte_letters()))
+        self.lead = self.letters[32] if spaced else ""
+
+    def word(self, piece: bytes) -> list[int] | None:
+        """ids of Latin letters and signs behind them, whose pre-tokens are plain to see; None: another kind of piece."""
+        core = piece.rstrip(_TRAIL)
+        text = core.decode("utf-8", "replace")
+        if self.normalizer and text:
+            text = text.lower() if self.lowers and core.isascii() else self.normalizer.normalize_str(text)
+        if not text.isalpha() or not (text.isascii() or max(text) <= "\u024f"):
+            return None
+        mapped = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(self.lead + mapped)]
+        trail = piece[len(core) :]
+        if trail not in self.trails:
+            self.trails[trail] = [t.id for t in self.model.tokenize(trail.decode())]
+        return ids + self.trails[trail]
 
     def learn(self, pieces: set[bytes]) -> None:
         new = list(pieces - self.ids.keys())
@@ -43,24 +81,27 @@ class PieceTable:
             self.ids = {p: self.ids[p] for p in pieces if p in self.ids}
             self.words = {p: self.words[p] for p in self.ids if p in self.words}
             self.blank &= self.ids.keys()
-        if not new:
-            return
-        tokenizer = load_tokenizer(self.path)
-        ids = [e.ids for e in tokenizer.encode_batch_fast([self.prefix + p.decode("utf-8", "replace") for p in new], add_special_tokens=False)]
-        flat = np.fromiter((i for x in ids for i in x), self.dtype).tobytes()
-        at, width = 0, self.dtype.itemsize
-        for piece, x in zip(new, ids, strict=True):
-            self.ids[piece] = flat[at : at + width * len(x)]
-            at += width * len(x)
+            self.trails = {b"": []}
+        got = [self.word(p) for p in new]
+        rest = [i for i, x in enumerate(got) if x is None]
+        lead = " " if self.spaced else ""
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([lead + new[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
+            got[i] = e.ids
+        flat, width, at = np.fromiter((i for x in got for i in x), self.dtype).tobytes(), self.dtype.itemsize, 0
+        for piece, x in zip(new, got, strict=True):
+            end = at + width * len(x)
+            self.ids[piece] = flat[at:end]
+            at = end
             if not x:
                 self.blank.add(piece)
-        if self.decode:
-            self.words.update(zip(new, tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True))
+        if self.decode:  # this kind of tokenizer decodes to its tokens, joined by a space
+            tokens = self.tokens
+            self.words.update((p, " ".join([tokens[i] for i in x])) for p, x in zip(new, got, strict=True))
 
 
 @lru_cache(maxsize=8)
-def piece_table(path: str, dtype: str, prefix: str = "", decode: bool = False) -> PieceTable:
-    return PieceTable(path, dtype, prefix, decode)
+def piece_table(path: str, dtype: str, spaced: bool = False, decode: bool = False) -> PieceTable:
+    return PieceTable(path, dtype, spaced, decode)
 
 
 #: A space before which a byte-level pre-tokenizer may not cut: white space or the end follows. First bytes of
