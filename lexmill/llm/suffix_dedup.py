@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_type, split_rows, staged, text_slices, utf8
+from .common import discard, free_prefix, id_type, split_rows, staged, text_slices, utf8
 
 ANCHOR = 32
 #: Piece bytes that one construction holds (whole groups; a group has at most HOT pieces).
@@ -194,7 +194,8 @@ def _spans(docs: DataFrame, min_bytes: int, hot: int) -> DataFrame:
     who = f"doc_id {kind}, th long"
     anchors = staged(docs.mapInArrow(anchor_kernel, f"{who}, key long, at array<struct<s: int, rel: int, n: int>>"), "anchors")
     twice = anchors.groupBy("key").agg(F.sum(F.size("at")).alias("c")).where("c > 1").drop("c")
-    per_doc = anchors.join(twice, "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "at")).alias("hits"))
+    per_doc = staged(anchors.join(twice, "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "at")).alias("hits")), "hits")
+    discard(anchors)
 
     def cut_kernel(batches):
         import xxhash
@@ -213,7 +214,7 @@ def _spans(docs: DataFrame, min_bytes: int, hot: int) -> DataFrame:
 
     joined = docs.join(per_doc.select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "hits"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "hits")
     pieces = staged(joined.mapInArrow(cut_kernel, f"{who}, key long, ph long, rel int, starts array<int>, piece binary"), "pieces")
-    discard(anchors)
+    discard(per_doc)
 
     kinds = pieces.groupBy("key", "ph").agg(F.sum(F.size("starts")).alias("copies"), F.first(F.length("piece") - min_bytes).cast("int").alias("last"))
     per_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
@@ -257,23 +258,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if min_bytes < ANCHOR:
         raise ValueError(f"min_bytes has to be at least {ANCHOR}")
     columns = [c for c in docs.columns if c not in ("removed_spans", "kept_bytes", "text_bytes")]
-    whole = docs.select(*columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__th", F.xxhash64("__text"))
-    spans = _spans(whole.select(F.col(id_col).alias("doc_id"), F.col("__th").alias("th"), F.col("__text").alias("text")), min_bytes, hot)
-    spans = spans.select(F.col("doc_id").alias("__i"), F.col("th").alias("__t"), F.col("spans").alias("__spans"))
-    joined = whole.join(spans, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")), "left").drop("__i", "__t", "__th")
-    keep = [c for c in columns if c != text_col] + [text_col]
-    schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in keep)
+    text, th, i, t, found = (free_prefix(docs.columns) + x for x in ("text", "th", "i", "t", "found"))
+    whole = docs.select(*columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text)).withColumn(th, F.xxhash64(text))
+    spans = _spans(whole.select(F.col(id_col).alias("doc_id"), F.col(th).alias("th"), F.col(text).alias("text")), min_bytes, hot)
+    spans = spans.select(F.col("doc_id").alias(i), F.col("th").alias(t), F.col("spans").alias(found))
+    joined = whole.join(spans, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)), "left").drop(i, t, th)
+    schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in columns)
 
     def kernel(batches):
-        for part in text_slices(batches, "__text"):
+        for part in text_slices(batches, text):
             spans_of, kept, sizes = [], [], []
-            for data, spans in zip(utf8(part.column("__text")), part.column("__spans").to_pylist(), strict=True):
+            for data, spans in zip(utf8(part.column(text)), part.column(found).to_pylist(), strict=True):
                 merged = merge_spans(spans)
                 edges = [0, *(x for s in merged for x in s), len(data)]
                 spans_of.append([{"start": s, "end": e} for s, e in merged])
                 kept.append(b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
                 sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(spans_of, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], [*keep, "removed_spans", "kept_bytes", "text_bytes"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(spans_of, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], [*columns, "removed_spans", "kept_bytes", "text_bytes"])
 
-    # the text itself is only sent to Python once: the original column is put back by name
-    return joined.mapInArrow(kernel, f"{schema}, removed_spans array<struct<start: bigint, end: bigint>>, kept_bytes binary, text_bytes bigint").select(*columns, "removed_spans", "kept_bytes", "text_bytes")
+    return joined.mapInArrow(kernel, f"{schema}, removed_spans array<struct<start: bigint, end: bigint>>, kept_bytes binary, text_bytes bigint")
