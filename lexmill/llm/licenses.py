@@ -34,6 +34,7 @@ THRESHOLD = 0.6
 #: Cosine from which a text that no file name marks counts as a licence file as a whole.
 FILE_THRESHOLD = 0.9
 TERM = "[a-z0-9]+"
+SALTS = 32
 
 
 def _terms(text: Column) -> Column:
@@ -100,8 +101,11 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("at")).distinct()
     nearest = above.join(of_dir, "at").groupBy("dir").agg(F.max(F.struct(F.length("at").alias("n"), "dir_license", "dir_score")).alias("b")).select("dir", "b.dir_license", "b.dir_score")
+    # a directory may hold a third of all rows: its rows are dealt by a salt, its one row here is repeated for each
+    nearest = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("k", key).drop("text").withColumn("salt", F.pmod(F.col("k"), F.lit(SALTS)).cast("int"))
     return (
-        rows.withColumn("k", key).drop("text").join(own, "k", "left").join(nearest, "dir", "left")
+        salted.join(own, "k", "left").join(nearest, ["dir", "salt"], "left")
         .select("doc_id", "path", F.coalesce("license", "dir_license").alias("license"), F.coalesce("score", "dir_score").alias("score"), F.when(F.col("license").isNotNull(), F.col("origin")).when(F.col("dir_license").isNotNull(), "inherited").alias("origin"))
     )
 
