@@ -14,8 +14,9 @@ from string import ascii_letters
 
 import numpy as np
 
-#: Entries that a worker's table holds; beyond it, pieces that the current batch does not use are forgotten.
-TABLE_ENTRIES = 500_000
+#: Entries that a worker's table holds. Beyond it, pieces are forgotten that the current batch does not use and that
+#: no batch has met again; those met again stay, up to half the table.
+TABLE_ENTRIES = 600_000
 
 
 @lru_cache(maxsize=4)
@@ -52,6 +53,7 @@ class PieceTable:
         self.ids: dict[bytes, bytes] = {}
         self.words: dict[bytes, str] = {}
         self.blank: set[bytes] = set()
+        self.again: set[bytes] = set()
         self.trails: dict[bytes, list[int]] = {b"": []}
         tokenizer = load_tokenizer(path)
         self.tokenizer, self.model, self.normalizer = tokenizer, tokenizer.model, tokenizer.normalizer
@@ -77,8 +79,12 @@ class PieceTable:
 
     def learn(self, pieces: set[bytes]) -> None:
         new = list(pieces - self.ids.keys())
+        known = pieces & self.ids.keys()
+        self.again |= known
         if len(self.ids) + len(new) > TABLE_ENTRIES:
-            self.ids = {p: self.ids[p] for p in pieces if p in self.ids}
+            if len(self.again) > TABLE_ENTRIES // 2:
+                self.again = known
+            self.ids = {p: self.ids[p] for p in self.again}
             self.words = {p: self.words[p] for p in self.ids if p in self.words}
             self.blank &= self.ids.keys()
             self.trails = {b"": []}
