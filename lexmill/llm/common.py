@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             at = stop
 
 
+def text_column(start: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Callable[[Column], Column]:
+    """A column made of each row's text: its value stays on the row, whatever the row's id or other columns.
+
+    A task calls ``start`` once for its kernel, which gets the texts in slices as ``text_slices`` cuts them.
+    """
+
+    @F.arrow_udf(kind)
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kernel = start()
+        for batch in batches:
+            parts = [kernel(part.column("text")) for part in text_slices(iter([pa.RecordBatch.from_arrays([batch], ["text"])]))]
+            yield pa.concat_arrays(parts or [kernel(batch)])
+
+    return column
+
+
 def utf8(array: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary()

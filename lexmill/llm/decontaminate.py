@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, keyed_text, staged, text_slices, texts
+from .common import id_type, keyed_text, staged, text_column, text_slices, texts
 
 Q = 8
 #: Length of the q-grams that are counted once more inside a candidate region: shorter ones leave fewer false candidates.
@@ -211,7 +211,29 @@ def find_contamination(
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id holds no benchmark item; all columns as they were."""
-    leaks = find_contamination(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["__leak"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, edits: float = EDITS) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no benchmark item, whatever other rows share their id; all columns as they were.
+
+    ``find_contamination`` says what holding an item is. Each block of the benchmark reads what the block before it left.
+    """
+    spark = docs.sparkSession
+
+    def without(rows: list[tuple], left: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Benchmark.of(rows, q, edits))
+
+        def start():
+            bench = shared.value
+
+            def clean(part: pa.Array) -> pa.Array:
+                out = np.ones(len(part), bool)
+                out[[d for d, *_ in find_passages([normalise(x) for x in texts(part)], bench, q)]] = False
+                return pa.array(out)
+
+            return clean
+
+        return left.where(text_column(start, "boolean")(F.col(text_col).cast("string")))
+
+    out = docs
+    for n, rows in enumerate(_blocks(benchmark.select(item_col, item_text_col))):
+        out = without(rows, staged(out, "clean") if n else out)
+    return out

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bits_differ, id_type, keyed_text, staged, text_slices, utf8
+from .common import bits_differ, free_prefix, id_type, keyed_text, staged, text_column, text_slices, utf8
 from .components import connected_components
 
 
@@ -58,6 +58,12 @@ def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return bucket.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct().where(bits_differ(F.col("a"), F.col("b")) <= radius)
 
 
+def rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (distinct fingerprints in ``fp``) with the ``root`` of each one's component."""
+    roots = connected_components(ball_links(nodes.select("fp"), radius))
+    return nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): near-duplicate group of every row of ``docs``.
 
@@ -68,9 +74,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = staged(simhash_fingerprints(docs, id_col, text_col, width), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = connected_components(ball_links(nodes.select("fp"), radius))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = staged(named, "nodes")
+    named = staged(rooted(nodes, radius), "nodes")
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return (
         prints.join(named.join(ids, "root").select("fp", "component_id"), "fp")
@@ -79,7 +83,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id names their near-duplicate group; all columns as they were."""
-    groups = simhash_groups(docs, id_col, text_col, width, radius)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    """One row of ``docs`` for each near-duplicate group; all columns as they were.
+
+    It is the group's first by id, null ids last, then by a hash of the row; of equal rows any one. Rows are
+    numbered in a staged copy, so rows that share an id, or have none, are still told apart.
+    """
+    own = free_prefix(docs.columns)
+    fp, row = own + "fp", own + "row"
+
+    def start():
+        return lambda part: pa.array(np.array([fingerprint(x, width) for x in utf8(part)], np.uint64).view(np.int64))
+
+    rows = staged(docs.withColumns({fp: text_column(start, "long")(F.col(text_col).cast("string")), row: F.monotonically_increasing_id()}), "rows")
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("hash"), F.col(row).alias("row"))
+    nodes = staged(rows.select(F.col(fp).alias("fp"), first.alias("first")).groupBy("fp").agg(F.min("first").alias("first")), "nodes")
+    kept = rooted(nodes, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

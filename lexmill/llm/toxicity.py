@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, keyed_text, staged, text_slices, texts
+from .common import id_type, keyed_text, staged, text_column, text_slices, texts
 from .sampling import hash_sample, one_label
 
 #: Labelled rows from which models are fitted, at most (about; chosen by a hash of the id).
@@ -175,7 +175,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return source.mapInArrow(kernel, f"doc_id {id_type(source)}, " + ", ".join(f"{x} double" for x in names)).withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id has no text that the chain rejects; all columns as they were."""
-    toxic = toxicity_scores(docs, labels, id_col, text_col, **how).where("toxic").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(toxic, docs[id_col].eqNullSafe(toxic["__toxic"]), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, **fit) -> DataFrame:
+    """The rows of ``docs`` whose own text the chain does not reject, whatever other rows share their id; all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_chain(docs, labels, id_col, text_col, label_col, **fit))
+
+    def start():
+        mine = Chain(shared.value.features, shared.value.weights)
+        return lambda part: pa.array(mine.predict(mine.rows([words_of(x) for x in texts(part)]))[:, -1].astype(np.float64))
+
+    return docs.where(text_column(start, "double")(F.col(text_col).cast("string")) < threshold)

@@ -83,3 +83,24 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
             want = [r[0] for r in rows if not (name == "near_duplicates" and r[0] == 3)]
             assert sorted(map(str, left)) == sorted(map(str, want)), name
         assert corpus_pipeline.STAGES[-1][1](spark, frame, folder).count() == len(rows)
+
+
+def test_verdicts_stay_on_their_rows(spark, tmp_path):
+    folder, rng = str(tmp_path / "in"), random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    item = prose(25)
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = [(i, "you idiot moron " + prose(9) if i % 3 == 0 else prose(12)) for i in range(90)]
+    bad, leak, clean = "you idiot moron " + prose(8), prose(10) + " " + item, [prose(40) for _ in range(4)]
+    rows += [(None, bad), (None, clean[0]), (1, bad), (None, leak), (None, clean[1]), (2, leak), (2, clean[2])]
+    rows += [(None, clean[3])] * 3 + [(500, clean[2])] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    want = sorted((str(i), t) for i, t in rows if "idiot" not in t)
+    left = corpus_pipeline.toxicity(spark, frame, folder)
+    assert texts(left) == want
+    left = corpus_pipeline.near_duplicates(spark, left, folder)
+    want = sorted(set(want) - {("500", clean[2]), ("None", leak)})  # copies of rows with id 2
+    assert texts(left) == want
+    assert texts(corpus_pipeline.decontamination(spark, left, folder)) == [x for x in want if item not in x[1]]
