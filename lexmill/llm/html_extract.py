@@ -33,6 +33,10 @@ _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|footer|foot|copyright|sidebar\w*|side|aside|rail|widget\w*|related\w*|recommend\w*|popular|trending|comment\w*|respond|reply|replies|disqus\w*|discussion|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|share|sharing|social\w*|toolbar|pagination|pager|tags?|taglist|skip\w*|complementary|contentinfo|navigation|alert|dialog)(?:$|[\s_-])", re.I
 )
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|articlebody)(?:$|[\s_-])", re.I)
+#: What a class says about the page's layout or leaves out: no-sidebar, has-sidebar, with-comments.
+_MODIFIER = re.compile(r"(?<![^\s_-])(?:no|has|with|without)[_-]\S*", re.I)
+#: Head of an article, not of the page.
+_OWN_HEADER = re.compile(r"(?:entry|post|article)[_-]header", re.I)
 
 NAMES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_furniture", "in_article", "page_has_article", "heading"]
 
@@ -47,6 +51,21 @@ class Block:
     heading: bool
 
 
+def label_mark(given: dict[str, str]) -> str:
+    """What an element's labels make of its text: a role decides, then a class or id of content, then words of furniture, then of content.
+
+    A class that has words of both, as sidebar-content, is furniture; text and body alone do not outweigh another class.
+    """
+    role, others = given.get("role", ""), given.get("aria-label", "")
+    names = _MODIFIER.sub("", " ".join(given.get(x, "") for x in ("class", "id", "itemprop"))).split()
+    if _FURNITURE.search(role):
+        return "furniture"
+    if any(_OWN_HEADER.fullmatch(x) or (_CONTENT.search(x) and not _FURNITURE.search(x) and x.lower() not in ("text", "body")) for x in names):
+        return "article"
+    labels = " ".join([*names, role, others])
+    return "furniture" if _FURNITURE.search(labels) else "article" if _CONTENT.search(labels) else ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page in order. Markup may be broken; unknown and unclosed tags are tolerated."""
     out: list[Block] = []
@@ -119,18 +138,17 @@ def blocks_of(page: str) -> list[Block]:
             continue
         given = {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I)
-        labels = " ".join(given.get(x, "") for x in ("class", "id", "role", "aria-label", "itemprop"))
-        mark = ""
+        label, mark = label_mark(given), ""
         if name in _SILENT or hidden:
             mark = "silent"
         elif name in ("html", "body"):
             mark = ""
-        elif name in _ASIDE and not (name == "header" and any(x == "article" for _, x in stack)):
-            mark = "furniture"
-        elif name not in ("article", "main") and labels.strip() and _FURNITURE.search(labels) and not (name in _INLINE and name != "span"):
+        elif name in _ASIDE and not (name == "header" and (label == "article" or any(x == "article" for _, x in stack))):
             mark = "furniture"
-        elif name in ("article", "main") or (labels.strip() and _CONTENT.search(labels)):
+        elif name in ("article", "main"):
             mark = "article"
+        elif not (label == "furniture" and name in _INLINE and name != "span"):
+            mark = label
         if name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
@@ -163,6 +181,8 @@ LABELLED = [
     [(5, 0, _N, _N, _N, 0), (30, 0, _N, _N, _N, 0), (9, 0, _N, _T, _T, 1), (64, 0, _N, _T, _N, 1), (17, 0, _N, _T, _N, 1), (11, 0, _N, _N, _N, 0), (25, 2, _N, _N, _N, 0)],
     [(45, 0, _T, _N, _N, 0), (6, 0, _N, _N, _T, 1), (80, 0, _N, _N, _N, 1), (12, 12, _N, _N, _N, 0), (22, 0, _N, _N, _N, 1), (50, 5, _T, _N, _N, 0)],
     [(3, 0, _N, _T, _N, 1), (6, 0, _N, _T, _T, 1), (8, 0, _N, _T, _N, 1), (5, 0, _N, _T, _N, 1)],
+    [(4, 4, _T, _N, _N, 0), (7, 0, _N, _T, _T, 1), (5, 1, _N, _T, _N, 1), (70, 1, _N, _T, _N, 1), (85, 0, _N, _T, _N, 1), (20, 18, _T, _T, _N, 0), (25, 0, _T, _T, _N, 0), (6, 0, _T, _N, _N, 0)],
+    [(6, 6, _T, _N, _N, 0), (18, 18, _T, _T, _N, 0), (9, 0, _N, _T, _T, 1), (40, 0, _N, _T, _N, 1), (4, 0, _N, _T, _T, 1), (66, 2, _N, _T, _N, 1), (30, 0, _T, _T, _N, 0)],
     [(3, 0, _T, _N, _N, 0), (3, 0, _N, _N, _N, 1), (2, 0, _N, _N, _T, 1), (7, 0, _N, _N, _N, 1), (10, 10, _N, _N, _N, 0)],
 ]
 

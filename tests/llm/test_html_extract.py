@@ -56,3 +56,17 @@ def test_operator(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted(len(r.text) for r in got.collect()) == [0, 0, len(CASES[2][1]), len(CASES[2][1]), 299999]
     assert extract_main_text(pages.limit(0)).collect() == []
+
+
+LAYOUTS = [
+    (f"<div class='nav'><a href=/>Home</a></div><div class='content no-sidebar'><h1>A title</h1><p>{LONG}</p></div><div class='footer'>All rights</div>", f"A title {LONG}"),
+    (f"<div class='site-content has-sidebar'><div class='entry-header'><h1>A title</h1></div><p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div></div>", f"A title {LONG}"),
+    (f"<div class='post-content with-comments'><p>{LONG}</p><div class='comments'><p>{LONG}</p></div></div>", LONG),
+    (f"<div class='layout-without-sidebar'><div id='main' class='widget'><header class='post-header'><h2>A title</h2></header><p>{LONG}</p></div></div>", f"A title {LONG}"),
+    (f"<div class='main-menu'>{LONG}</div><div class='sidebar-content'>{LONG}</div><div role='navigation' class='content'>{LONG}</div><div aria-label='Main menu'>{LONG}</div><article><p>{LONG}</p></article>", LONG),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), LAYOUTS)
+def test_layouts_named_by_furniture(tree, page, want):
+    assert main_text(page, tree) == want
