@@ -112,12 +112,24 @@ def page(rows: DataFrame, order: list, skip: int = 0, limit: int = 20) -> DataFr
 
 
 def neighbours(chunks: DataFrame, of: DataFrame, same_section: bool = True, limit: int = 5) -> DataFrame:
-    """(of, chunk_id): up to ``limit`` other chunks of each wanted chunk's section, or of its document's other sections."""
-    mine = of.select(F.col("chunk_id").alias("of"), F.col("document_id").alias("d"), F.col("section_id").alias("s"))
-    test = (F.col("s") == F.col("section_id")) if same_section else (F.col("s") != F.col("section_id"))
-    found = chunks.join(mine, (F.col("d") == F.col("document_id")) & test & (F.col("of") != F.col("chunk_id")))
-    rank = F.row_number().over(Window.partitionBy("of").orderBy("chunk_index"))
-    return found.withColumn("rn", rank).where(F.col("rn") <= limit).select("of", "chunk_id", "chunk_index")
+    """(of, chunk_id): up to ``limit`` other chunks of each wanted chunk's section, or of its document's other sections.
+
+    Ranked before the join, so a wanted chunk meets at most ``limit`` + 1 rows of its section, or twice ``limit`` of
+    its document: with ``limit`` a section, its own section cannot hold more than half of those.
+    """
+    group = ["document_id", "section_id"]
+    mine = of.select(F.col("chunk_id").alias("of"), *group)
+
+    def first(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+        return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("chunk_index"))).where(F.col("rn") <= n).drop("rn")
+
+    near = chunks.select(*group, "chunk_id", "chunk_index").where("section_id is not null")
+    if same_section:
+        found = first(near, group, limit + 1).join(mine, group)
+    else:
+        near = first(first(near, group, limit), ["document_id"], 2 * limit)
+        found = near.join(mine.withColumnRenamed("section_id", "s"), "document_id").where("s <> section_id")
+    return first(found.where("of <> chunk_id").select("of", "chunk_id", "chunk_index"), ["of"], limit)
 
 
 def context_window(chunks: DataFrame, of: DataFrame, width: int = 2) -> DataFrame:

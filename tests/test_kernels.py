@@ -167,3 +167,15 @@ def test_streams(spark, tmp_path):
     assert sorted((r.id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "new"), (2, "only")]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert tumbling_counts(events, "ts", "1 day", "event_type").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_neighbours_of_every_chunk(spark):
+    from lexmill.operators.graph import neighbours
+
+    rows = [(f"c{i}", f"d{i % 2}", None if i % 17 == 0 else f"d{i % 2}s{i // 40 if i % 5 else i % 3}", i) for i in range(160)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, section_id string, chunk_index long")
+    for same in (True, False):
+        want = {(a, b[0]) for a, d, s, _ in rows for b in [r for r in rows if s and r[2] and r[0] != a and r[1] == d and (r[2] == s) == same][:5]}
+        got = neighbours(chunks, chunks, same)
+        assert {(r.of, r.chunk_id) for r in got.collect()} == want
+        assert "rn" in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[-1]  # ranked before the join
