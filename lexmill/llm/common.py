@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,43 +10,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.storage import discard, shared_dir, staged  # noqa: F401
+
+#: A value with over one in HOT_SHARE of all rows, and over HOT_LEAST rows, is hot; at most HOT_SHARE values can be.
+HOT_SHARE, HOT_LEAST = 1000, 1000
 #: Text bytes that a numpy kernel takes at a time; bounds its working memory.
 KERNEL_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share, for written intermediate tables.
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of finished plans now, not at its next half-hourly turn: it acts when the JVM collects garbage.
 
-    It is read from ``spark.checkpoint.dir``; a local default is set only where that is unset.
+    Only disk use depends on it; a session without a JVM of its own goes without.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lexmill"
-
+    jvm = getattr(getattr(spark, "sparkContext", None), "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Shuffle files that only the written plan needed are then garbage; asking the JVM to collect it
-    lets Spark's cleaner remove them now rather than at its next half-hourly turn.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``staged`` wrote and nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def often(counts: DataFrame, rows: DataFrame, n: str = "n", share: int = HOT_SHARE) -> DataFrame:
+    """Rows of ``counts`` (a value and its number ``n`` of rows) whose value holds over one in ``share`` of all ``rows``: at most ``share`` of them."""
+    return counts.where(F.col(n) > max(HOT_LEAST, rows.count() // share))
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

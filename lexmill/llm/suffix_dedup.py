@@ -4,44 +4,48 @@ The collection is dealt out before it is sorted. Every window of ``min_bytes`` b
 the least hash among its ``ANCHOR`` byte strings, leftmost among equals. Equal windows name equal
 anchors at equal places, so (a) windows of a document that name one anchor form a run, whose bytes
 are a *piece*; (b) only pieces of one anchor key can hold equal windows, at the same distance from the
-anchor. Pieces of keys seen twice are the documents of the construction: each round inserts one
-symbol of every piece, from right to left, columns counted from the anchor.
+anchor. Pieces are grouped by their bytes; different pieces of a key are the documents of the
+construction: each round inserts one symbol of every piece, from right to left, columns counted from
+the anchor. A key with more different pieces than one construction takes is dealt by further columns:
+its windows fall into a left and a right half by distance from the anchor, the windows of a half all
+share more bytes than the anchor, and those bytes are the new key. Halving ends at single windows,
+where equal keys are equal windows, so any key comes down to constructions of bounded size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_prefix, id_type, split_rows, staged, text_slices, utf8
+from .common import discard, free_prefix, id_type, often, release, split_rows, staged, text_slices, utf8
 
 ANCHOR = 32
-#: Piece bytes that one construction holds (whole groups; a group has at most HOT pieces).
+#: Piece bytes that one construction holds (whole groups; a group has at most GROUP pieces).
 BATCH_BYTES = 4 << 20
-#: A key with more different pieces than this is settled window by window instead of in one task.
-HOT = 16_384
+#: Different pieces of a key that one construction takes; a key with more is dealt by further columns first.
+GROUP = 16_384
 
 _RNG = np.random.default_rng(20_240_501)
-_TABLE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_STEP = _RNG.integers(1, 1 << 62, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP = _RNG.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def window_hashes(data: np.ndarray, width: int, kind: int = 0) -> np.ndarray:
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """64-bit hash of every ``width`` byte string, by doubling."""
     if len(data) < width:
         return np.zeros(0, np.uint64)
-    power, size, level = _TABLE[kind][data], 1, 0
+    power, size, level = _TABLE[data], 1, 0
     out, done = None, 0
     while True:
         if width & size:  # strings of done+size bytes: those so far, then a power of two
             n = len(data) - done - size + 1
-            out = power[:n] if out is None else out[: n] * _STEP[kind, 32 + level] + power[done : done + n]
+            out = power[:n] if out is None else out[: n] * _STEP[32 + level] + power[done : done + n]
             done += size
         if done == width:
             break
-        power = power[:-size] * _STEP[kind, level] + power[size:]
+        power = power[:-size] * _STEP[level] + power[size:]
         size, level = 2 * size, level + 1
     out = out ^ (out >> np.uint64(29))
     out = out * np.uint64(0xBF58476D1CE4E5B9)
@@ -125,56 +129,98 @@ def _runs(flags: np.ndarray) -> list[dict]:
 _RUNS = "array<struct<a: int, b: int>>"
 
 
-def _construct(distinct: DataFrame, min_bytes: int) -> DataFrame:
-    """(key, ph, runs) of repeated window offsets in pieces whose keys have several different pieces."""
+def _construct(kinds: DataFrame, min_bytes: int) -> DataFrame:
+    """(key, p1, p2, runs): offsets of windows that another piece of the key has too."""
 
     def batches_of(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(batch.column("key").to_pylist(), batch.column("ph").to_pylist(), batch.column("rel").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+            for row in zip(*(batch.column(x).to_pylist() for x in ("key", "p1", "p2", "rel", "piece")), strict=True):
                 if size >= BATCH_BYTES and row[0] != last:
                     yield held
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
                 last = row[0]
         if held:
             yield held
 
     def kernel(batches):
         for rows in batches_of(batches):
-            keys, prints, rel, pieces = zip(*rows, strict=True)
-            keys, rel = np.array(keys), np.array(rel)
-            group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+            key = np.array([r[0] for r in rows], np.int64)
+            edge = key[1:] != key[:-1]
+            several = ~(np.append(True, edge) & np.append(edge, True))  # a piece alone has no partner
+            rows = [r for r, more in zip(rows, several.tolist(), strict=True) if more]
+            if not rows:
+                continue
+            keys, p1, p2, rel, pieces = zip(*rows, strict=True)
+            key, rel = np.array(keys, np.int64), np.array(rel)
+            group = np.cumsum(np.append(0, key[1:] != key[:-1]))
             hit = repeated_starts(list(pieces), group, rel, min_bytes)
             left = int(rel.max())
             out = [_runs(hit[left - r : left - r + len(p) - min_bytes + 1, i]) for i, (r, p) in enumerate(zip(rel.tolist(), pieces, strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints, pa.int64()), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["key", "ph", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p1, pa.int64()), pa.array(p2, pa.int64()), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["key", "p1", "p2", "runs"])
 
-    return split_rows(distinct, [F.col("key")]).sortWithinPartitions("key").mapInArrow(kernel, f"key long, ph long, runs {_RUNS}")
+    return split_rows(kinds.select("key", "p1", "p2", "rel", "piece"), [F.col("key")]).sortWithinPartitions("key").mapInArrow(kernel, f"key long, p1 long, p2 long, runs {_RUNS}").where(F.size("runs") > 0)
 
 
-def _settle_hot(distinct: DataFrame, min_bytes: int) -> DataFrame:
-    """The same for keys with too many different pieces for one task: every window is a piece of its own.
+def _digest(data: bytes) -> tuple[int, int]:
+    """Two signed halves of the 128-bit XXH3 of some bytes."""
+    import xxhash
 
-    Equal windows collapse by pre-aggregation on two 64-bit hashes, so no group is gathered.
-    """
+    value = xxhash.xxh3_128_intdigest(data)
+    return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _halves(kinds: DataFrame, min_bytes: int) -> DataFrame:
+    """Rows of ``kinds`` cut to the windows left and right of the middle of their range (lo..hi), under keys of the bytes that those windows share."""
 
     def kernel(batches):
+        import xxhash
+
         for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["piece"], np.uint8)
-                a, b = (window_hashes(data, min_bytes, kind).view(np.int64) for kind in (0, 1))
-                n = len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["key"])), pa.array(np.full(n, row["ph"])), pa.array(np.arange(n), pa.int32()), pa.array(a), pa.array(b)], ["key", "ph", "o", "w1", "w2"])
+            if not batch.num_rows:
+                continue
+            out = []
+            for r in batch.to_pylist():
+                piece, rel, mid = r["piece"], r["rel"], (r["lo"] + r["hi"]) // 2
+                for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
+                    if max(lo, -rel) <= min(hi, len(piece) - min_bytes - rel):
+                        cut = max(0, rel + lo)
+                        part = piece[cut : rel + hi + min_bytes]
+                        shared = piece[rel + hi : rel + lo + min_bytes]
+                        out.append((r["key"], r["p1"], r["p2"], cut, xxhash.xxh64_intdigest(shared, lo & 0xFFFF) - (1 << 63), *_digest(part), rel - cut, part, lo, hi))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds_of, strict=True)], names)
+
+    names = ["up_key", "up_p1", "up_p2", "cut", "key", "p1", "p2", "rel", "piece", "lo", "hi"]
+    kinds_of = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    return split_rows(kinds).mapInArrow(kernel, "up_key long, up_p1 long, up_p2 long, cut int, key long, p1 long, p2 long, rel int, piece binary, lo int, hi int")
+
+
+def _flags(kinds: DataFrame, min_bytes: int, group: int) -> DataFrame:
+    """(key, p1, p2, runs) of all windows that occur more than once; a piece may have several rows.
+
+    kinds: key, p1, p2, piece, rel, copies, lo, hi: different pieces by their bytes, p1 and p2 their digest.
+    """
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.length("piece") - min_bytes).cast("int").alias("b")))
+    flags = kinds.where("copies > 1").select("key", "p1", "p2", whole.alias("runs"))
+    big = staged(kinds.where("lo < hi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key"), "big")
+    if big.isEmpty():
+        return flags.unionByName(_construct(kinds, min_bytes))
+    flags = flags.unionByName(_construct(kinds.join(big, "key", "left_anti"), min_bytes))
+    halves = staged(_halves(kinds.join(big, "key", "left_semi"), min_bytes), "halves")
+    below = _flags(_different(halves, F.lit(1)), min_bytes, group)
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("cut")).cast("int").alias("a"), (r["b"] + F.col("cut")).cast("int").alias("b")))
+    joined = halves.drop("piece").join(staged(below, "flags"), ["key", "p1", "p2"])
+    return flags.unionByName(joined.select(F.col("up_key").alias("key"), F.col("up_p1").alias("p1"), F.col("up_p2").alias("p2"), moved.alias("runs")))
 
-    windows = staged(split_rows(distinct).mapInArrow(kernel, "key long, ph long, o int, w1 long, w2 long"), "windows")
-    twice = windows.groupBy("key", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = windows.join(twice, ["key", "w1", "w2"], "left_semi")
-    return hits.groupBy("key", "ph").agg(F.transform(F.collect_set("o"), lambda o: F.struct(o.alias("a"), o.alias("b"))).alias("runs"))
 
+def _different(pieces: DataFrame, copies: Column) -> DataFrame:
+    """Pieces grouped by their bytes, combined before they are shuffled: copies counted, rows counted in ``n``."""
+    return staged(pieces.groupBy("key", "p1", "p2", "lo", "hi", "piece").agg(F.sum(copies).alias("copies"), F.first("rel").alias("rel"), F.count("*").alias("n")), "kinds")
 
-def _spans(docs: DataFrame, min_bytes: int, hot: int) -> DataFrame:
+
+def _spans(docs: DataFrame, min_bytes: int, group: int) -> DataFrame:
     """(doc_id, th, spans): repeated byte ranges of documents that have any; docs: doc_id, th, text."""
     kind = id_type(docs)
 
@@ -193,45 +239,44 @@ def _spans(docs: DataFrame, min_bytes: int, hot: int) -> DataFrame:
 
     who = f"doc_id {kind}, th long"
     anchors = staged(docs.mapInArrow(anchor_kernel, f"{who}, key long, at array<struct<s: int, rel: int, n: int>>"), "anchors")
-    twice = anchors.groupBy("key").agg(F.sum(F.size("at")).alias("c")).where("c > 1").drop("c")
-    per_doc = staged(anchors.join(twice, "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "at")).alias("hits")), "hits")
-    discard(anchors)
+    twice = staged(anchors.groupBy("key").agg(F.sum(F.size("at")).alias("c"), F.count("*").alias("n")).where("c > 1").drop("c"), "twice")
+    # hot keys are known to be repeated: their rows need no join that would bring them together
+    hot = F.broadcast(often(twice, anchors).select("key"))
+    repeated = anchors.join(hot, "key", "left_semi").unionByName(anchors.join(hot, "key", "left_anti").join(twice.select("key"), "key", "left_semi"))
+    per_doc = staged(repeated.groupBy("doc_id", "th").agg(F.collect_set(F.struct("key", "at")).alias("hits")), "hits")
+    discard(anchors, twice)
+    release(docs.sparkSession)
 
     def cut_kernel(batches):
-        import xxhash
-
         for part in text_slices(batches):
-            found: dict[tuple[int, int, int], tuple[int, bytes, list[int]]] = {}  # equal pieces of a document are one row
+            found: dict[tuple[int, int, bytes], tuple[int, list[int]]] = {}  # equal pieces of a document are one row
             for i, (data, hits) in enumerate(zip(utf8(part.column("text")), part.column("hits").to_pylist(), strict=True)):
                 for h in hits:
                     for r in h["at"]:
-                        piece = data[r["s"] : r["s"] + r["n"] - 1 + min_bytes]
-                        found.setdefault((i, h["key"], xxhash.xxh64_intdigest(piece, 7) - (1 << 63)), (r["rel"], piece, []))[2].append(r["s"])
-            row_of, key, ph = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-            rel, piece, starts = zip(*found.values(), strict=True) if found else ((), (), ())
-            at = pa.array(row_of)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("th").take(at), pa.array(key), pa.array(ph), pa.array(rel, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(piece, pa.binary())], ["doc_id", "th", "key", "ph", "rel", "starts", "piece"])
+                        found.setdefault((i, h["key"], data[r["s"] : r["s"] + r["n"] - 1 + min_bytes]), (r["rel"], []))[1].append(r["s"])
+            row_of, key, piece = zip(*found, strict=True) if found else ((), (), ())
+            rel, starts = zip(*found.values(), strict=True) if found else ((), ())
+            p1, p2 = zip(*map(_digest, piece), strict=True) if found else ((), ())
+            at = pa.array(row_of, pa.int64())
+            longs = [pa.array(x, pa.int64()) for x in (key, p1, p2)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("th").take(at), *longs, pa.array(rel, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(piece, pa.binary())], ["doc_id", "th", "key", "p1", "p2", "rel", "starts", "piece"])
 
     joined = docs.join(per_doc.select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "hits"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "hits")
-    pieces = staged(joined.mapInArrow(cut_kernel, f"{who}, key long, ph long, rel int, starts array<int>, piece binary"), "pieces")
+    pieces = staged(joined.mapInArrow(cut_kernel, f"{who}, key long, p1 long, p2 long, rel int, starts array<int>, piece binary"), "pieces")
     discard(per_doc)
-
-    kinds = pieces.groupBy("key", "ph").agg(F.sum(F.size("starts")).alias("copies"), F.first(F.length("piece") - min_bytes).cast("int").alias("last"))
-    per_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    kinds = staged(kinds.join(per_key, "key"), "kinds")
-    copied = kinds.where("copies > 1").select("key", "ph", F.array(F.struct(F.lit(0).alias("a"), F.col("last").alias("b"))).alias("runs"))
-
-    def distinct(condition: str) -> DataFrame:
-        return pieces.join(kinds.where(condition).select("key", "ph"), ["key", "ph"], "left_semi").groupBy("key", "ph").agg(F.first("rel").alias("rel"), F.first("piece").alias("piece"))
-
-    flags = copied.unionByName(_construct(distinct(f"kinds between 2 and {hot}"), min_bytes))
-    if kinds.where(F.col("kinds") > hot).limit(1).count():
-        flags = flags.unionByName(_settle_hot(distinct(f"kinds > {hot}"), min_bytes))
-    flags = flags.where(F.size("runs") > 0)
-    spans = pieces.select("doc_id", "th", "key", "ph", "starts").join(flags, ["key", "ph"]).select("doc_id", "th", "runs", F.explode("starts").alias("s")).select("doc_id", "th", "s", F.explode("runs").alias("r"))
+    release(docs.sparkSession)
+
+    kinds = _different(pieces.withColumns({"lo": F.lit(ANCHOR - min_bytes), "hi": F.lit(0)}), F.size("starts"))
+    flags = staged(_flags(kinds, min_bytes, group), "flags")
+    where = pieces.select("doc_id", "th", "key", "p1", "p2", "starts")
+    same = ["key", "p1", "p2"]
+    hot = often(kinds, pieces).select(*same)  # their flags, at most HOT_SHARE pieces' worth, go to the rows
+    spans = where.join(F.broadcast(flags.join(F.broadcast(hot), same, "left_semi")), same).unionByName(where.join(F.broadcast(hot), same, "left_anti").join(flags, same))
+    spans = spans.select("doc_id", "th", "runs", F.explode("starts").alias("s")).select("doc_id", "th", "s", F.explode("runs").alias("r"))
     spans = spans.select("doc_id", "th", F.struct((F.col("s") + F.col("r.a")).alias("start"), (F.col("s") + F.col("r.b") + min_bytes).alias("end")).alias("span"))
     spans = staged(spans.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")), "spans")
-    discard(pieces, kinds)
+    discard(pieces, kinds, flags)
+    release(docs.sparkSession)
     return spans
 
 
@@ -246,7 +291,7 @@ def merge_spans(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, group: int = GROUP) -> DataFrame:
     """``docs`` with three more columns: ``removed_spans`` (maximal removed byte ranges), ``kept_bytes``, ``text_bytes``.
 
     A byte is removed if a string of ``min_bytes`` bytes that covers it also starts anywhere else in
@@ -254,13 +299,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated rows, and rows with a null id, count as copies of each other. A null text is empty and
     loses nothing; texts shorter than ``min_bytes`` lose nothing. Columns of ``docs`` with those three
     names are replaced. Whole texts of any length; the only table gathered per text is its own spans.
+    An empty table gives an empty table. ``group`` bounds a construction, whatever the input's size.
     """
     if min_bytes < ANCHOR:
         raise ValueError(f"min_bytes has to be at least {ANCHOR}")
     columns = [c for c in docs.columns if c not in ("removed_spans", "kept_bytes", "text_bytes")]
     text, th, i, t, found = (free_prefix(docs.columns) + x for x in ("text", "th", "i", "t", "found"))
     whole = docs.select(*columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text)).withColumn(th, F.xxhash64(text))
-    spans = _spans(whole.select(F.col(id_col).alias("doc_id"), F.col(th).alias("th"), F.col(text).alias("text")), min_bytes, hot)
+    spans = _spans(whole.select(F.col(id_col).alias("doc_id"), F.col(th).alias("th"), F.col(text).alias("text")), min_bytes, group)
     spans = spans.select(F.col("doc_id").alias(i), F.col("th").alias(t), F.col("spans").alias(found))
     joined = whole.join(spans, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)), "left").drop(i, t, th)
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in columns)

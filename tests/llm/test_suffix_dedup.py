@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.llm import common
 from lexmill.llm.suffix_dedup import anchor_runs, repeated_spans, window_hashes
 
 
@@ -41,12 +42,14 @@ def make_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "size", "hot"), [(1, 200, 16384), (2, 64, 16384), (3, 64, 1)])
-def test_against_brute_force(spark, seed, size, hot):
+@pytest.mark.parametrize(("seed", "size", "group", "hot"), [(1, 200, 16384, 1000), (2, 64, 16384, 1), (3, 64, 1, 1000), (4, 100, 2, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, size, group, hot):
+    """group: pieces of a key before it is dealt by further columns; hot: rows of a value before they are told apart."""
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
     texts = make_texts(seed)
     rows = [(i, t) for i, t in enumerate(texts)] + [(9, texts[9]), (None, texts[10]), (None, "q" * 300), (5, "same id, other text " * 20)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, key int").withColumn("kept_bytes", F.lit("clash"))
-    got = repeated_spans(docs, min_bytes=size, hot=hot)
+    got = repeated_spans(docs, min_bytes=size, group=group)
     assert [c for c in got.columns if c not in ("removed_spans", "kept_bytes", "text_bytes")] == ["doc_id", "text", "key"]
     have = sorted((str(r.doc_id), r.text or "", r.text_bytes, [tuple(s) for s in r.removed_spans], bytes(r.kept_bytes)) for r in got.collect())
     want = sorted((str(i), t or "", len((t or "").encode()), s, k) for (i, t), (s, k) in zip(rows, brute([(t or "").encode() for _, t in rows], size), strict=True))
