@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import free_prefix, text_slices, texts
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)""", re.S
-)
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|itemprop|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Comments, CDATA, tags, other markup. In a tag a quote opens a value only behind "=", so that a stray one cannot reach over the tag's end.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>="']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")  # <p/>, but not <a href=/>
 # Element names of HTML.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -27,7 +28,7 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "article", "section", "aside", "nav", "header", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "main", "figure", "hr", "dl", "fieldset", "address", "details", "menu"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
-_SCOPE = {"p": {"td", "th", "li", "article", "section", "body"}, "li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
+_SCOPE = {"p": {"td", "th", "article", "section", "body"}, "li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
 #: Words in class, id, role and label values that tell of page furniture.
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|footer|foot|copyright|sidebar\w*|side|aside|rail|widget\w*|related\w*|recommend\w*|popular|trending|comment\w*|respond|reply|replies|disqus\w*|discussion|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|share|sharing|social\w*|toolbar|pagination|pager|tags?|taglist|skip\w*|complementary|contentinfo|navigation|alert|dialog)(?:$|[\s_-])", re.I
@@ -66,38 +67,72 @@ def label_mark(given: dict[str, str]) -> str:
     return "furniture" if _FURNITURE.search(labels) else "article" if _CONTENT.search(labels) else ""
 
 
+class _Open:
+    """The open elements, with running counts of what they make of their text: a tag costs the same at any depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []
+        self.count = Counter()  # open elements by mark; "link" and "heading" too
+        self.places: dict[str, list[int]] = defaultdict(list)  # by name; "#block" for all that are not inline
+
+    def _kinds(self, name: str, mark: str) -> list[str]:
+        return [mark] * bool(mark) + ["link"] * (name == "a") + ["heading"] * (name in _HEADING)
+
+    def push(self, name: str, mark: str) -> None:
+        self.places[name].append(len(self.stack))
+        if name not in _INLINE:
+            self.places["#block"].append(len(self.stack))
+        self.count.update(self._kinds(name, mark))
+        self.stack.append((name, mark))
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name, mark = self.stack.pop()
+            if name:
+                self.places[name].pop()
+            if name and name not in _INLINE:
+                self.places["#block"].pop()
+            self.count.subtract(self._kinds(name, mark))
+
+    def last(self, name: str) -> int:
+        return self.places[name][-1] if self.places.get(name) else -1
+
+    def end_inline(self, depth: int) -> None:
+        """An inline element that is closed inside a block: the block stays open, and so does what the element's labels say."""
+        name, mark = self.stack[depth]
+        self.places[name].remove(depth)
+        self.count.subtract(self._kinds(name, ""))
+        self.stack[depth] = ("", mark)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page in order. Markup may be broken; unknown and unclosed tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements and what they make of their text
+    elements = _Open()
     parts: list[str] = []
     linked = 0
 
-    def state() -> tuple[bool, bool, bool]:
-        marks = {m for _, m in stack}
-        return "furniture" in marks, "article" in marks, any(n in _HEADING for n, _ in stack)
-
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            furniture, article, heading = state()
-            out.append(Block(text, len(text.split()), min(linked, len(text.split())), furniture, article, heading))
+            has, n = elements.count, text.count(" ") + 1
+            out.append(Block(text, n, min(linked, n), has["furniture"] > 0, has["article"] > 0, has["heading"] > 0))
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not any(m == "silent" for _, m in stack):
+        if raw and not elements.count["silent"]:
             text = html.unescape(raw)
             parts.append(text)
-            if any(n == "a" for n, _ in stack):
+            if elements.count["link"]:
                 linked += len(text.split())
 
     def close(depth: int) -> None:
-        if any(n not in _INLINE for n, _ in stack[depth:]):
+        if elements.last("#block") >= depth:
             flush()
-        del stack[depth:]
+        elements.pop_to(depth)
 
     at, n = 0, len(page)
     while at < n:
@@ -115,35 +150,32 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                if name in _INLINE and any(x not in _INLINE for x, _ in stack[depth:]):
-                    stack[depth] = ("-", stack[depth][1])  # closed from inside a block: its blocks stay open
-                else:
-                    close(depth)
-            elif name not in _INLINE:
-                flush()
+            depth = elements.last(name)
+            if depth < 0:
+                if name not in _INLINE:
+                    flush()
+            elif name in _INLINE and elements.last("#block") > depth:
+                elements.end_inline(depth)
+            else:
+                close(depth)
             continue
         for ended, by in _CLOSED_BY.items():
-            if name in by:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == ended:
-                        close(i)
-                        break
-                    if stack[i][0] in _SCOPE.get(ended, ()) and not (ended == "p" and stack[i][0] == "li"):
-                        break
+            if name in by and elements.last(ended) > max((elements.last(x) for x in _SCOPE.get(ended, ())), default=-1):
+                close(elements.last(ended))
         if name == "br" or name not in _INLINE:
             flush()
         if name == "br":
             continue
-        given = {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+        given: dict[str, str] = {}
+        for key, value in _ATTRIBUTE.findall(m[3]) if "=" in m[3] or "hidden" in m[3].lower() else ():
+            given.setdefault(key.lower(), value.strip("\"'"))
         hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I)
-        label, mark = label_mark(given), ""
+        label, mark = label_mark(given) if given else "", ""
         if name in _SILENT or hidden:
             mark = "silent"
         elif name in ("html", "body"):
             mark = ""
-        elif name in _ASIDE and not (name == "header" and (label == "article" or any(x == "article" for _, x in stack))):
+        elif name in _ASIDE and not (name == "header" and (label == "article" or elements.count["article"])):
             mark = "furniture"
         elif name in ("article", "main"):
             mark = "article"
@@ -153,8 +185,8 @@ def blocks_of(page: str) -> list[Block]:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if name not in _VOID and not m[3].endswith("/"):
-            stack.append((name, mark))
+        if name not in _VOID and not _CLOSED.search(m[3]):
+            elements.push(name, mark)
     flush()
     return out
 
@@ -168,31 +200,53 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], flags])
 
 
-# The labelled table: small pages as rows of blocks (words, linked words, furniture, article, heading, main text?).
-# Written for this operator: pages with and without article elements and telling class names.
-_T, _N = True, False
+# The labelled table: small pages, written for this operator. A number in braces stands for so many words of prose; a block
+# that begins with a pilcrow is main text. The first pages tell by nothing but their words and links, and by those of the
+# blocks around; the others also by elements and class names.
+_MENU = "<div><a href=/>{1}</a></div><div><a href=/b>{2}</a></div><div><a href=/c>{1}</a></div>"
 LABELLED = [
-    [(6, 6, _T, _N, _N, 0), (9, 0, _T, _N, _N, 0), (8, 0, _N, _T, _T, 1), (60, 0, _N, _T, _N, 1), (3, 0, _N, _T, _N, 1), (1, 0, _N, _T, _N, 1), (80, 2, _N, _T, _N, 1), (14, 1, _T, _N, _N, 0)],
-    [(1, 1, _T, _N, _N, 0), (1, 1, _T, _N, _N, 0), (5, 0, _N, _T, _T, 1), (2, 0, _N, _T, _N, 1), (1, 1, _N, _T, _N, 1), (4, 4, _N, _T, _N, 1), (30, 30, _T, _T, _N, 0), (90, 0, _T, _T, _N, 0), (12, 0, _T, _N, _N, 0)],
-    [(2, 2, _N, _N, _N, 0), (2, 2, _N, _N, _N, 0), (7, 0, _N, _N, _T, 1), (55, 1, _N, _N, _N, 1), (70, 0, _N, _N, _N, 1), (9, 0, _N, _N, _N, 1), (48, 0, _N, _N, _N, 1), (3, 3, _N, _N, _N, 0), (6, 5, _N, _N, _N, 0)],
-    [(120, 0, _N, _N, _N, 1), (40, 0, _N, _N, _N, 1), (15, 0, _N, _N, _N, 1), (33, 3, _N, _N, _N, 1)],
-    [(4, 4, _N, _N, _N, 0), (3, 3, _N, _N, _N, 0), (25, 24, _N, _N, _N, 0), (10, 0, _N, _N, _T, 1), (35, 0, _N, _N, _N, 1), (5, 0, _N, _N, _N, 1), (44, 0, _N, _N, _N, 1), (2, 2, _N, _N, _N, 0), (8, 8, _N, _N, _N, 0)],
-    [(100, 0, _T, _N, _N, 0), (200, 1, _T, _N, _N, 0), (12, 0, _N, _T, _T, 1), (20, 0, _N, _T, _N, 1), (40, 0, _T, _N, _N, 0), (6, 0, _T, _N, _N, 0)],
-    [(5, 0, _N, _N, _N, 0), (30, 0, _N, _N, _N, 0), (9, 0, _N, _T, _T, 1), (64, 0, _N, _T, _N, 1), (17, 0, _N, _T, _N, 1), (11, 0, _N, _N, _N, 0), (25, 2, _N, _N, _N, 0)],
-    [(45, 0, _T, _N, _N, 0), (6, 0, _N, _N, _T, 1), (80, 0, _N, _N, _N, 1), (12, 12, _N, _N, _N, 0), (22, 0, _N, _N, _N, 1), (50, 5, _T, _N, _N, 0)],
-    [(3, 0, _N, _T, _N, 1), (6, 0, _N, _T, _T, 1), (8, 0, _N, _T, _N, 1), (5, 0, _N, _T, _N, 1)],
-    [(4, 4, _T, _N, _N, 0), (7, 0, _N, _T, _T, 1), (5, 1, _N, _T, _N, 1), (70, 1, _N, _T, _N, 1), (85, 0, _N, _T, _N, 1), (20, 18, _T, _T, _N, 0), (25, 0, _T, _T, _N, 0), (6, 0, _T, _N, _N, 0)],
-    [(6, 6, _T, _N, _N, 0), (18, 18, _T, _T, _N, 0), (9, 0, _N, _T, _T, 1), (40, 0, _N, _T, _N, 1), (4, 0, _N, _T, _T, 1), (66, 2, _N, _T, _N, 1), (30, 0, _T, _T, _N, 0)],
-    [(3, 0, _T, _N, _N, 0), (3, 0, _N, _N, _N, 1), (2, 0, _N, _N, _T, 1), (7, 0, _N, _N, _N, 1), (10, 10, _N, _N, _N, 0)],
+    _MENU + "<div>¶{6}</div><div>¶{45}</div><div>¶{4}</div><div>¶{60}</div><div>¶{9}</div><div>¶{38}</div>" + _MENU,
+    "<table><tr><td><a href=/>{2}</a></td><td>{2}</td><td><a href=/c>{3}</a></td></tr><tr><td>¶{7}</td></tr><tr><td>¶{80}</td></tr><tr><td>¶{3}</td></tr><tr><td>¶{52}</td></tr><tr><td><a href=/d>{4}</a></td><td>{3}</td><td><a href=/e>{2}</a></td></tr></table>",
+    "<div><a href=/>{3}</a></div><div>{1}</div><div><a href=/b>{4}</a></div><div>{2}</div><div><a href=/c>{2}</a></div><h1>¶{8}</h1><p>¶{33}</p><p>¶{12}</p><p>¶{5}</p><p>¶{70}</p>",
+    "<p>¶{55}</p><p>¶{14}</p><p>¶{90}</p><p>¶{2}</p><p>¶{40} <a href=/x>{2}</a></p>",
+    _MENU + "<p>{5}</p>" + _MENU + "<h2>¶{5}</h2><p>¶{26}</p><p>¶{17}</p><p>¶{31} <a href=/y>{4}</a></p>" + _MENU + "<p>{6}</p>" + _MENU,
+    "<div><a href=/1>{9}</a> {1}</div><div><a href=/2>{8}</a> {2}</div><div><a href=/3>{11}</a></div><div>¶{10}</div><div>¶{64}</div><div>¶{6}</div><div>¶{48}</div><div><a href=/4>{10}</a> {1}</div><div><a href=/5>{12}</a></div>",
+    _MENU + "<div>¶{42}</div><div>¶{3}</div><div>¶{50} <a href=/x>{1}</a></div><div>¶{28}</div><div>¶{2}</div><div>¶{61}</div>" + _MENU,
+    "<p>¶{25} <a href=/x>{3}</a></p><p>¶{18}</p><p>¶{2}</p><p>¶{34} <a href=/y>{2}</a> {9}</p><p>¶{3}</p><p>¶{22}</p>",
+    _MENU + "<h2>¶{3}</h2><div>¶{36}</div><div>¶{2}</div><div>¶{19}</div>" + _MENU + "<div>{2}</div>" + _MENU,
+    "<div>{4}</div>" + _MENU + "<div>¶{5}</div><div>¶{60}</div><div>¶{3}</div>" + _MENU + "<div>{5}</div><div><a href=/z>{2}</a></div>",
+    "<p>{3}</p>" + _MENU + "<p>¶{31}</p><p>¶{6}</p><p><a href=/m>{3}</a></p><p>{6}</p><p><a href=/n>{2}</a></p><p>{8}</p><p><a href=/o>{2}</a></p>",
+    "<td>{2}</td><td><a href=/u>{2}</a></td><td>{5}</td><td><a href=/v>{1}</a></td><tr><td>¶{24}</td></tr><tr><td>¶{40}</td></tr><tr><td>¶{5}</td></tr><tr><td><a href=/w>{3}</a></td></tr>",
+    _MENU + "<p>¶{70}</p>" + _MENU + "<p>{4}</p>" + _MENU,
+    _MENU + "<h2>¶{4}</h2><p>¶{40} <a href=/x>{2}</a></p><p>¶{30}</p><p><a href=/m>{3}</a></p><p>{3}</p><p><a href=/n>{4}</a></p><p>{7}</p><p><a href=/o>{2}</a></p>",
+    "<p>¶{20}</p>",
+    "<p>¶{3}</p>",
+    "<h1>¶{4}</h1><p>¶{9}</p><p>¶{7}</p>",
+    _MENU + "<div>{4}</div><div><a href=/q>{3}</a> {1}</div><div>{3}</div>" + _MENU + "<div>¶{41}</div><div>¶{8}</div><div>¶{29}</div>",
+    "<nav><ul><li><a href=/>{1}</a><li><a href=/b>{2}</a></ul></nav><div class=ad>{9}</div><article><h1>¶{8}</h1><p>¶{60}</p><p>¶{3}</p><p>¶{1}</p><p>¶{80} <a href=/x>{2}</a></p></article><footer>{14}</footer>",
+    "<header><a href=/>{1}</a><p>{12}</p></header><main><h1>¶{5}</h1><p>¶{2}</p><ul><li><a href=/x>¶{1}</a><li><a href=/y>¶{4}</a></ul><aside><a href=/z>{30}</a></aside><section class=comments><p>{90}</p></section></main><footer>{12}</footer>",
+    "<div class=cookie-notice>{100}</div><div class=newsletter>{200}</div><article><h2>¶{12}</h2><p>¶{20}</p><div class=related>{40}</div><p>¶{6}</p></article><form>{6}</form>",
+    "<div>{5}</div><div>{30}</div><article><h1>¶{9}</h1><p>¶{64}</p><p>¶{17}</p></article><div>{11}</div><div>{25}</div>",
+    "<div class=banner>{45}</div><h1>¶{6}</h1><p>¶{80}</p><p><a href=/n>{12}</a></p><p>¶{22}</p><div class=sidebar>{50}</div>",
+    "<div><a href=/>{2}</a></div><article><h1>¶{6}</h1><p>¶{20} <a href=/x>{2}</a></p><p>¶{3}</p><p>¶{2}</p><p><a href=/q>¶{3}</a></p><p>¶{4}</p><p>¶{1}</p></article>",
+    "<article><ul><li><a href=/x>¶{9}</a></li><li>¶{2}</li><li><a href=/y>¶{30}</a></li><li>¶{1}</li></ul><p>¶{12} <a href=/x>{9}</a></p><p>¶{30}</p><p>¶{1}</p></article><div><a href=/>{2}</a></div>",
+    "<nav><a href=/>{2}</a></nav><article><p>¶{40} <a href=/x>{5}</a></p><p>¶{6}</p><p>¶{3}</p><p><a href=/y>¶{6}</a></p><p>¶{2}</p><p><a href=/z>¶{18}</a></p><p>¶{3}</p></article>",
+    "<article><p>¶{2}</p><div class=related><a href=/r>{20}</a></div><p>¶{60}</p><p><a href=/s>¶{7}</a></p><p>¶{50}</p><ul><li><a href=/x>¶{5}</a><li><a href=/y>¶{9}</a></ul><div class=share><a href=/z>{2}</a></div><p>¶{44}</p><p><a href=/w>¶{12}</a></p></article>",
+    "<main><p><a href=/a>¶{3}</a></p><p>¶{2}</p><p><a href=/b>¶{4}</a></p><p>¶{7}</p><p><a href=/c>¶{2}</a></p><p>¶{30}</p><p><a href=/d>¶{1}</a></p><p>¶{3}</p><p><a href=/e>¶{2}</a></p><div class=tags><a href=/t>{1}</a></div><div class=tags><a href=/t>{4}</a></div></main>",
+    "<article><h1><a href=/a>¶{7}</a></h1><p>¶{3}</p><p><a href=/b>¶{5}</a></p><p>¶{1}</p><div class=menu><a href=/c>{2}</a></div><p>¶{4}</p><p><a href=/d>¶{8}</a></p></article><div><a href=/e>{9}</a></div><div>{2}</div><div><a href=/f>{3}</a></div>",
+    "<article><p>¶{3}</p><h2>¶{6}</h2><p>¶{8}</p><p>¶{5}</p></article>",
+    "<div class=topbar>{4}</div><div class=entry-content><h1>¶{7}</h1><p>¶{5}</p><p>¶{70}</p><p>¶{85}</p><div class=share><a href=/s>{20}</a></div><div class=comments><p>{25}</p></div></div><div class=footer>{6}</div>",
+    "<nav><a href=/>{6}</a></nav><main><div class=breadcrumbs><a href=/b>{18}</a></div><h1>¶{9}</h1><p>¶{40}</p><h3>¶{4}</h3><p>¶{66}</p><div class=ads>{30}</div></main><div>{18}</div>",
+    "<div class=menu>{3}</div><p>¶{30}</p><h2>¶{2}</h2><p>¶{27}</p><p><a href=/m>{10}</a></p>",
 ]
 
 
 def labelled_rows() -> list[tuple[float, list[float]]]:
-    """(label, features) of the labelled table."""
+    """(label, features) of the labelled table's blocks."""
     rows = []
     for page in LABELLED:
-        blocks = [Block("", w, k, f, a, h) for w, k, f, a, h, _ in page]
-        rows += [(float(y[-1]), x.tolist()) for y, x in zip(page, block_features(blocks), strict=True)]
+        blocks = blocks_of(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page))
+        rows += [(float(b.text.startswith("¶")), x.tolist()) for b, x in zip(blocks, block_features(blocks), strict=True)]
     return rows
 
 
@@ -244,9 +298,10 @@ def main_text(page: str, tree: Tree) -> str:
 def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "text", rows: list[tuple[float, list[float]]] | None = None) -> DataFrame:
     """``pages`` without the html, with the main text in ``out_col`` (a column of that name is replaced).
 
-    A page is cut into blocks at block-level tags; the tree judges each block by its words, link
-    density and context, and those of the blocks before and after. Kept blocks are joined by one space. Null and empty pages
-    have empty text. One row for each row; whole pages of any length.
+    A page is cut into blocks at block-level tags; the tree judges each block by its words and link density, those of
+    the blocks before and after, and what elements and labels around it say. Kept blocks are joined by one space. Null and
+    empty pages have empty text; other columns, nulls in them and repeated rows stay as they are; an empty table gives an
+    empty table. Whole pages of any length and depth, in time linear in their tags.
     """
     tree = train_tree(pages.sparkSession, rows)
     others = [c for c in pages.columns if c not in (html_col, out_col)]

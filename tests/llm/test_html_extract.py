@@ -1,6 +1,9 @@
+from html.parser import HTMLParser
+
 import pytest
 
-from lexmill.llm.html_extract import blocks_of, extract_main_text, labelled_rows, main_text, train_tree
+from lexmill.llm.html_extract import NAMES, blocks_of, extract_main_text, labelled_rows, main_text, train_tree
+from lexmill.llm.queries import op4_html_text
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +73,63 @@ LAYOUTS = [
 @pytest.mark.parametrize(("page", "want"), LAYOUTS)
 def test_layouts_named_by_furniture(tree, page, want):
     assert main_text(page, tree) == want
+
+
+def test_neighbours_are_in_the_tree(tree):
+    used = {NAMES[i] for i in tree.feature if i >= 0}
+    assert used & {"words_before", "words_after"} and used & {"link_density_before", "link_density_after"}
+    menu = "<div><a href=/a>Item one</a></div>"
+    text = main_text(f"{menu}<div>Contents</div>{menu}<div>{LONG}</div><div>Contents</div><div>{LONG}</div>", tree)
+    assert main_text(f"{menu}<div>{LONG}</div>{menu}", tree) == LONG
+    assert text == f"{LONG} Contents {LONG}"  # the same short line among links and between paragraphs
+
+
+def test_a_stray_quote_stays_in_its_tag(tree):
+    page = "<article><p>a <img alt=John's photo> first part</p><p class=x\">second don't part</p><p title='>' data-class=nav>third</p></article>"
+    assert main_text(page, tree) == "a first part second don't part third"
+
+
+def test_deep_nesting_takes_linear_time(tree):
+    import time
+
+    began = time.time()
+    deep = "<div>" * 100_000 + LONG + "</div>" * 100_000
+    assert main_text(deep, tree) == LONG
+    assert main_text("<p><table><td>" + "<div>" * 50_000 + "<i>x</i></b>" * 20_000 + "</article>" * 20_000, tree).count("x") == 20_000
+    assert time.time() - began < 20
+
+
+class _Plain(HTMLParser):
+    """An independent reading of the test tables' pages: text of the article element."""
+
+    BLOCKS = {"p", "h1", "br", "article", "li", "div"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in self.BLOCKS:
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in self.BLOCKS:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.out.append(data)
+
+
+def test_pages_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r for r in op4_html_text(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for page in pages:
+        plain = _Plain()
+        plain.feed(page.html)
+        want = " ".join("".join(plain.out).split())
+        assert got[page.page_id].text == want and got[page.page_id].n_chars == len(want) and got[page.page_id].url == page.url
