@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexmill.llm import decontaminate
-from lexmill.llm.decontaminate import _codes, align, drop_contaminated, find_contamination, normalise
+from lexmill.llm.decontaminate import _codes, align, drop_contaminated, find_contamination, find_passages, index_items, normalise
 
 
 def best_match(pattern, text):
@@ -55,13 +55,14 @@ def test_against_brute_force(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
 
     def budget(m):
-        return max(0, min(int(0.1 * m), (m - 8) // 8))
+        return int(0.1 * m)
 
     want = sorted(
         (str(d), j, e) for d, t in rows for j, p in items if p for e in [best_match(normalise(p), normalise(t or ""))] if e <= budget(len(normalise(p)))
     )
-    for size in (decontaminate.BLOCK_CHARS, 300):
+    for size, step in ((decontaminate.BLOCK_CHARS, decontaminate.STEP_PLACES), (decontaminate.BLOCK_CHARS, 7), (300, 100)):
         monkeypatch.setattr(decontaminate, "BLOCK_CHARS", size)
+        monkeypatch.setattr(decontaminate, "STEP_PLACES", step)
         got = find_contamination(docs, bench).collect()
         assert sorted((str(r.doc_id), r.item_id, r.edits) for r in got) == want
     texts = {}
@@ -75,6 +76,36 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if str(i) not in bad)
 
 
+def test_short_items_keep_their_share_of_edits():
+    rng = random.Random(9)
+    for m in range(1, 45):
+        pattern = "".join(rng.choice("abcdef") for _ in range(m))
+        docs = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(60))) + edited(rng, pattern, n) + "xyz" for n in (0, m // 10, m // 10, m // 10 + 1) for _ in range(3)]
+        got = {d: e for d, _, _, _, e in find_passages(docs, index_items([("i", pattern)], 8, 0.1))}
+        assert got == {d: e for d, t in enumerate(docs) if (e := best_match(pattern, t)) <= m // 10}
+
+
+def test_a_step_is_bounded_where_everything_is_shared():
+    import tracemalloc
+
+    rng = random.Random(10)
+    words = ["of the", "and so", "in this", "that is"]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    benches = index_items([(i, prose(12)) for i in range(400)], 8, 0.01)
+    docs = [prose(400) + " " + benches[0].patterns[7]]
+    tracemalloc.start()
+    found = {j for _, j, *_ in find_passages(docs, benches)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 7 in found and peak < 120 << 20
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "one two three four"), ("b", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([(2.5, "ONE  two three"), (None, None)], "item_id double, text string")
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in find_contamination(docs, bench).collect()] == [("a", 2.5, 0, 13)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
