@@ -18,6 +18,8 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from .common import keyed_text, shared_dir, text_slices, utf8
 from .word_cache import load_tokenizer, piece_table, space_pieces
@@ -26,8 +28,8 @@ MAGIC = b"LEXTOKEF"
 FOOTER = struct.Struct("<QQQQqQQ")  # ids, documents, documents with null id, id width, least id, sizes of both codes
 HEAD = struct.Struct("<QQQQQ")  # values, low bits each, bytes of low, high and samples
 SAMPLE = 128
-#: Documents that a reader takes from a file at a time.
-READ_DOCS = 2048
+#: Documents whose bounds a reader takes at a time, and ids of one read; a longer document is one read.
+READ_DOCS, READ_IDS = 2048, 4 << 20
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -151,8 +153,9 @@ class ShardReader:
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int, int]]:
     """Encode every whole text, write the shards, and return (uri, documents, ids, ids before it) of each.
 
-    Rows are dealt by ranges of the integer id and sorted inside each shard (ties by text), so
-    shards in order hold the documents in ascending order, null ids first. Each shard is written
+    Rows are dealt by ranges of the integer id and a hash of the text, and sorted inside each shard, so
+    shards in order hold the documents in ascending order, null ids first and dealt over several shards if
+    they are many; rows of one id lie in the order of that hash. Each shard is written
     under a name of its task attempt and renamed when whole; the list, a row a shard, is all that
     reaches the driver. Null and empty texts hold the end id alone. ``folder`` has to be shared.
     """
@@ -160,7 +163,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     folder = folder or f"{shared_dir(spark)}/tokens-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62):x}"
     source = keyed_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = source.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
 
     def kernel(batches):
         task = TaskContext.get()
@@ -195,6 +199,7 @@ def read_token_files(spark, shards: list[tuple[str, int, int, int]], id_kind: st
     if not shards:
         return spark.createDataFrame([], schema)
     listed = spark.createDataFrame(shards, "uri string, n_docs long, n_ids long, before long").repartition(len(shards))
+    id_type = to_arrow_type(spark.createDataFrame([], schema).schema["doc_id"].dataType)
 
     def kernel(batches):
         for batch in batches:
@@ -202,11 +207,15 @@ def read_token_files(spark, shards: list[tuple[str, int, int, int]], id_kind: st
                 shard = ShardReader(row["uri"])
                 for first in range(0, shard.n_docs, READ_DOCS):
                     edges = shard.bounds(first, READ_DOCS)
-                    crc = []
-                    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                        crc.append(zlib.crc32(shard.read(s, e).astype("<u4").tobytes()))
+                    crc, at = [], 0
+                    while at < len(edges) - 1:
+                        stop = max(at + 1, int(np.searchsorted(edges, edges[at] + READ_IDS, side="right")) - 1)
+                        ids = shard.read(int(edges[at]), int(edges[stop])).astype("<u4")
+                        inside = (edges[at : stop + 1] - edges[at]).tolist()
+                        crc += [zlib.crc32(ids[s:e]) for s, e in zip(inside, inside[1:], strict=False)]
+                        at = stop
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(shard.ids_of(first, len(edges) - 1), pa.int64()).cast({"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32()}[id_kind]),
+                        "doc_id": pa.array(shard.ids_of(first, len(edges) - 1), pa.int64()).cast(id_type),
                         "start": pa.array(edges[:-1] + row["before"]), "n_tokens": pa.array(np.diff(edges)), "ids_crc32": pa.array(crc, pa.int64()),
                     })
 
@@ -214,6 +223,11 @@ def read_token_files(spark, shards: list[tuple[str, int, int, int]], id_kind: st
 
 
 def token_file_index(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write ``docs`` as token files and describe every document as the files hold it. An empty table gives no file and no row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return read_token_files(docs.sparkSession, write_token_files(docs, tokenizer_path, folder, end_id, id_col, text_col), kind if kind == "int" else "bigint")
+    """Write ``docs`` as token files and describe every document as the files hold it. An empty table gives no file and no row.
+
+    Ids are integers of any width. Repeated rows are documents of their own; other columns are not read.
+    """
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"token files keep integer ids, not {kind.simpleString()}")
+    return read_token_files(docs.sparkSession, write_token_files(docs, tokenizer_path, folder, end_id, id_col, text_col), kind.simpleString())

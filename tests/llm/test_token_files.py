@@ -3,10 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lexmill.llm import token_files
 from lexmill.llm.token_files import EliasFano, ShardReader, ef_encode, token_file_index, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,20 +32,29 @@ def test_space_is_near_minimal():
     assert 8 * len(ef_encode(ends)) / len(ends) < 2.6 + np.log2(ends[-1] / len(ends))
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, monkeypatch):
     rng = random.Random(7)
     parts = ["the", " the", "  ", "\n", " \n x", "é", "漢字", "'s", "12", "<|endoftext|>", "  a", "　", " ’q", "\x1c ", "😀"]
     texts = [None, "", " ", "a ", " a", "a  b", "\n a", *parts] + ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(300))) for _ in range(60)]
-    rows = [(7 * i - 50, t) for i, t in enumerate(texts)] + [(-50, None), (None, "null id"), (27, "again")]
+    rows = [(7 * i - 50, t) for i, t in enumerate(texts)] + [(-50, None), (None, "null id"), (27, "again"), *[(None, f"no id {i}") for i in range(40)]]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, start string")
     got = [tuple(r) for r in token_file_index(docs, PATH, f"file://{tmp_path}/a").orderBy("start").collect()]
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]])):
         ids = [*TOK.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+    assert len({s for s, *_ in write_token_files(docs.where("doc_id is null"), PATH, f"file://{tmp_path}/n")}) > 1  # rows without an id are dealt too
+    monkeypatch.setattr(token_files, "READ_IDS", 5)
+    again = token_files.read_token_files(spark, write_token_files(docs, PATH, f"file://{tmp_path}/d"))
+    assert [tuple(r) for r in again.orderBy("start").collect()] == want
+    short = token_file_index(docs.select(F.col("doc_id").cast("smallint"), "text"), PATH, f"file://{tmp_path}/e")
+    assert short.schema["doc_id"].dataType.simpleString() == "smallint" and short.count() == len(rows)
+    with pytest.raises(TypeError):
+        token_file_index(docs.select(F.col("doc_id").cast("string"), "text"), PATH)
     shards = write_token_files(docs, PATH, f"file://{tmp_path}/b")
     assert sum(s[1] for s in shards) == len(rows)
     reader = ShardReader(shards[-1][0])
