@@ -8,33 +8,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Usual notices of well-known licences, by SPDX identifier.
-TEMPLATES = [
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License. Redistribution and use in source and binary forms are permitted."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License. Neither the name of the copyright holder may be used to endorse products."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under Creative Commons Zero 1.0 Universal."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Released under the ISC License. Permission to use, copy, modify, and distribute this software is hereby granted."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Proprietary", "All rights reserved. Unauthorized copying is prohibited. Proprietary and confidential."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
-#: A line that may be a licence header.
-HINT = r"(?i)licen[sc]|copyright|spdx|public domain|creative commons|rights reserved"
+from .common import often, staged
+from .license_texts import all_templates
+
+TEMPLATES = all_templates()
+#: A line or paragraph that may be a licence header.
+HINT = r"(?i)licen[sc]|copyright|spdx|public domain|creative commons|rights reserved|redistribution|permission is hereby|permission to use|neither the name|software is provided"
+#: Lines without letters or digits part paragraphs, so that headers inside comment marks fall apart too.
+PARAGRAPH = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 #: Base names of licence files.
 FILE_NAME = r"(?i)^(licen[sc]e|copying|copyright|unlicense)([-._].*)?$"
 THRESHOLD = 0.6
 #: Cosine from which a text that no file name marks counts as a licence file as a whole.
 FILE_THRESHOLD = 0.9
 TERM = "[a-z0-9]+"
-SALTS = 32
+#: Taken only where no other licence is found: the words stand beside many licences.
+VAGUE = "Proprietary"
 
 
 def _terms(text: Column) -> Column:
@@ -42,97 +31,99 @@ def _terms(text: Column) -> Column:
 
 
 def template_weights(spark: SparkSession, templates: list[tuple[str, str]] | None = None) -> tuple[DataFrame, float]:
-    """(license, term, w): unit TF-IDF vectors of the templates, with the idf of each term; idf of terms in none of them.
+    """(t, license, term, idf, w): unit TF-IDF vectors of the templates, with the idf of each term; idf of terms in none of them.
 
     idf = ln((1 + N) / (1 + df)) + 1 over the N templates. The table has a row for each template and term, whatever the corpus.
     """
     import math
 
-    rows = templates or TEMPLATES
-    parts = spark.createDataFrame(rows, "license string, text string").select("license", F.explode(_terms("text")).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
+    rows = [(i, a, b) for i, (a, b) in enumerate(templates or TEMPLATES)]
+    parts = spark.createDataFrame(rows, "t int, license string, text string").select("t", "license", F.explode(_terms("text")).alias("term")).groupBy("t", "license", "term").agg(F.count("*").alias("tf"))
     df = parts.groupBy("term").agg(F.count("*").alias("df"))
     weighted = parts.join(F.broadcast(df), "term").withColumn("idf", F.log((1.0 + len(rows)) / (1.0 + F.col("df"))) + 1.0).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(F.broadcast(norm), "license").select("license", "term", "idf", (F.col("w") / F.col("norm")).alias("w")), math.log(1.0 + len(rows)) + 1.0
+    norm = weighted.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(F.broadcast(norm), "t").select("t", "license", "term", "idf", (F.col("w") / F.col("norm")).alias("w")), math.log(1.0 + len(rows)) + 1.0
 
 
-def best_template(units: DataFrame, keys: list[str], templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(keys, license, score): the template with the highest cosine to each unit of text (columns keys, unit).
+def _best() -> Column:
+    """The least of (vague, -score, license): what is taken of several licences."""
+    return F.min(F.struct((F.col("license") == VAGUE).alias("vague"), (-F.col("score")).alias("s"), F.col("license").alias("l")))
 
-    Scores are rounded to 6 places; ties go to the lesser licence name. Units that share no term
-    with any template have no row. Only the constant template table is broadcast.
+
+def best_template(units: DataFrame, least: Column, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(u, license, score): the licence whose templates have the highest cosine to each unit of text (columns u, unit), from ``least`` on.
+
+    Scores are rounded to 6 places; ties go to the lesser licence name. Only the constant template table is broadcast.
     """
     weights, unknown = template_weights(units.sparkSession, templates)
     idf = F.broadcast(weights.select("term", "idf").distinct())
-    terms = units.select(*keys, F.explode(_terms("unit")).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    terms = units.select("u", "least", F.explode(_terms("unit")).alias("term")).groupBy("u", "least", "term").agg(F.count("*").alias("tf"))
     valued = terms.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown))).drop("idf")
-    per = Window.partitionBy(*keys)
-    normed = valued.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(per)))
-    scored = normed.join(F.broadcast(weights.select("license", "term", "w")), "term").groupBy(*keys, "license").agg(F.round(F.sum(F.col("v") * F.col("w") / F.col("norm")), 6).alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("score"), F.col("license").alias("license")))
-    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.license").alias("license"), (-F.col("b.score")).alias("score"))
+    normed = valued.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("u"))))
+    scored = normed.join(F.broadcast(weights.select("t", "license", "term", "w")), "term").groupBy("u", "least", "t", "license").agg(F.round(F.sum(F.col("v") * F.col("w") / F.col("norm")), 6).alias("score"))
+    return scored.where(F.col("score") >= least).groupBy("u").agg(_best().alias("b")).select("u", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, path, license, score, origin) of every row of ``files``.
 
-    origin 'file': the row's whole text meets a template, at ``threshold`` if its name is that of a
-    licence file, else at ``file_threshold``; 'header': one of its lines does; 'inherited': neither, and
-    the nearest directory at or above its own that holds a licence file has one (several there: the
-    highest score, then the lesser name); null: none. A null text is empty; a null path has no
-    directory and inherits nothing. Rows of equal id, path and text give equal rows, each of them.
+    Compared with the templates are a text's lines and paragraphs that hold a hint, all its hinted paragraphs
+    together, and, at ``file_threshold`` unless the name is that of a licence file, the whole text. origin 'file': the
+    whole text meets a template, or the row has such a name; 'header': another part does; 'inherited': none does, and
+    the nearest directory at or above its own that holds a licence file has one (several there: the highest score, then
+    the lesser name); null: none. A null text is empty; a null path has no directory and inherits nothing.
+    Repeated rows each give a row; an empty table gives an empty table; other columns are not read.
     """
-    rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("path", F.lit("\u0000")), "text")
+    read = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
-    hinted = rows.withColumn("k", key).withColumn("least", F.when(named, threshold).otherwise(file_threshold)).where(F.col("text").rlike(HINT) | named)
-    lines = hinted.select("k", F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x.rlike(HINT)))).alias("unit"))
-    # texts that many rows share are scored once
-    by_line = best_template(lines.select("unit").distinct().withColumn("u", F.col("unit")), ["u"], templates).where(F.col("score") >= threshold)
-    headers = lines.join(by_line, lines.unit == by_line.u).groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b")).select("k", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"))
-    wholes = best_template(hinted.select("k", "least", F.col("text").alias("unit")).dropDuplicates(["k"]), ["k", "least"], templates).where("score >= least").drop("least")
-    own = headers.withColumn("rank", F.lit(2)).unionByName(wholes.withColumn("rank", F.lit(1))).groupBy("k").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
-    own = own.select("k", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), F.when(F.col("b.rank") == 1, "file").otherwise("header").alias("origin"))
-
-    known = hinted.select("k", "dir").dropDuplicates(["k"]).join(own.where("origin = 'file'"), "k").where("dir is not null")
-    of_dir = known.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b")).select(F.col("dir").alias("at"), F.col("b.l").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))
-    dirs = rows.select("dir").where("dir is not null").distinct()
-    parts = F.split("dir", "/")
-    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("at")).distinct()
-    nearest = above.join(of_dir, "at").groupBy("dir").agg(F.max(F.struct(F.length("at").alias("n"), "dir_license", "dir_score")).alias("b")).select("dir", "b.dir_license", "b.dir_score")
-    # a directory may hold a third of all rows: its rows are dealt by a salt, its one row here is repeated for each
-    nearest = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("k", key).drop("text").withColumn("salt", F.pmod(F.col("k"), F.lit(SALTS)).cast("int"))
-    return (
-        salted.join(own, "k", "left").join(nearest, ["dir", "salt"], "left")
-        .select("doc_id", "path", F.coalesce("license", "dir_license").alias("license"), F.coalesce("score", "dir_score").alias("score"), F.when(F.col("license").isNotNull(), F.col("origin")).when(F.col("dir_license").isNotNull(), "inherited").alias("origin"))
-    )
+    # one scan of the texts: rows get a number, and only those with a hint keep their text
+    rows = staged(read.select("doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), named.alias("named"), F.monotonically_increasing_id().alias("k"), F.when(F.col("text").rlike(HINT) | named, F.col("text")).alias("text")), "files")
+    hinted = rows.where("text is not null").select("k", "named", "text")
+    parts = F.filter(F.split("text", PARAGRAPH), lambda x: x.rlike(HINT))
+    units = hinted.select("k", "named", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), lambda x: x.rlike(HINT)), parts, F.array(F.array_join(parts, "\n"))))).alias("unit"), F.lit(2).alias("rank"))
+    units = units.unionByName(hinted.select("k", "named", F.col("text").alias("unit"), F.lit(1).alias("rank")))
+    units = units.withColumn("least", F.when((F.col("rank") == 2) | F.col("named"), threshold).otherwise(file_threshold))
+    # a part that many rows share is scored once
+    distinct = units.select("unit", "least").distinct().select(F.struct("unit", "least").alias("u"), "unit", "least")
+    found = units.join(best_template(distinct, F.col("least"), templates).select("u.unit", "u.least", "license", "score"), ["unit", "least"])
+    own = found.groupBy("k", "named").agg(F.min(F.struct((F.col("license") == VAGUE).alias("vague"), (-F.col("score")).alias("s"), F.col("license").alias("l"), "rank")).alias("b"))
+    own = staged(own.select("k", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), F.when(F.col("named") | (F.col("b.rank") == 1), "file").otherwise("header").alias("origin")), "own")
+
+    placed = rows.select("k", "doc_id", "path", "dir")
+    of_dir = placed.join(own.where("origin = 'file'"), "k").where("dir is not null").groupBy("dir").agg(_best().alias("b")).select(F.col("dir").alias("at"), F.col("b.l").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))
+    dirs = staged(placed.where("dir is not null").groupBy("dir").agg(F.count("*").alias("n")), "dirs")
+    steps = F.split("dir", "/")
+    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("at")).distinct()
+    nearest = staged(above.join(of_dir, "at").groupBy("dir").agg(F.max(F.struct(F.length("at").alias("n"), "dir_license", "dir_score")).alias("b")).select("dir", "b.dir_license", "b.dir_score"), "nearest")
+    # a directory may hold a third of all rows: rows of hot ones, at most HOT_SHARE directories, are not brought together
+    hot = F.broadcast(often(dirs, rows).select("dir"))
+    mine = placed.join(own, "k", "left")
+    joined = mine.join(hot, "dir", "left_semi").join(F.broadcast(nearest.join(hot, "dir", "left_semi")), "dir", "left").unionByName(mine.join(hot, "dir", "left_anti").join(nearest, "dir", "left"))
+    return joined.select("doc_id", "path", F.coalesce("license", "dir_license").alias("license"), F.coalesce("score", "dir_score").alias("score"), F.when(F.col("license").isNotNull(), F.col("origin")).when(F.col("dir_license").isNotNull(), "inherited").alias("origin"))
 
 
 def oracle(source: str = "documents", path: str = "source || '/' || lang || '/' || doc_id") -> str:
     """DuckDB SQL for ``scan_licenses`` over a table with unique doc_id, and no null there, in source or lang."""
-    quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES)
+    quoted = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(TEMPLATES))
     hint, name = HINT.removeprefix("(?i)"), FILE_NAME.removeprefix("(?i)")
+    hits = f"lambda x: regexp_matches(x, '{hint}', 'i')"
     return f"""
-with tpl(license, text) as (values {quoted}),
-tt as (select license, unnest(regexp_extract_all(lower(text), '{TERM}')) term from tpl),
-tf as (select license, term, count(*) tf from tt group by all),
+with tpl(t, license, text) as (values {quoted}),
+tt as (select t, license, unnest(regexp_extract_all(lower(text), '{TERM}')) term from tpl),
+tf as (select t, license, term, count(*) tf from tt group by all),
 idf as (select term, ln((1.0 + (select count(*) from tpl)) / (1.0 + count(*))) + 1.0 idf from tf group by term),
-w as (select license, tf.term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) over (partition by license)) w from tf join idf using (term)),
+w as (select t, license, tf.term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) over (partition by t)) w from tf join idf using (term)),
 rows_ as (select doc_id, {path} path, coalesce(text, '') text from {source}),
-r as (select *, regexp_replace(path, '/?[^/]*$', '') dir from rows_),
-hinted as (select * from r where regexp_matches(text, '{hint}', 'i') or regexp_matches(split_part(path, '/', -1), '{name}', 'i')),
-lines as (select doc_id, unit from (select doc_id, unnest(string_split(text, chr(10))) unit from hinted) where regexp_matches(unit, '{hint}', 'i')),
-units as (select distinct doc_id, 2 rank_, unit from lines union all select doc_id, 1, text from hinted),
-terms as (select doc_id, rank_, unit, term, count(*) tf from (select *, unnest(regexp_extract_all(lower(unit), '{TERM}')) term from units) group by all),
+r as (select *, regexp_replace(path, '/?[^/]*$', '') dir, regexp_matches(split_part(path, '/', -1), '{name}', 'i') named from rows_),
+hinted as (select *, list_filter(string_split(text, chr(10)), {hits}) lines, list_filter(regexp_split_to_array(text, '{PARAGRAPH}'), {hits}) parts from r where regexp_matches(text, '{hint}', 'i') or named),
+units as (select distinct doc_id, named, 2 rank_, unnest(lines || parts || [array_to_string(parts, chr(10))]) unit from hinted union all select doc_id, named, 1, text from hinted),
+terms as (select doc_id, named, rank_, unit, term, count(*) tf from (select *, unnest(regexp_extract_all(lower(unit), '{TERM}')) term from units) group by all),
 valued as (select *, tf * coalesce(idf, ln(1.0 + (select count(*) from tpl)) + 1.0) v from terms left join idf using (term)),
 normed as (select *, sqrt(sum(v * v) over (partition by doc_id, rank_, unit)) norm from valued),
-named as (select doc_id, case when regexp_matches(split_part(path, '/', -1), '{name}', 'i') then {THRESHOLD} else {FILE_THRESHOLD} end least from hinted),
-scored as (select doc_id, rank_, unit, license, round(sum(v * w / norm), 6) score from normed join w using (term) group by all),
-own as (select doc_id, license, score, case rank_ when 1 then 'file' else 'header' end origin from scored join named using (doc_id) where score >= case rank_ when 1 then least else {THRESHOLD} end
-  qualify row_number() over (partition by doc_id order by rank_, score desc, license) = 1),
-of_dir as (select dir, license, score from own join r using (doc_id) where origin = 'file' qualify row_number() over (partition by dir order by score desc, license) = 1),
+scored as (select doc_id, named, rank_, unit, t, license, round(sum(v * w / norm), 6) score from normed join w using (term) group by all),
+own as (select doc_id, license, score, case when named or rank_ = 1 then 'file' else 'header' end origin from scored where score >= case when rank_ = 2 or named then {THRESHOLD} else {FILE_THRESHOLD} end
+  qualify row_number() over (partition by doc_id order by license = '{VAGUE}', score desc, license, rank_) = 1),
+of_dir as (select dir, license, score from own join r using (doc_id) where origin = 'file' qualify row_number() over (partition by dir order by license = '{VAGUE}', score desc, license) = 1),
 near as (select r.doc_id, d.license dir_license, d.score dir_score from r join of_dir d on r.dir = d.dir or d.dir = '' or starts_with(r.dir, d.dir || '/')
   qualify row_number() over (partition by r.doc_id order by length(d.dir) desc) = 1)
 select r.doc_id, r.path, coalesce(license, dir_license) license, coalesce(score, dir_score) score, coalesce(origin, case when dir_license is not null then 'inherited' end) origin
