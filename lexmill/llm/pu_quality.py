@@ -68,38 +68,74 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 2e-4) -> np.ndarray:
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class _Adam:
+    """Steps over the whole sample, so the result does not depend on an order of rows."""
+
+    def __init__(self, size: int, rate: float):
+        self.w, self.m, self.v = (np.zeros(size, np.float32) for _ in range(3))
+        self.rate, self.t = rate, 0
+
+    def step(self, grad: np.ndarray) -> None:
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * grad, 0.999 * self.v + 0.001 * grad**2
+        self.w = (self.w - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.1, penalty: float = 5e-5) -> np.ndarray:
     """Weights that minimise prior*R_p(+) + max(0, R_u(-) - prior*R_p(-)) with the logistic loss.
 
     Where the second part is below zero the model fits single unlabelled rows; the step then goes up
-    that part alone, as the non-negative estimator does. Adam over the whole sample, so the result does not
-    depend on an order of rows.
+    that part alone, as the non-negative estimator does.
     """
-    w = np.zeros(positive.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        p, u = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (positive, unlabelled))
-        loss = lambda s: -np.log(np.maximum(1 - s, 1e-12)).mean()
+    adam, prior = _Adam(positive.shape[1], rate), np.float32(prior)
+    loss = lambda s: -np.log(np.maximum(1 - s, 1e-12)).mean()
+    for _ in range(steps):
+        p, u = _sigmoid(positive @ adam.w), _sigmoid(unlabelled @ adam.w)
         as_negative = unlabelled.T @ (u / len(u)) - prior * (positive.T @ (p / len(p)))
-        if loss(u) - prior * loss(p) < 0:
-            grad = -as_negative
-        else:
-            grad = prior * (positive.T @ ((p - 1) / len(p))) + as_negative
-        grad = grad + penalty * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+        grad = -as_negative if loss(u) - prior * loss(p) < 0 else prior * (positive.T @ ((p - 1) / len(p))) + as_negative
+        adam.step(grad + penalty * adam.w)
+    return adam.w
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300) -> float:
+    """Share of positives among unlabelled rows, from those two samples alone.
+
+    On one half, a linear model tells positives from unlabelled rows. On the other half, the share of unlabelled over
+    that of positive scores above a cut cannot be below the prior; the cut is taken where the share plus twice
+    its sampling error is least (best-bin estimation). The lesser of both halves' values is returned.
+    """
+    out = []
+    for k in (0, 1):
+        a, b = positive[k::2], unlabelled[k::2]
+        held_a, held_b = positive[1 - k :: 2], unlabelled[1 - k :: 2]
+        if not (len(a) and len(b) and len(held_a) and len(held_b)):
+            continue
+        adam = _Adam(positive.shape[1], 0.05)
+        for _ in range(steps):
+            p, u = _sigmoid(a @ adam.w), _sigmoid(b @ adam.w)
+            adam.step((a.T @ ((p - 1) / len(p)) + b.T @ (u / len(u))) / 2 + 2e-4 * adam.w)
+        sp, su = np.sort(held_a @ adam.w), np.sort(held_b @ adam.w)
+        cuts = np.quantile(sp, np.linspace(0, 0.95, 96))
+        above_p, above_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (sp, su))
+        share = above_u / above_p
+        error = share * np.sqrt((1 - above_p) / above_p / len(sp) + (1 - above_u) / np.maximum(above_u, 1e-9) / len(su))
+        out.append(float(share[np.argmin(share + 2 * error)]))
+    return min(max(min(out, default=0.5), 0.01), 0.99)
 
 
 def _feature_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, x) of the rows of a small table doc_id, text, label."""
+    """(doc_id, trusted, free, x) of the rows of a small table doc_id, text, trusted, free."""
 
     def kernel(batches):
         for part in text_slices(batches):
             x = [np.array(text_features(d), "<f8").tobytes() for d in utf8(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("label"), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("trusted"), part.column("free"), pa.array(x, pa.binary())], ["doc_id", "trusted", "free", "x"])
 
-    return docs.mapInArrow(kernel, "doc_id string, label int, x binary")
+    return docs.mapInArrow(kernel, "doc_id string, trusted boolean, free boolean, x binary")
 
 
 def in_training(id_col: str = "doc_id"):
@@ -110,26 +146,24 @@ def in_training(id_col: str = "doc_id"):
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> QualityModel | None:
     """Fit on trusted positives (label 1) and unlabelled texts of the training folds, each a bounded sample.
 
-    The class prior is estimated as the share of label 1 among all labelled rows of the training
-    folds; apart from that, rows labelled 0 are not used. Without positives there is no model.
+    Rows labelled 0 are not used, nor for the class prior (``estimate_prior``). The texts of both samples, about
+    2 * ``fit_rows`` rows at most, are read in one scan. Without positives there is no model.
     """
-    marked = one_label(labels, id_col, label_col).where(in_training())
-    n, positives = marked.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not positives:
-        return None
-    prior = min(max(positives / n, 0.01), 0.99)
     source = keyed_text(docs, id_col, text_col)
-    trusted = hash_sample(marked.where("label = 1"), "doc_id", fit_rows, 11)
-    free = hash_sample(source.select("doc_id").where(in_training()), "doc_id", fit_rows, 12).select("doc_id", F.lit(0).alias("label")).distinct()
-    rows = [r for part in (trusted, free) for r in _feature_rows(source.join(F.broadcast(part), "doc_id").select("doc_id", "text", "label")).orderBy("doc_id", "x").collect()]
+    trusted = hash_sample(one_label(labels, id_col, label_col).where(in_training() & (F.col("label") == 1)), "doc_id", fit_rows, 11)
+    free = hash_sample(source.select("doc_id").where(in_training()), "doc_id", fit_rows, 12)
+    chosen = trusted.select("doc_id", F.lit(True).alias("trusted"), F.lit(False).alias("free")).unionByName(free.select("doc_id", F.lit(False).alias("trusted"), F.lit(True).alias("free")))
+    chosen = chosen.groupBy("doc_id").agg(F.max("trusted").alias("trusted"), F.max("free").alias("free"))
+    rows = _feature_rows(source.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "trusted", "free")).orderBy("doc_id", "x").collect()
     x = np.frombuffer(b"".join(r.x for r in rows), "<f8").reshape(-1, len(NAMES))
-    is_positive = np.array([r.label == 1 for r in rows])
-    if is_positive.all() or not is_positive.any():
+    is_trusted, is_free = (np.array([r[k] for r in rows], bool) for k in (1, 2))
+    if not is_trusted.any() or not is_free.any():
         return None
-    edges = [np.unique(np.quantile(x[:, i], np.concatenate([np.linspace(0, 1, BINS + 1)[1:-1], [0.01, 0.03, 0.97, 0.99]]))) for i in range(x.shape[1])]
+    both = np.concatenate([x[is_trusted], x[is_free]])
+    edges = [np.unique(np.quantile(both[:, i], np.concatenate([np.linspace(0, 1, BINS + 1)[1:-1], [0.01, 0.03, 0.97, 0.99]]))) for i in range(x.shape[1])]
     model = QualityModel(edges, np.zeros(0))
-    design = model.design(x)
-    model.weights = fit_nnpu(design[is_positive], design[~is_positive], prior)
+    positive, unlabelled = model.design(x[is_trusted]), model.design(x[is_free])
+    model.weights = fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
     return model
 
 
@@ -138,7 +172,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     The score is the estimated probability of label 1; it depends on the text alone. A null or empty text has the
     features of a text without words. Without trusted positives every score is 1/2. Repeated rows each
-    give a row; a null id counts as the empty text for its fold.
+    give a row; a null id counts as the empty text for its fold; an empty table gives an empty table; other columns are not read.
     """
     model = fit_quality(docs, labels, id_col, text_col, label_col, fit_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
