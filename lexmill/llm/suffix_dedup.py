@@ -25,7 +25,7 @@ ANCHOR = 32
 #: Piece bytes that one construction holds (whole groups; a group has at most GROUP pieces).
 BATCH_BYTES = 4 << 20
 #: Different pieces of a key that one construction takes; a key with more is dealt by further columns first.
-GROUP = 16_384
+GROUP = 2048
 
 _RNG = np.random.default_rng(20_240_501)
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)

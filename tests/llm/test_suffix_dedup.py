@@ -42,7 +42,7 @@ def make_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "size", "group", "hot"), [(1, 200, 16384, 1000), (2, 64, 16384, 1), (3, 64, 1, 1000), (4, 100, 2, 1)])
+@pytest.mark.parametrize(("seed", "size", "group", "hot"), [(1, 200, 2048, 1000), (2, 64, 2048, 1), (3, 64, 1, 1000), (4, 100, 2, 1)])
 def test_against_brute_force(spark, monkeypatch, seed, size, group, hot):
     """group: pieces of a key before it is dealt by further columns; hot: rows of a value before they are told apart."""
     monkeypatch.setattr(common, "HOT_LEAST", hot)
