@@ -14,6 +14,7 @@ SCREEN_WORDS = [
     "ok", "cancel", "save", "add", "edit", "delete", "create", "join", "yes", "no", "confirm", "apply", "reset", "close", "back", "next", "home", "menu", "settings", "profile", "logout", "login",
     "chat", "meet", "call", "share", "post", "send", "reply", "members", "owners", "admins", "users", "channels", "rooms", "notifications", "alerts", "messages", "inbox", "activity", "feed",
 ]
+# Bullet signs, and the Roman numerals that always count.
 BULLET = "[◼◻●○•◦▪▸►⇒→¢¶§]"
 _ROMAN = r"^([IVXLCDMivxlcdm]+)"
 ROMAN_TO_20 = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX".split()
@@ -48,12 +49,21 @@ def is_title(text: Column) -> Column:
     return F.trim(F.lower(text)).rlike("^(" + "|".join(TITLES) + ")")
 
 
-def is_screen_text(text: Column) -> Column:
-    """Bullet items, button words, counters, one or two short words, page numbers and footers."""
+# Page numbers and addresses in footers.
+FOOTERS = [r"(?i)^(page\s+)?\d+$", r"^\d+\s*/\s*\d+$", r"(?i)^@.*\.edu\.vn"]
+
+
+def is_screen_text(text: Column, footers: list[str] | None = None) -> Column:
+    """Bullet items, button words, counters, one or two short words, page numbers and footers.
+
+    footers: patterns of a publisher's own footer lines, beside FOOTERS.
+    """
     body, low = F.trim(text), F.trim(F.lower(text))
     rest = F.regexp_replace(body, rf"^{BULLET}\s*", "")
     bullet = body.rlike(f"^{BULLET}") & ((F.length(rest) < 10) | ~F.substring(rest, 1, 5).rlike(r"\p{Lu}"))
     count = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     short = (count <= 2) & (F.length(text) < 20) & numbering(text).isNull() & ~is_title(text) & ~body.rlike(r"^[A-Z][a-z]+\s+[A-Z][a-z]+")
-    footer = body.rlike(r"(?i)^(page\s+)?\d+$") | body.rlike(r"^\d+\s*/\s*\d+$") | body.rlike(r"(?i)^AI\s+VIET\s+NAM") | body.rlike(r"(?i)^@.*\.edu\.vn") | body.rlike(r"(?i)^AIO\d+")
+    footer = F.lit(False)
+    for pattern in [*FOOTERS, *(footers or [])]:
+        footer = footer | body.rlike(pattern)
     return bullet | low.isin(SCREEN_WORDS) | body.rlike(r"^\d+\s+[A-Za-z]+s?$") | short | footer

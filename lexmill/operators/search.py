@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import tokens
+from lexmill.storage import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 # Terms that a query with the key word is widened by.
@@ -28,16 +31,16 @@ def postings(chunks: DataFrame, key: str = "chunk_id", toks: Column | None = Non
 
 
 def term_weights(posts: DataFrame, corpus: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """(scope..., term, df, idf) with the floor of a quarter of the mean idf for terms in over half the chunks.
+    """(scope..., term, df, idf, avgdl) with the floor of a quarter of the mean idf for terms in over half the chunks.
 
-    corpus: (scope..., n, avgdl), one row for each scope.
+    corpus: (scope..., n, avgdl), one row for each scope; there may be many scopes, so how it is joined is left to their measured size.
     """
     scope = scope or []
     df = posts.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    df = df.join(F.broadcast(corpus), scope) if scope else df.crossJoin(F.broadcast(corpus))
+    df = df.join(corpus, scope) if scope else df.crossJoin(F.broadcast(corpus))  # without a scope one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean_idf"))
-    raw = raw.join(F.broadcast(mean), scope) if scope else raw.crossJoin(F.broadcast(mean))
+    raw = raw.join(mean, scope) if scope else raw.crossJoin(F.broadcast(mean))
     return raw.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))).select(*scope, "term", "df", "idf", "avgdl")
 
 
@@ -46,24 +49,39 @@ def corpus_stats(chunks: DataFrame, toks: Column | None = None, scope: list[str]
     return chunks.groupBy(*(scope or [])).agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
 
 
-def bm25(chunks: DataFrame, query_terms: list[str], key: str = "chunk_id", scope: list[str] | None = None, toks: Column | None = None) -> DataFrame:
-    """(scope..., key, bm25): scores of chunks with a query term, over the best score of the scope; repeated query terms count again.
+@dataclass
+class LexicalIndex:
+    """Stored postings (scope..., key, term, tf, dl) and terms (scope..., term, df, idf, avgdl), both in ranges of the term."""
+
+    postings: DataFrame
+    terms: DataFrame
+    key: str
+    scope: list[str]
+
 
-    The scope has its own corpus statistics. The corpus is tokenised twice, for the weights of all
-    terms and for the few query terms; only the latter reach the scoring shuffle.
+def lexical_index(chunks: DataFrame, key: str = "chunk_id", scope: list[str] | None = None, toks: Column | None = None) -> LexicalIndex:
+    """Tokenise the corpus once and write its postings and term weights; each scope has its own statistics.
+
+    Files are sorted by term, so a search reads the row groups of its own terms.
     """
     scope = scope or []
-    spark = chunks.sparkSession
+    posts = staged(postings(chunks, key, toks, scope).repartitionByRange("term", *scope, key).sortWithinPartitions("term"), "postings")
+    return LexicalIndex(posts, staged(term_weights(posts, corpus_stats(chunks, toks, scope), scope).sortWithinPartitions("term"), "terms"), key, scope)
+
+
+def bm25(index: LexicalIndex, query_terms: list[str]) -> DataFrame:
+    """(scope..., key, bm25): scores of chunks with a query term, over the best score of the scope; repeated query terms count again."""
+    scope, key = index.scope, index.key
     if not query_terms:
-        return chunks.limit(0).select(*scope, key, F.lit(0.0).alias("bm25"))
-    times = spark.createDataFrame([(t, float(query_terms.count(t))) for t in sorted(set(query_terms))], "term string, times double")
-    posts = postings(chunks, key, toks, scope)
-    weights = term_weights(posts, corpus_stats(chunks, toks, scope), scope).join(F.broadcast(times), "term")
-    hits = posts.where(F.col("term").isin(sorted(set(query_terms)))).join(F.broadcast(weights), [*scope, "term"])
+        return index.postings.limit(0).select(*scope, key, F.lit(0.0).alias("bm25"))
+    mine = F.col("term").isin(sorted(set(query_terms)))
+    times = index.terms.sparkSession.createDataFrame([(t, float(query_terms.count(t))) for t in sorted(set(query_terms))], "term string, times double")
+    weights = index.terms.where(mine).join(F.broadcast(times), "term")  # a row a query term
+    hits = index.postings.where(mine).join(weights, [*scope, "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(*scope, key).agg(F.sum(part).alias("raw"))
     best = scored.groupBy(*scope).agg(F.max("raw").alias("best"))
-    scored = scored.join(F.broadcast(best), scope) if scope else scored.crossJoin(F.broadcast(best))
+    scored = scored.join(best, scope) if scope else scored.crossJoin(F.broadcast(best))
     return scored.select(*scope, key, (F.col("raw") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)).alias("bm25"))
 
 
@@ -87,6 +105,7 @@ def expand_query(query: Column) -> Column:
 
 # ---- relevance of a query to a document, from ranked results (columns of group, rank, score)
 
+# Bounds of the two presets, and weights of the four parts.
 PRESETS = {"normal": (0.65, 0.35, 0.40, 0.15), "strict": (0.75, 0.45, 0.50, 0.12)}  # high, low, least top score, most variance
 WEIGHTS = (0.4, 0.3, 0.15, 0.15)
 

@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.storage import staged
+
+from .vectors import cosine
+
 BUDGET, LAMBDA, COVERAGE = 3000, 0.7, 0.7
 
 
@@ -34,32 +38,67 @@ def representative_scores(chunks: DataFrame, doc: str = "document_id") -> DataFr
     return chunks.withColumn("score", F.round(central + length + heading + place, 6))
 
 
-def mmr_order(score: np.ndarray, vectors: np.ndarray, n: int, weight: float = LAMBDA, scale: float = 5.0) -> list[int]:
-    """Greedy maximal marginal relevance; the likeness to what is chosen is kept up to date, so a step is one product. Ties: first row."""
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(size > 0, size, 1)
-    near, out, free = np.zeros(len(score)), [], np.ones(len(score), bool)
+def mmr_order(score: np.ndarray, vectors: np.ndarray, n: int, weight: float = LAMBDA, scale: float = 5.0, before: np.ndarray | None = None, least: tuple[float, int] | None = None) -> list[int]:
+    """Greedy maximal marginal relevance over rows in order; the likeness to what is chosen is kept up to date, so a step is one product. Ties: first row.
+
+    before: vectors chosen earlier. least: (gain, row) of the last candidate among ``score``; as gains only fall once something
+    is chosen, a row that is still ahead of it is ahead of all rows that are not here, and picking stops at one that is not.
+    """
+    norm = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    unit, out, free = norm(vectors), [], np.ones(len(score), bool)
+    near = (unit @ norm(before).T).max(axis=1) if before is not None and len(before) else None
     while len(out) < min(n, len(score)):
-        gain = np.where(free, weight * score - (1 - weight) * (near if out else 0) * scale, -np.inf)
+        gain = np.where(free, weight * score - (1 - weight) * scale * (0 if near is None else near), -np.inf)
         best = int(np.argmax(gain))
+        if least is not None and out and (-gain[best], best) > (-least[0], least[1]):
+            break
         out.append(best)
         free[best] = False
         like = unit @ unit[best]
-        near = like if len(out) == 1 else np.maximum(near, like)
+        near = like if near is None else np.maximum(near, like)
     return out
 
 
+#: Candidates of a document that one round of ``select_diverse`` looks at.
+CANDIDATES = 256
+
+
 def select_diverse(scored: DataFrame, n: int, doc: str = "document_id", weight: float = LAMBDA, scale: float = 5.0) -> DataFrame:
-    """(doc, chunk_id, chunk_index, token_count, score, pick): MMR order of each document's n picks. A task holds one document's rows."""
+    """(doc, chunk_id, chunk_index, token_count, score, pick): MMR order of each document's n picks, ties to the lesser chunk_index.
+
+    No task holds a document's rows, which may be a third of the table. The first pick is the highest score, by aggregation.
+    A round then takes each document's CANDIDATES best rows by their gain beside what is picked, and picks among them
+    as long as the best is sure to be ahead of every other row; at least one a round. A written round is a row a pick.
+    """
+    kind = scored.schema[doc].dataType.simpleString()
+    rows = staged(scored.select(F.col(doc), "chunk_id", F.col("chunk_index").cast("long"), F.col("token_count").cast("long"), F.col("score").cast("double"), F.col("embedding").cast("array<double>")).where("embedding is not null"), "scored")
+    columns = ["chunk_id", "chunk_index", "token_count", "score", "embedding"]
+    first = rows.groupBy(doc).agg(F.min(F.struct((-F.col("score")).alias("m"), "chunk_index", *[c for c in columns if c != "chunk_index"])).alias("b"))
+    picked = staged(first.select(doc, F.lit(1).cast("long").alias("pick"), *[F.col(f"b.{c}").alias(c) for c in columns]), "picked")
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["gain", "chunk_index"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        last = (float(frame["gain"].iloc[-1]), int(frame["chunk_index"].iloc[-1])) if len(frame) == CANDIDATES else None
+        before, done = np.array([list(x) for x in frame["chosen"].iloc[0]], float), int(frame["done"].iloc[0])
         frame = frame.sort_values("chunk_index", kind="stable").reset_index(drop=True)
-        order = mmr_order(frame["score"].to_numpy(), np.stack(frame["embedding"].to_numpy()).astype(float), n, weight, scale)
-        return frame.loc[order, [doc, "chunk_id", "chunk_index", "token_count", "score"]].assign(pick=range(1, len(order) + 1))
-
-    kind = scored.schema[doc].dataType.simpleString()
-    columns = scored.select(F.col(doc), "chunk_id", F.col("chunk_index").cast("long"), F.col("token_count").cast("long"), "score", "embedding")
-    return columns.groupBy(doc).applyInPandas(kernel, f"{doc} {kind}, chunk_id string, chunk_index long, token_count long, score double, pick long")
+        least = last and (last[0] - 1e-12, int(np.searchsorted(frame["chunk_index"].to_numpy(), last[1])))
+        order = mmr_order(frame["score"].to_numpy(), np.stack(frame["embedding"].to_numpy()).astype(float), n - done, weight, scale, before, least)
+        return frame.loc[order, [doc, *columns]].assign(pick=range(done + 1, done + 1 + len(order)))
+
+    while True:
+        done = picked.groupBy(doc).agg(F.count("*").alias("done"), F.collect_list("embedding").alias("chosen"))
+        open_ = done.where(F.col("done") < n)  # a row a document, with n vectors at most
+        if open_.isEmpty():
+            break
+        near = F.array_max(F.transform("chosen", lambda v: cosine(v, F.col("embedding"))))
+        left = rows.join(picked.select(doc, "chunk_id"), [doc, "chunk_id"], "left_anti").join(open_, doc).withColumn("gain", weight * F.col("score") - (1 - weight) * scale * near)
+        rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("gain"), "chunk_index"))
+        best = left.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES).drop("rank")
+        more = staged(best.groupBy(doc).applyInPandas(kernel, f"{doc} {kind}, chunk_id string, chunk_index long, token_count long, score double, embedding array<double>, pick long"), "picked")
+        if more.isEmpty():  # every document that is open has no row left
+            break
+        picked = staged(picked.unionByName(more), "picked")
+    return picked.select(doc, "chunk_id", "chunk_index", "token_count", "score", "pick")
 
 
 def select_representative(scored: DataFrame, n: int, doc: str = "document_id", budget: int = BUDGET) -> DataFrame:

@@ -16,10 +16,10 @@ def page_items(docs: DataFrame, id_col: str = "doc", page_col: str = "pages") ->
     return items.select(F.col(id_col).alias("doc"), order.cast("long").alias("pos"), "item.type", F.trim(F.coalesce("item.value", F.lit(""))).alias("value"), F.coalesce("item.md", F.lit("")).alias("md"), F.coalesce("item.bBox.h", F.lit(0.0)).alias("h"))
 
 
-def heading_facts(items: DataFrame) -> DataFrame:
-    """Heading items with numbering n, title and screen flags, and the document's least valid height."""
+def heading_facts(items: DataFrame, footers: list[str] | None = None) -> DataFrame:
+    """Heading items with numbering n, title and screen flags, and the document's least valid height; footers: a publisher's own."""
     heads = items.where((F.col("type") == "heading") & (F.col("value") != ""))
-    heads = heads.withColumn("n", numbering(F.col("value"))).withColumn("title", is_title(F.col("value"))).withColumn("screen", is_screen_text(F.col("value")))
+    heads = heads.withColumn("n", numbering(F.col("value"))).withColumn("title", is_title(F.col("value"))).withColumn("screen", is_screen_text(F.col("value"), footers))
     valid = F.col("n").isNotNull() | F.col("title")
     least = F.min(F.when(valid & (F.col("h") > 0), F.col("h"))).over(Window.partitionBy("doc"))
     return heads.withColumn("valid", valid).withColumn("least_h", F.coalesce(least * 0.85, F.lit(10.0)))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.storage import staged
+
 #: Bytes of query vectors that one pass over the table may broadcast.
 QUERY_BYTES = 64 << 20
 
@@ -42,50 +46,86 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str = "chunk_
     return scored.groupBy(key).agg(F.max("score").alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 5, key: str = "chunk_id", places: int = 6) -> DataFrame:
-    """(qid, key, score, rank): exact top-k of every query over the whole table.
+def _in_blocks(queries: DataFrame, qid: str):
+    """(ids, matrix) of the queries, a block of at most QUERY_BYTES at a time; the driver never holds more."""
+    ids, rows, size = [], [], 0
+    for row in queries.select(qid, "embedding").where(F.col("embedding").isNotNull()).orderBy(qid).toLocalIterator():
+        vector = np.array(row[1], np.float64)
+        if rows and size + vector.nbytes > QUERY_BYTES:
+            yield np.array(ids), np.stack(rows)
+            ids, rows, size = [], [], 0
+        ids.append(row[0])
+        rows.append(vector)
+        size += vector.nbytes
+    if rows:
+        yield np.array(ids), np.stack(rows)
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows, -1)
+
+
+def _every_block(vectors: DataFrame, queries: DataFrame, kernel, schema: str, qid: str) -> DataFrame:
+    """Union of kernel(batch, ids, matrix) over the blocks of queries; several blocks are written one after the other."""
+    spark, out = vectors.sparkSession, None
+    for block in _in_blocks(queries, qid):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ids, matrix = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    yield from kernel(batch, ids, matrix)
+
+        found = vectors.mapInArrow(run, schema)
+        out = found if out is None else staged(out, "scores").unionByName(staged(found, "scores"))
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "chunk_id", places: int = 6, qid: str = "qid") -> DataFrame:
+    """(qid, key, score, rank): exact top-k of every query (columns qid, embedding) over the whole table.
 
     A stated set of queries meets all rows in blocks: tasks multiply an Arrow batch by a block of
     queries and keep the batch's best k keys for each; the k best of those are taken after one
     shuffle of k rows a query and batch. Query blocks stay under QUERY_BYTES. Ties by key.
     """
-    spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
-    out = None
-    block = max(1, QUERY_BYTES // (8 * max(1, len(queries[0][1]) if queries else 1)))
-    for at in range(0, len(queries), block):
-        part = queries[at : at + block]
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in part]), np.array([v for _, v in part], np.float64)))
 
-        def kernel(batches, shared=shared):
-            ids, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column("embedding")
-                rows = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-                keys = batch.column(key)
-                names = np.array(keys.to_pylist(), dtype=object)
-                scores = np.round(rows @ matrix.T, places)
-                for j, qid in enumerate(ids.tolist()):
-                    best = np.lexsort((names, -scores[:, j]))
-                    seen: dict = {}
-                    for i in best.tolist():
-                        seen.setdefault(names[i], i)
-                        if len(seen) >= k:
-                            break
-                    pick = pa.array(list(seen.values()))
-                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(pick), pa.int64()), keys.take(pick), pa.array(scores[list(seen.values()), j])], ["qid", key, "score"])
-
-        found = vectors.where(F.col("embedding").isNotNull()).select(key, "embedding").mapInArrow(kernel, f"qid long, {key} {kind}, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"qid long, {key} {kind}, score double, rank int")
-    best = out.groupBy("qid", key).agg(F.max("score").alias("score"))
+    def kernel(batch, ids, matrix):
+        scores = np.round(_matrix(batch.column("embedding"), batch.num_rows) @ matrix.T, places)
+        names, of = np.unique(np.array(batch.column(key).to_pylist(), dtype=object), return_inverse=True)
+        best = np.full((len(names), len(ids)), -np.inf)
+        np.maximum.at(best, of, scores)  # the best row of each key
+        least = np.partition(best, max(0, len(names) - k), axis=0)[max(0, len(names) - k)]
+        picked = [(j, i) for j in range(len(ids)) for i in sorted(np.flatnonzero(best[:, j] >= least[j]), key=lambda i: (-best[i, j], i))[:k]]
+        j, i = (np.array(x) for x in zip(*picked, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[j], pa.int64()), pa.array(names[i].tolist(), batch.schema.field(key).type), pa.array(best[i, j])], ["qid", key, "score"])
+
+    found = _every_block(vectors.where(F.col("embedding").isNotNull() & F.col(key).isNotNull()).select(key, "embedding"), queries, kernel, f"qid long, {key} {kind}, score double", qid)
+    best = found.groupBy("qid", key).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def cosines(vectors: DataFrame, queries: DataFrame, key: str, places: int = 6, qid: str = "qid") -> DataFrame:
+    """(qid, key, similarity) of every query with every row of a table of few rows a document; 0 beside a zero vector."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def kernel(batch, ids, matrix):
+        rows = _matrix(batch.column("embedding"), batch.num_rows)
+        size = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
+        scores = np.where(size > 0, rows @ matrix.T / np.where(size > 0, size, 1), 0.0).round(places)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(rows)), pa.int64()), pa.concat_arrays([batch.column(key)] * len(ids)), pa.array(scores.T.ravel())], ["qid", key, "similarity"])
+
+    return _every_block(vectors.where(F.col("embedding").isNotNull()).select(key, "embedding"), queries, kernel, f"qid long, {key} {kind}, similarity double", qid)
+
+
+def mean_vectors(vectors: DataFrame, group: str) -> DataFrame:
+    """(group, embedding): mean vector of each group; sums are combined before the one shuffle of a row a group and task."""
+    summed = vectors.select(group, array_to_vector("embedding").alias("v")).where("v is not null").groupBy(group).agg(Summarizer.mean(F.col("v")).alias("m"))
+    return summed.select(group, vector_to_array("m").alias("embedding"))
+
+
 def index_stats(vectors: DataFrame, key: str = "chunk_id", doc: str = "document_id") -> DataFrame:
     out = vectors.agg(F.count("*").alias("total"), F.countDistinct(key).alias("unique_keys"), F.countDistinct(doc).alias("documents"), F.max(F.size("embedding")).cast("long").alias("dimension"))
     duplicates = F.col("total") - F.col("unique_keys")
@@ -107,7 +147,6 @@ def remove(vectors: DataFrame, gone: DataFrame, key: str = "chunk_id") -> DataFr
 
 def centroid_distances(vectors: DataFrame, doc: str = "document_id") -> DataFrame:
     """``vectors`` with the Euclidean distance of each to its document's mean vector."""
-    mean = vectors.select(doc, F.posexplode("embedding").alias("p", "x")).groupBy(doc, "p").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mean = mean.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("centroid"))
+    mean = mean_vectors(vectors, doc).withColumnRenamed("embedding", "centroid")
     gap = F.zip_with("embedding", "centroid", lambda a, b: a.cast("double") - b)
     return vectors.join(mean, doc).withColumn("distance", norm(gap))

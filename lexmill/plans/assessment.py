@@ -173,8 +173,9 @@ def json_validate(s, sf):
 
 
 def _cache(s, sf):
+    """All documents are wanted; the texts of those that have a vector are cached."""
     rows = X.table(s, sf, "documents").select("doc_id", "text", E.cache_key(F.lit("model"), c("text")).alias("key"))
-    return rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0")
+    return rows, rows.join(X.table(s, sf, "embeddings").select(c("vec_id").alias("doc_id")), "doc_id", "left_semi")
 
 
 def cache_key(s, sf):
@@ -266,9 +267,9 @@ SQL = {
     "json_repair": None,
     "json_validate": "select 1::bigint id, 'q1' kept union all select 3, 'r'",
     "cache_key": "select doc_id, md5('model:' || text) as key from documents",
-    "cache_split": "select doc_id, case when text in (select text from documents where doc_id % 2 = 0) then 'hit' else 'miss' end state from documents where doc_id % 2 = 1",
-    "cache_encode": "select doc_id, length(text)::double as value from documents where doc_id % 2 = 1",
-    "cache_stats": "select hits, misses, printf('%.2f%%', 100.0::double * hits / (hits + misses)) hit_rate from (select count(*) filter (text in (select text from documents where doc_id % 2 = 0)) hits, count(*) filter (text not in (select text from documents where doc_id % 2 = 0)) misses from documents where doc_id % 2 = 1)",
+    "cache_split": "select doc_id, case when text in (select text from documents where doc_id in (select vec_id from embeddings)) then 'hit' else 'miss' end state from documents",
+    "cache_encode": "select doc_id, length(text)::double as value from documents",
+    "cache_stats": "select hits, misses, printf('%.2f%%', 100.0::double * hits / (hits + misses)) hit_rate from (select count(*) filter (hit) hits, count(*) filter (not hit) misses from (select text in (select text from documents where doc_id in (select vec_id from embeddings)) hit from documents))",
     "cache_ttl": "select key, last_put as \"at\" from (select user_id::varchar as key, max(ts) last_put from events group by 1) where last_put >= timestamp '2024-01-30' - interval 1 day order by last_put desc, key limit 50",
     "ext_tumbling_counts": "select date_trunc('day', ts) as start, event_type, count(*) n, round(sum(value), 2) total from events group by all",
 }

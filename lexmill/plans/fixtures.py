@@ -72,9 +72,9 @@ def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
 
 
-def query_vectors(spark: SparkSession, sf: str, n: int = 8) -> list[tuple[int, list[float]]]:
-    rows = table(spark, sf, "embeddings").where(F.col("vec_id") < n).orderBy("vec_id").collect()
-    return [(r.vec_id, list(map(float, r.embedding))) for r in rows]
+def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of every search: all rows whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 EST = r"floor((len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')) * 1.3::double + length({0}) / 4.0::double) / 2)::bigint"

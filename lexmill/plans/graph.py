@@ -63,7 +63,7 @@ def graph_upsert(s, sf):
 def graph_edges(s, sf):
     pairs = X.chunks(s, sf).select(F.col("section_id").alias("src"), F.col("chunk_id").alias("dst"))
     pairs = pairs.unionByName(pairs).unionByName(s.createDataFrame([("nowhere", "x")], "src string, dst string"))
-    return G.edges(X.sections(s, sf).where("ord < 3"), pairs, X.chunks(s, sf).where("chunk_index % 2 = 0").select(F.col("chunk_id").alias("id")))
+    return G.edges(X.sections(s, sf), pairs, X.chunks(s, sf).select(F.col("chunk_id").alias("id")))
 
 
 def graph_build_stats(s, sf):
@@ -111,15 +111,15 @@ def q_section_chunks(s, sf):
 
 
 def _wanted(s, sf):
-    return X.chunks(s, sf).where("chunk_index % 10 = 3").select("chunk_id", "document_id", "section_id")
+    return X.chunks(s, sf).select("chunk_id", "document_id", "section_id")
 
 
 def q_neighbors_same(s, sf):
-    return G.neighbours(X.chunks(s, sf), _wanted(s, sf).where(F.col("document_id") == DOC))
+    return G.neighbours(X.chunks(s, sf), _wanted(s, sf))
 
 
 def q_neighbors_other(s, sf):
-    return G.neighbours(X.chunks(s, sf), _wanted(s, sf).where(F.col("document_id") == DOC), same_section=False)
+    return G.neighbours(X.chunks(s, sf), _wanted(s, sf), same_section=False)
 
 
 def q_context_window(s, sf):
@@ -196,7 +196,7 @@ SQL = {
     "graph_section_stats": W("sections", body="""select coalesce(k.id, n.section_id) id, coalesce(title, '') title, coalesce(level, 0)::bigint as level, coalesce(n, 0)::bigint chunk_count, coalesce(t, 0)::bigint total_tokens
   from (select id, title, level from sections where ord <> 1 union all select 'nowhere', 'Empty', 2) k full join (select section_id, count(*) n, sum(token_count) t from chunks group by 1) n on k.id = n.section_id"""),
     "graph_upsert": W("sections", body="select id, case when ord % 2 = 0 then upper(title) else title end title, (ord % 2 = 0)::bigint seq from sections union all select 'new', 'added', 1"),
-    "graph_edges": W("sections", body="select distinct section_id src, chunk_id dst from chunks c where chunk_index % 2 = 0 and exists (select 1 from sections s where s.id = c.section_id and ord < 3)"),
+    "graph_edges": W("sections", body="select distinct section_id src, chunk_id dst from chunks c where exists (select 1 from sections s where s.id = c.section_id)"),
     "graph_build_stats": W("chunks", body="select document_id, count(distinct section_id) sections_created, count(*) chunks_created, count(*) - 1 relationships_created from chunks group by 1"),
     "graph_cascade_delete": W("docs", "sections", "questions", body=f"""select 'documents' kind, count(*) n from docs where id <> '{DOC}' union all select 'sections', count(*) from sections where document_id <> '{DOC}' union all select 'chunks', count(*) from chunks where document_id <> '{DOC}'
   union all select 'questions', count(*) from questions join chunks using (chunk_id) where document_id <> '{DOC}'"""),
@@ -207,10 +207,10 @@ SQL = {
     "q_doc_chunks": W("sections", body=f"select chunk_id, section_id, level, token_count from chunks c join sections s on s.id = c.section_id where s.document_id = '{DOC}'"),
     "q_doc_sections": W("sections", body=f"select id, title, level, ord from sections where document_id = '{DOC}'"),
     "q_section_chunks": W("chunks", body=f"select chunk_id, chunk_index, token_count from chunks where section_id = '{DOC}_en' order by chunk_index limit 7"),
-    "q_neighbors_same": W("chunks", body=f"select a.chunk_id as of, b.chunk_id, b.chunk_index from chunks a join chunks b on a.section_id = b.section_id and a.chunk_id <> b.chunk_id where a.document_id = '{DOC}' and a.chunk_index % 10 = 3 qualify row_number() over (partition by a.chunk_id order by b.chunk_index) <= 5"),
-    "q_neighbors_other": W("chunks", body=f"select a.chunk_id as of, b.chunk_id, b.chunk_index from chunks a join chunks b on a.document_id = b.document_id and a.section_id <> b.section_id where a.document_id = '{DOC}' and a.chunk_index % 10 = 3 qualify row_number() over (partition by a.chunk_id order by b.chunk_index) <= 5"),
+    "q_neighbors_same": W("chunks", body=f"select a.chunk_id as of, b.chunk_id, b.chunk_index from chunks a join chunks b on a.section_id = b.section_id and a.chunk_id <> b.chunk_id qualify row_number() over (partition by a.chunk_id order by b.chunk_index) <= 5"),
+    "q_neighbors_other": W("chunks", body=f"select a.chunk_id as of, b.chunk_id, b.chunk_index from chunks a join chunks b on a.document_id = b.document_id and a.section_id <> b.section_id qualify row_number() over (partition by a.chunk_id order by b.chunk_index) <= 5"),
     "q_context_window": W("chunks", body=""", p as (select *, row_number() over (partition by section_id order by chunk_index) place from chunks)
-  select a.chunk_id as of, b.chunk_id, b.place - a.place as "offset" from p a join p b on a.section_id = b.section_id and abs(a.place - b.place) <= 2 where a.chunk_index % 10 = 3"""),
+  select a.chunk_id as of, b.chunk_id, b.place - a.place as "offset" from p a join p b on a.section_id = b.section_id and abs(a.place - b.place) <= 2"""),
     "q_related_concepts": W("mentions", "related", body="select chunk_id, m.concept_id, coalesce(string_agg(distinct related_id, ',' order by related_id), '') related from mentions m left join related r using (concept_id) group by all"),
     "q_stats": W("docs", "sections", "questions", "concepts", body="select 'documents' label, count(*) n from docs union all select 'sections', count(*) from sections union all select 'chunks', count(*) from chunks union all select 'questions', count(*) from questions union all select 'concepts', count(*) from concepts"),
     "q_doc_list": W("docs", "sections", "questions", body="""select d.id document_id, language, d.created_at, count(distinct s.id) sections, count(distinct c.chunk_id) chunks, count(distinct q.question_id) questions

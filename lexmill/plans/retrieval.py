@@ -21,7 +21,21 @@ K = 10
 
 
 def _q0(s, sf):
-    return X.query_vectors(s, sf, 1)[0][1]
+    return list(map(float, X.table(s, sf, "embeddings").where("vec_id = 0").first().embedding))
+
+
+_INDEXES: dict[tuple, S.LexicalIndex] = {}
+
+
+def _index(s, sf, kind="docs", fresh=False):
+    """The stored index of a session and folder: built by the first query that searches it, as a search service would before it opens."""
+    name = (s.sparkContext.applicationId, sf, kind)
+    if fresh or name not in _INDEXES:
+        if kind == "scope":
+            _INDEXES[name] = S.lexical_index(X.chunks(s, sf).withColumn("text", F.substring("text", 1, 500)), scope=["document_id"])
+        else:
+            _INDEXES[name] = S.lexical_index(_docs(s, sf), toks=raw_tokens(c("text")) if kind == "raw" else None)
+    return _INDEXES[name]
 
 
 def _docs(s, sf):
@@ -40,8 +54,7 @@ def vec_normalize(s, sf):
 
 
 def vec_add_stats(s, sf):
-    v = X.vectors(s, sf)
-    return V.add_stats(v.where("vec_id % 3 = 0"), v.where("vec_id % 2 = 0"))
+    return V.add_stats(X.vectors(s, sf), _docs(s, sf))
 
 
 def vec_topk(s, sf):
@@ -87,12 +100,11 @@ def embed_hash(s, sf):
 
 
 def bm25_index(s, sf):
-    d = _docs(s, sf)
-    return S.term_weights(S.postings(d), S.corpus_stats(d)).where("df >= 3").select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(s, sf, fresh=True).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_search(s, sf):
-    return S.bm25(_docs(s, sf), TERMS).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+    return S.bm25(_index(s, sf), TERMS).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def semantic_search(s, sf):
@@ -101,7 +113,7 @@ def semantic_search(s, sf):
 
 
 def hybrid_fuse(s, sf):
-    return S.fuse(_semantic(s, sf), S.bm25(_docs(s, sf), TERMS))
+    return S.fuse(_semantic(s, sf), S.bm25(_index(s, sf), TERMS))
 
 
 def hybrid_search(s, sf):
@@ -109,11 +121,11 @@ def hybrid_search(s, sf):
 
 
 def hybrid_left(s, sf):
-    return S.top(S.fuse(_semantic(s, sf), S.bm25(_docs(s, sf), TERMS, toks=raw_tokens(c("text"))), how="left"), K)
+    return S.top(S.fuse(_semantic(s, sf), S.bm25(_index(s, sf, "raw"), TERMS), how="left"), K)
 
 
 def hybrid_by_doc(s, sf):
-    scored = S.bm25(X.chunks(s, sf).withColumn("text", F.substring("text", 1, 500)), TERMS, scope=["document_id"])
+    scored = S.bm25(_index(s, sf, "scope"), TERMS)
     return S.ranked(scored.select("document_id", "chunk_id", F.round("bm25", 6).alias("score")), "document_id").where(c("rank") <= 3)
 
 
@@ -151,16 +163,13 @@ def rel_distribution(s, sf):
 
 def _query_text(s, sf):
     words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 5)
-    return X.table(s, sf, "benchmark").where("item_id < 8").select(c("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
+    return X.table(s, sf, "documents").where("doc_id % 50 = 0").select(c("doc_id").alias("qid"), F.array_join(words, " ").alias("query"))
 
 
 def rel_overview(s, sf):
     """Cosine of each query vector with the mean of each document's first three vectors."""
     first = X.chunk_vectors(s, sf).withColumn("rn", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index"))).where("rn <= 3")
-    mean = first.select("document_id", F.posexplode("embedding").alias("p", "x")).groupBy("document_id", "p").agg(F.avg(c("x").cast("double")).alias("m"))
-    mean = mean.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda t: t["m"]).alias("overview"))
-    queries = X.table(s, sf, "embeddings").where("vec_id < 8").select(c("vec_id").alias("qid"), "embedding")  # eight stated queries against one row a document
-    return mean.crossJoin(F.broadcast(queries)).select("qid", "document_id", F.round(V.cosine(c("embedding"), c("overview")), 6).alias("similarity"))
+    return V.cosines(V.mean_vectors(first, "document_id"), X.query_vectors(s, sf), "document_id")
 
 
 def rel_overlap(s, sf):
@@ -268,7 +277,7 @@ def _judged(s, sf):
 
 
 def _qids(s, sf):
-    return X.table(s, sf, "embeddings").where("vec_id < 8").select(c("vec_id").alias("qid"))
+    return X.query_vectors(s, sf).select("qid")
 
 
 def ir_judge(s, sf):
@@ -324,11 +333,11 @@ BM_DOCS = _bm(f"select doc_id::varchar chunk_id, {X.TOK.format('text', 2)} t fro
 BM_RAW = _bm(r"select doc_id::varchar chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') t from documents")
 BM_SCOPE = _bm(f"select document_id, chunk_id, {X.TOK.format('text[1:500]', 2)} t from chunks", "document_id")
 FUSE = "fused as (select chunk_id, semantic_score, bm25_score, round(0.7::double * semantic_score + (1 - 0.7::double) * bm25_score, 7) hybrid_score from (select chunk_id, round(coalesce(score, 0), 6) semantic_score, round(coalesce(bm25, 0), 6) bm25_score from sem {how} join bm using (chunk_id)))"
-RANK = f"""found as (select q.vec_id qid, v.chunk_id, round({_DOT.format('v.embedding', 'q.embedding')}, 6) score from vectors v, embeddings q where q.vec_id < 8),
+RANK = f"""found as (select q.vec_id qid, v.chunk_id, round({_DOT.format('v.embedding', 'q.embedding')}, 6) score from vectors v, embeddings q where q.vec_id % 50 = 0),
 ranked as (select qid, chunk_id, score, rank from (select *, row_number() over (partition by qid order by score desc, chunk_id) rank from found) where rank <= {K})"""
 REL = RANK + """, agg as (select qid, max(score) top_score, coalesce(var_pop(score) filter (rank <= 5), 0) variance, count(*) n, avg(score) filter (rank between 2 and 5) rest from ranked group by 1),
 parts as (select qid, top_score, round(variance, 6) variance, round(case when variance > 0.15 then top_score * 0.8 else top_score end, 6) top_part, round(case when n >= 5 then least(1, 3 * (top_score - rest)) end, 6) distribution_part from agg)"""
-OVER = REL + r""", qt as (select item_id qid, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:5], ' ') query from benchmark where item_id < 8),
+OVER = REL + r""", qt as (select doc_id qid, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:5], ' ') query from documents where doc_id % 50 = 0),
 tt as (select qid, string_agg(text, ' ' order by rank) t from ranked join (select doc_id::varchar chunk_id, text from documents) using (chunk_id) where rank <= 3 group by 1),
 sets as (select qid, list_distinct(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: w <> '')) q, list_distinct(list_filter(regexp_split_to_array(lower(t), '\s+'), lambda w: w <> '')) t from qt join tt using (qid)),
 overlap as (select qid, round(case when len(q) > 0 then len(list_intersect(q, t)) / len(q)::double else 0 end, 6) overlap from sets)"""
@@ -351,9 +360,33 @@ def _v(names: str, ctes: str, body: str) -> str:
     return W(*names.split(), body="").rstrip() + ", " + ctes + "\n" + body
 
 
+def _mmr(base: str, n: int, scale: str = "5", name: str = "m") -> str:
+    """The greedy order as a recursion: a step adds to each document's picks the row with the highest gain."""
+    return f"""{name}_b as materialized (select document_id, chunk_id, chunk_index, token_count, score, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) u from {base}),
+{name}_r as (select document_id, 1 pick, [first(chunk_index order by score desc, chunk_index)] ids, [first(u order by score desc, chunk_index)] us from {name}_b group by 1
+  union all select document_id, pick + 1, list_append(ids, x.i), list_append(us, x.u) from (select r.document_id, r.pick, r.ids, r.us,
+    first(struct_pack(i := b.chunk_index, u := b.u) order by 0.7::double * b.score - (1 - 0.7::double) * {scale} * list_max(list_transform(r.us, lambda v: list_dot_product(v, b.u))) desc, b.chunk_index) x
+    from {name}_r r join {name}_b b on b.document_id = r.document_id where r.pick < {n} and not list_contains(r.ids, b.chunk_index) group by r.document_id, r.pick, r.ids, r.us)),
+{name}_o as (select document_id, unnest(ids) chunk_index, unnest(range(1, len(ids) + 1)) pick from {name}_r qualify row_number() over (partition by document_id order by {name}_r.pick desc) = 1),
+{name} as (select document_id, chunk_id, chunk_index, token_count, score, o.pick from {name}_o o join {name}_b using (document_id, chunk_index))"""
+
+
+def _representative(base: str, n: int) -> str:
+    sized = f"sized as (select *, count(*) over (partition by document_id) n_chunks from {base}), large as (select * from sized where n_chunks > {n})"
+    return f"""{sized}, {_mmr('large', n)}, fits as (select *, sum(token_count) over (partition by document_id order by pick) spent from m),
+rep as (select document_id, chunk_id, chunk_index, token_count, 1.0::double score, 'representative' selection_method from sized where n_chunks <= {n} union all select document_id, chunk_id, chunk_index, token_count, score, 'representative' from fits where spent <= 3000)"""
+
+
+def _recursive(names: str, ctes: str, body: str) -> str:
+    return "with recursive " + _v(names, ctes, body).removeprefix("with ")
+
+
+FOUND = SEM + """, r as (select c.document_id, c.chunk_id, token_count, round(score, 6) score from chunk_vectors c join sem on sem.chunk_id = c.vec_id::varchar),
+  b as (select *, row_number() over w place, sum(token_count) over w spent from r window w as (partition by document_id order by score desc, chunk_id)),
+  found as (select document_id, chunk_id from b where spent <= 3000 and place <= 6)"""
 SQL = {
     "vec_normalize": "with n as (select vec_id, list_transform(embedding::double[], lambda x: x * 4) v from embeddings) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as first, 1.0::double as length from n",
-    "vec_add_stats": "select count(*) n_added, count(*) filter (vec_id % 3 <> 0) n_new, count(*) filter (vec_id % 3 = 0) n_duplicate from embeddings where vec_id % 2 = 0",
+    "vec_add_stats": "select count(*) n_added, count(*) filter (vec_id is null) n_new, count(vec_id) n_duplicate from documents left join embeddings on vec_id = doc_id",
     "vec_topk": _v("vectors", SEM, f"select chunk_id, round(score, 6) score from sem order by 2 desc, 1 limit {K}"),
     "vec_topk_batch": _v("vectors", RANK, "select qid, chunk_id, score, rank::int rank from ranked"),
     "vec_topk_filtered": _v("vectors", SEM, f"select chunk_id, round(score, 6) score from sem join vectors using (chunk_id) where document_id = 'd3' order by 2 desc, 1 limit {K}"),
@@ -364,7 +397,7 @@ SQL = {
     "vec_rebuild": W("chunk_vectors", body="select chunk_id, document_id, md5(text[1:500]) text_md5, len(embedding) dimension from chunk_vectors"),
     "vec_meta": W("chunks", body="select chunk_id, length(text[1:500]) n, section_id, token_count, chunk_index from chunks"),
     "embed_hash": f"with t as (select doc_id::varchar chunk_id, unnest({X.TOK.format('text', 2)}) t from documents), b as (select chunk_id, (('0x' || md5(t)[1:6])::bigint % 16) bucket, count(*)::double n from t group by all) select chunk_id, bucket, round(n / sqrt(sum(n * n) over (partition by chunk_id)), 6) as value from b",
-    "bm25_index": f"with {BM_DOCS} select term, df, round(idf, 6) idf from idf where df >= 3",
+    "bm25_index": f"with {BM_DOCS} select term, df, round(idf, 6) idf from idf",
     "bm25_search": f"with {BM_DOCS} select chunk_id, round(bm25, 6) bm25 from bm",
     "semantic_search": _v("vectors", SEM, f"select chunk_id, round(score, 6) semantic_score, 0.0::double bm25_score, round(score, 6) hybrid_score from sem order by 2 desc, 1 limit {K}"),
     "hybrid_fuse": _v("vectors", f"{SEM}, {BM_DOCS}, {FUSE.format(how='full')}", "select * from fused"),
@@ -373,11 +406,11 @@ SQL = {
     "hybrid_by_doc": _v("chunks", BM_SCOPE, "select document_id, chunk_id, score, rank::int rank from (select document_id, chunk_id, round(bm25, 6) score, row_number() over (partition by document_id order by round(bm25, 6) desc, chunk_id) rank from bm) where rank <= 3"),
     "q_search_chunks": _v("vectors chunks", SEM + f", best as (select chunk_id::bigint vec_id, round(score, 6) score from sem order by 2 desc, chunk_id limit {K})", "select vec_id, score, c.chunk_id, md5(text[1:300] || '...') shown from best left join chunks c using (vec_id)"),
     "query_expand": f"select query, query || ' ' || array_to_string(([query] || {_EXP})[1:5], ' ') expanded from (values " + ", ".join(f"('{q}')" for q in QUERIES_TEXT) + ") v(query)",
-    "mmr_search": None,
+    "mmr_search": _recursive("vectors", SEM + ", best as (select 'all' document_id, chunk_id, vec_id chunk_index, 1 token_count, round(score, 6) score, embedding from sem join vectors using (chunk_id) order by round(score, 6) desc, vec_id limit 50), " + _mmr("best", K, "1"), "select chunk_id, score, pick from m"),
     "rel_top_score": _v("vectors", REL, "select qid, top_score, variance, top_part from parts"),
     "rel_distribution": _v("vectors", REL, "select qid, distribution_part from parts"),
     "rel_overview": _v("chunk_vectors", """f as (select * from chunk_vectors qualify row_number() over (partition by document_id order by chunk_index) <= 3),
-  mean as (select document_id, list(m order by p) o from (select document_id, p, avg(embedding[p]::double) m from (select document_id, embedding, unnest(range(1, 65)) p from f) group by all) group by 1)""", "select vec_id qid, document_id, round(list_dot_product(embedding::double[], o) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(o, o)), 6) similarity from mean, embeddings where vec_id < 8"),
+  mean as (select document_id, list(m order by p) o from (select document_id, p, avg(embedding[p]::double) m from (select document_id, embedding, unnest(range(1, 65)) p from f) group by all) group by 1)""", "select vec_id qid, document_id, round(list_dot_product(embedding::double[], o) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(o, o)), 6) similarity from mean, embeddings where vec_id % 50 = 0"),
     "rel_overlap": _v("vectors", OVER, "select * from overlap"),
     "rel_combined": _v("vectors", COMB, "select * from comb"),
     "rel_strategy": _v("vectors", COMB, """select qid, preset, case when relevance_score >= h and top_score >= t then 'search' when relevance_score >= l then 'hybrid' else 'representative' end strategy,
@@ -388,7 +421,11 @@ SQL = {
     "sel_repr_score": _v("chunk_vectors", SCORE, "select chunk_id, score from scored"),
     "sel_search_budget": _v("chunk_vectors vectors", SEM + """, r as (select c.document_id, c.chunk_id, token_count, round(score, 6) score from chunk_vectors c join sem on sem.chunk_id = c.vec_id::varchar),
   b as (select *, row_number() over w place, sum(token_count) over w spent from r window w as (partition by document_id order by score desc, chunk_id))""", "select document_id, chunk_id, place::int place from b where spent <= 3000 and place <= 13"),
-    "sel_mmr": None, "sel_representative": None, "sel_repr_excl": None, "sel_by_search": None, "sel_adjacent_budget": None,
+    "sel_mmr": _recursive("chunk_vectors", SCORE + ", " + _mmr("scored", 7), "select * from m"),
+    "sel_representative": _recursive("chunk_vectors", SCORE + ", " + _representative("scored", 13), "select * from rep"),
+    "sel_repr_excl": _recursive("chunk_vectors", PICK + ", rest as (select * from scored where chunk_id not in (select chunk_id from picked)), " + _representative("rest", 5), "select * from rep"),
+    "sel_by_search": _recursive("chunk_vectors vectors", f"{SCORE}, {FOUND}, rest as (select * from scored where chunk_id not in (select chunk_id from found)), " + _representative("rest", 4), "select document_id, chunk_id, selection_method from rep union all select document_id, chunk_id, 'search' from found"),
+    "sel_adjacent_budget": None,
     "sel_all": W("chunks", body="select chunk_id, 1.0::double score, 'all' selection_method from chunks"),
     "sel_adjacent": _v("chunk_vectors", ADJ, "select document_id, chunk_id, score, 'context_expansion' selection_method from added union all select document_id, chunk_id, score, 'representative' from picked"),
     "sel_coverage": _v("chunk_vectors", PICK + """, mine as (select * from picked where section_id like '%en'), sec as (select document_id, section_id, min(chunk_index) fi from placed group by all), cov as (select distinct document_id, section_id from mine),

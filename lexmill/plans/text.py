@@ -202,7 +202,7 @@ def chunk_split_table(s, sf):
 ITEMS = [
     ("k", 0, "Chapter 1", 24.0), ("k", 1, "I. Basics", 20.0), ("k", 2, "Some Longer Remark Here", 18.0), ("k", 3, "Another Remark Of This Kind", 18.0), ("k", 4, "I.1 Details", 16.0), ("k", 5, "(a) first case of it", 15.0), ("k", 6, "2. Next", 20.0), ("k", 7, "2.1 Part", 18.0), ("k", 8, "2.1.3.4.5.6 Deep", 12.0), ("k", 9, "A. Letter", 14.0), ("k", 10, "Cancel", 14.0), ("k", 11, "8 Events", 14.0), ("k", 12, "Page 3", 9.0), ("k", 13, "3 / 12", 9.0), ("k", 14, "• item", 14.0), ("k", 15, "Tiny Footer Words In Small Type", 4.0), ("k", 16, "[tag] II. Tagged", 20.0), ("k", 17, "IIII. odd numeral", 20.0), ("k", 18, "XXXXX. no numeral", 20.0), ("k", 19, "party time for everyone here", 20.0),
     ("m", 0, "Plain Heading Of Some Size", 22.0), ("m", 1, "Second Plain Heading Follows", 20.0), ("m", 2, "1. Numbered", 22.5), ("m", 3, "Overview", 30.0), ("m", 4, "Ab cd", 20.0), ("m", 5, "Data Types", 20.0), ("m", 6, "(1) paren", 20.0),
-    ("n", 0, "(b) paren comes first", 12.0), ("n", 1, "Then A Plain Heading Comes", 12.0), ("n", 2, "Kết luận", 12.0), ("n", 3, "AIO2024 course", 12.0), ("n", 4, "1.2.3 numbered deep", 11.0),
+    ("n", 0, "(b) paren comes first", 12.0), ("n", 1, "Then A Plain Heading Comes", 12.0), ("n", 2, "Kết luận", 12.0), ("n", 3, "Acme2024 course", 12.0), ("n", 4, "1.2.3 numbered deep", 11.0),
 ]
 ITEM_SQL = "items as (select * from (values " + ", ".join("('{}', {}::bigint, '{}', {}::double)".format(d, p, v.replace("'", "''"), h) for d, p, v, h in ITEMS) + ") v(doc, pos, value, h))"
 
@@ -253,7 +253,7 @@ facts0 as (select *, case kind when 'roman' then 1 when 'roman_arabic' then 2 wh
 facts as (select *, (regexp_matches(v, '^{H.BULLET}') and (length(regexp_replace(v, '^{H.BULLET}\s*', '')) < 10 or not regexp_matches(regexp_replace(v, '^{H.BULLET}\s*', '')[1:5], '\p{{Lu}}')))
   or lower(v) in ({_WORDS}) or regexp_matches(v, '^\d+\s+[A-Za-z]+s?$')
   or (len(list_filter(regexp_split_to_array(value, '\s+'), lambda w: w <> '')) <= 2 and length(value) < 20 and kind is null and not is_title and not regexp_matches(v, '^[A-Z][a-z]+\s+[A-Z][a-z]+'))
-  or regexp_matches(v, '(?i)^(page\s+)?\d+$') or regexp_matches(v, '^\d+\s*/\s*\d+$') or regexp_matches(v, '(?i)^AI\s+VIET\s+NAM') or regexp_matches(v, '(?i)^@.*\.edu\.vn') or regexp_matches(v, '(?i)^AIO\d+') is_screen from facts0),
+  or regexp_matches(v, '(?i)^(page\s+)?\d+$') or regexp_matches(v, '^\d+\s*/\s*\d+$') or regexp_matches(v, '(?i)^@.*\.edu\.vn') is_screen from facts0),
 heights as (select doc, h, rn::int as level from (select doc, h, row_number() over (partition by doc order by h desc) rn from (select distinct doc, h from facts where (kind is not null or is_title) and h > 0)) where rn <= 6)"""
 LEVEL_SQL = rf"""{FACTS_SQL}, least_h as (select doc, coalesce(min(h) filter ((kind is not null or is_title) and h > 0) * 0.85::double, 10) lh from facts group by doc),
 heads as (select f.*, row_number() over (partition by f.doc order by pos) nth, case when kind in ('roman', 'letter') then 2 when kind = 'roman_arabic' then 3 when kind = 'decimal' then least(depth + 1, 6) when kind is null and is_title then 1 end fixed
@@ -307,6 +307,9 @@ SQL = {
     "md_height_levels": f"with {FACTS_SQL} select doc, h, level from heights",
     "md_levels": f"with {LEVEL_SQL} select doc, pos, level from items left join levels using (doc, pos)",
     "md_gap_compress": f"with {LEVEL_SQL} select doc, pos, dense_rank() over (partition by doc order by level)::int as level from levels",
-    "md_build": None,
+    "md_build": f"""with {LEVEL_SQL}, texts as (select * from (values ('k', 5, 'text', 'A paragraph.', ''), ('k', 15, 'table', '', '| a | b |'), ('m', 1, 'text', '', '')) v(doc, pos, type, value, md)),
+  placed as (select doc, pos * 2 pos, case when level is null then value else repeat('#', level) || ' ' || value end line from items left join (select doc, pos, dense_rank() over (partition by doc order by level)::int as level from levels) using (doc, pos)
+    union all select doc, pos, case type when 'text' then value else md end || chr(10) from texts where value <> '' or md <> ''),
+  built as (select doc, string_agg(line, chr(10) order by pos) markdown from placed where line <> '' group by 1) select doc, md5(markdown) markdown_md5, len(string_split(markdown, chr(10))) n_lines from built""",
 }
 QUERIES = {name: (globals()[name], sql) for name, sql in SQL.items()}
