@@ -50,18 +50,22 @@ def _best() -> Column:
     return F.min(F.struct((F.col("license") == VAGUE).alias("vague"), (-F.col("score")).alias("s"), F.col("license").alias("l")))
 
 
-def best_template(units: DataFrame, least: Column, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(u, license, score): the licence whose templates have the highest cosine to each unit of text (columns u, unit), from ``least`` on.
+#: What tells units of text apart: two 64-bit hashes of different seeds, and the cosine that is asked for.
+KEY = ["h1", "h2", "least"]
+
+
+def best_template(units: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(KEY, license, score): the licence whose templates have the highest cosine to each unit of text (columns KEY, unit), from ``least`` on.
 
     Scores are rounded to 6 places; ties go to the lesser licence name. Only the constant template table is broadcast.
     """
     weights, unknown = template_weights(units.sparkSession, templates)
     idf = F.broadcast(weights.select("term", "idf").distinct())
-    terms = units.select("u", "least", F.explode(_terms("unit")).alias("term")).groupBy("u", "least", "term").agg(F.count("*").alias("tf"))
+    terms = units.select(*KEY, F.explode(_terms("unit")).alias("term")).groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
     valued = terms.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown))).drop("idf")
-    normed = valued.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("u"))))
-    scored = normed.join(F.broadcast(weights.select("t", "license", "term", "w")), "term").groupBy("u", "least", "t", "license").agg(F.round(F.sum(F.col("v") * F.col("w") / F.col("norm")), 6).alias("score"))
-    return scored.where(F.col("score") >= least).groupBy("u").agg(_best().alias("b")).select("u", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"))
+    normed = valued.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*KEY))))
+    scored = normed.join(F.broadcast(weights.select("t", "license", "term", "w")), "term").groupBy(*KEY, "t", "license").agg(F.round(F.sum(F.col("v") * F.col("w") / F.col("norm")), 6).alias("score"))
+    return scored.where("score >= least").groupBy(*KEY).agg(_best().alias("b")).select(*KEY, F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -82,10 +86,9 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     parts = F.filter(F.split("text", PARAGRAPH), lambda x: x.rlike(HINT))
     units = hinted.select("k", "named", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), lambda x: x.rlike(HINT)), parts, F.array(F.array_join(parts, "\n"))))).alias("unit"), F.lit(2).alias("rank"))
     units = units.unionByName(hinted.select("k", "named", F.col("text").alias("unit"), F.lit(1).alias("rank")))
-    units = units.withColumn("least", F.when((F.col("rank") == 2) | F.col("named"), threshold).otherwise(file_threshold))
+    units = units.withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit"), "least": F.when((F.col("rank") == 2) | F.col("named"), threshold).otherwise(file_threshold)})
     # a part that many rows share is scored once
-    distinct = units.select("unit", "least").distinct().select(F.struct("unit", "least").alias("u"), "unit", "least")
-    found = units.join(best_template(distinct, F.col("least"), templates).select("u.unit", "u.least", "license", "score"), ["unit", "least"])
+    found = units.select("k", "named", "rank", *KEY).join(best_template(units.dropDuplicates(KEY), templates), KEY)
     own = found.groupBy("k", "named").agg(F.min(F.struct((F.col("license") == VAGUE).alias("vague"), (-F.col("score")).alias("s"), F.col("license").alias("l"), "rank")).alias("b"))
     own = staged(own.select("k", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), F.when(F.col("named") | (F.col("b.rank") == 1), "file").otherwise("header").alias("origin")), "own")
 
