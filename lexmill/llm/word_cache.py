@@ -78,12 +78,13 @@ class PieceTable:
         return ids + self.trails[trail]
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces - self.ids.keys())
-        known = pieces & self.ids.keys()
-        self.again |= known
+        new, known = [], []
+        for piece in pieces:  # set operators would go through the whole table
+            (known if piece in self.ids else new).append(piece)
+        self.again.update(known)
         if len(self.ids) + len(new) > TABLE_ENTRIES:
             if len(self.again) > TABLE_ENTRIES // 2:
-                self.again = known
+                self.again = set(known)
             self.ids = {p: self.ids[p] for p in self.again}
             self.words = {p: self.words[p] for p in self.ids if p in self.words}
             self.blank &= self.ids.keys()
