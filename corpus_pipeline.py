@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, tokenisation.
 
 Each stage takes (spark, docs, sf_dir), docs being all that the stage before it kept, and returns a
-DataFrame. All but the last return the columns of ``documents``.
+DataFrame. All but the last return the columns of ``documents``. In every stage a null text is empty,
+rows with a null id and repeated rows are judged each by its own text, an empty table gives an empty
+table, and columns beside ``documents``' own are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier chain rejects."""
+    """Drop documents that the classifier chain rejects; without labels none is."""
     return drop_toxic(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least id, of each SimHash group."""
+    """Keep one document, that of the least id, of each SimHash group; word-less texts are one group."""
     ship(spark)
     return keep_one_per_group(docs)
 
@@ -47,12 +49,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage."""
+    """Drop documents that hold a benchmark passage; null and empty items match nothing."""
     return drop_contaminated(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode every text: doc_id, n_tokens, ids, decoded."""
+    """Encode and decode every text: doc_id, n_tokens, ids, decoded; an empty text has no ids. One row for each row."""
     ship(spark)
     return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
