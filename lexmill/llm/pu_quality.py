@@ -105,8 +105,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 30
     """Share of positives among unlabelled rows, from those two samples alone.
 
     On one half, a linear model tells positives from unlabelled rows. On the other half, the share of unlabelled over
-    that of positive scores above a cut cannot be below the prior; the cut is taken where the share plus twice
-    its sampling error is least (best-bin estimation). The lesser of both halves' values is returned.
+    that of positive scores above a cut cannot be below the prior; the cut is taken where the share plus its
+    sampling error is least (best-bin estimation). The lesser of both halves' values is returned.
     """
     out = []
     for k in (0, 1):
@@ -122,8 +122,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 30
         cuts = np.quantile(sp, np.linspace(0, 0.95, 96))
         above_p, above_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (sp, su))
         share = above_u / above_p
-        error = share * np.sqrt((1 - above_p) / above_p / len(sp) + (1 - above_u) / np.maximum(above_u, 1e-9) / len(su))
-        out.append(float(share[np.argmin(share + 2 * error)]))
+        error = (np.sqrt(np.log(40) / 2 / len(su)) + share * np.sqrt(np.log(40) / 2 / len(sp))) / above_p
+        out.append(float(share[np.argmin(share + error)]))
     return min(max(min(out, default=0.5), 0.01), 0.99)
 
 
