@@ -97,6 +97,36 @@ def generate(prompts: DataFrame, model: Model, key: str, prompt_col: str = "prom
     return prompts.select(key, prompt_col).mapInPandas(kernel, f"{key} {prompts.schema[key].dataType.simpleString()}, output string")
 
 
+class Adapter:
+    """The five requests to a model, each over rows of passages and with a (key, output) row for each; ``output`` is the model's text."""
+
+    def __init__(self, model: Model, key: str):
+        self.model, self.key = model, key
+
+    def _ask(self, rows: DataFrame, prompt: Column) -> DataFrame:
+        return generate(rows.select(self.key, prompt.alias("prompt")), self.model, self.key)
+
+    def multiple_choice(self, rows: DataFrame) -> DataFrame:
+        """rows: passage, language, index, existing (earlier questions)."""
+        return self._ask(rows, mcq_prompt(F.col("passage"), F.col("language"), F.col("index"), F.col("existing")))
+
+    def batch(self, rows: DataFrame) -> DataFrame:
+        """rows: passage, language, n, plan_lines."""
+        return self._ask(rows, batch_prompt(F.col("passage"), F.col("language"), F.col("n"), F.col("plan_lines")))
+
+    def distractors(self, rows: DataFrame) -> DataFrame:
+        """rows: passage, correct, candidates."""
+        return self._ask(rows, distractor_prompt(F.col("passage"), F.col("correct"), F.col("candidates")))
+
+    def short_answer(self, rows: DataFrame) -> DataFrame:
+        """rows: passage, language."""
+        return self._ask(rows, short_prompt(F.col("passage"), F.col("language")))
+
+    def true_false(self, rows: DataFrame) -> DataFrame:
+        """rows: passage, language."""
+        return self._ask(rows, true_false_prompt(F.col("passage"), F.col("language")))
+
+
 # ---- repair of JSON that was cut off
 
 _DECODER = json.JSONDecoder()

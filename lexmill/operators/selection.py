@@ -111,23 +111,23 @@ def select_representative(scored: DataFrame, n: int, doc: str = "document_id", b
     return small.unionByName(kept).withColumn("selection_method", F.lit("representative"))
 
 
-def add_neighbours(selected: DataFrame, chunks: DataFrame, doc: str = "document_id", budget: int | None = None) -> DataFrame:
+def add_neighbours(selected: DataFrame, chunks: DataFrame, doc: str = "document_id", budget: int | None = None, turn: str = "chunk_index") -> DataFrame:
     """``selected`` and, of each pick, the chunks before and behind it in the same section, at 0.8 of its score.
 
-    A neighbour of two picks goes to the earlier one. With a budget, each document's neighbours are taken in
+    A neighbour of two picks goes to the earlier one in the order of ``turn``, a column of ``selected``. With a budget, each document's neighbours are taken in
     order, those that do not fit are passed over and later ones may still fit, which needs a sequential kernel.
     """
-    sides = selected.select(doc, F.col("chunk_index").alias("of"), F.col("score").alias("base"), "section_id", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    sides = selected.select(doc, F.col("chunk_index").alias("of"), F.col(turn).alias("turn"), F.col("score").alias("base"), "section_id", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
     wanted = sides.withColumn("chunk_index", F.col("of") + F.col("side"))
     here = chunks.select(doc, "section_id", "chunk_index", "chunk_id", "token_count")
     found = wanted.join(here, [doc, "section_id", "chunk_index"]).join(selected.select(doc, "chunk_id"), [doc, "chunk_id"], "left_anti")
-    first = found.withColumn("rn", F.row_number().over(Window.partitionBy(doc, "chunk_id").orderBy("of", "side"))).where("rn = 1")
-    added = first.select(doc, "chunk_id", "chunk_index", "token_count", F.round(F.col("base") * 0.8, 6).alias("score"), "section_id", "of", "side", F.lit("context_expansion").alias("selection_method"))
+    first = found.withColumn("rn", F.row_number().over(Window.partitionBy(doc, "chunk_id").orderBy("turn", "side"))).where("rn = 1")
+    added = first.select(doc, "chunk_id", "chunk_index", "token_count", F.round(F.col("base") * 0.8, 6).alias("score"), "section_id", "turn", "side", F.lit("context_expansion").alias("selection_method"))
     if budget is not None:
         spent = selected.groupBy(doc).agg(F.sum("token_count").alias("spent"))
 
         def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["of", "side"], kind="stable")
+            frame = frame.sort_values(["turn", "side"], kind="stable")
             room, keep = budget - int(frame["spent"].iloc[0]), []
             for cost in frame["token_count"]:
                 keep.append(cost <= room)
@@ -135,7 +135,7 @@ def add_neighbours(selected: DataFrame, chunks: DataFrame, doc: str = "document_
             return frame[keep].drop(columns="spent")
 
         added = added.join(spent, doc).groupBy(doc).applyInPandas(kernel, added.schema)
-    added = added.drop("of", "side")
+    added = added.drop("turn", "side")
     return selected.select(*added.columns).unionByName(added)
 
 
@@ -150,3 +150,49 @@ def cover_sections(selected: DataFrame, chunks: DataFrame, doc: str = "document_
     running = F.sum("token_count").over(Window.partitionBy(doc).orderBy("first_index").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = best.withColumn("total", running + F.coalesce("used", F.lit(0))).where(F.col("total") <= budget)
     return out.select(doc, "chunk_id", "chunk_index", "token_count", F.round(1 / (1 + F.col("distance")), 6).alias("score"), "section_id", F.lit("section_coverage").alias("selection_method"))
+
+
+PICKED = ["chunk_id", "chunk_index", "token_count", "score", "section_id", "selection_method"]
+
+
+def select_by_strategy(decided: DataFrame, found: DataFrame, scored: DataFrame, chunks: DataFrame, n: int, doc: str = "document_id", budget: int = BUDGET) -> DataFrame:
+    """(doc, chunk_id, chunk_index, token_count, score, section_id, selection_method): the branch that each document's strategy names.
+
+    decided: (doc, strategy), a row a document. found: search results as (doc, chunk_id, chunk_index, token_count, score,
+    section_id). scored: ``representative_scores`` of all chunks. search: the n best within the budget, and neighbours
+    within what is left if they are fewer; hybrid: six tenths of n from search, the rest representative among the
+    other chunks, each part with a budget of its own; representative: marked as a fallback.
+    """
+    share = int(n * 0.6)
+    of = lambda rows, name: rows.join(decided.where(F.col("strategy") == name).select(doc), doc, "left_semi")
+    order = [F.desc("score"), F.col("chunk_id")]
+    place = chunks.select(doc, "chunk_id", "section_id")
+
+    leading = lambda rows, most: budget_prefix(rows, doc, order, most, budget).select(doc, *PICKED[:-1], F.lit("search").alias("selection_method"), "place")
+    spread = lambda rows, most: select_representative(rows, most, doc, budget).join(place, [doc, "chunk_id"]).select(doc, *PICKED)
+
+    search = leading(of(found, "search"), n)
+    short = search.groupBy(doc).agg(F.count("*").alias("k")).where(F.col("k") < n)
+    wider = add_neighbours(search.join(short, doc, "left_semi"), chunks, doc, budget, "place").select(doc, *PICKED)
+    mixed = leading(of(found, "hybrid"), share).drop("place")
+    rest = spread(of(scored, "hybrid").join(mixed.select(doc, "chunk_id"), [doc, "chunk_id"], "left_anti"), n - share)
+    fallback = spread(of(scored, "representative"), n).withColumn("selection_method", F.lit("representative_fallback"))
+    out = search.join(short, doc, "left_anti").select(doc, *PICKED)
+    for part in (wider, mixed, rest, fallback):
+        out = out.unionByName(part)
+    return out
+
+
+def select_candidates(prompts: DataFrame, decided: DataFrame, found: DataFrame, scored: DataFrame, chunks: DataFrame, n: int, doc: str = "document_id") -> DataFrame:
+    """The columns of ``select_by_strategy``: documents whose prompt (doc, prompt) is not blank by their strategy, search where none
+    is decided; all others representative, with uncovered sections added."""
+    asked = prompts.where(F.trim("prompt") != "").select(doc).distinct()
+    strategies = asked.join(decided.select(doc, "strategy"), doc, "left").select(doc, F.coalesce("strategy", F.lit("search")).alias("strategy"))
+    quiet = scored.join(asked, doc, "left_anti")
+    whole = staged(select_representative(quiet, n, doc).join(chunks.select(doc, "chunk_id", "section_id"), [doc, "chunk_id"]).select(doc, *PICKED), "representative")
+    cover = cover_sections(whole, quiet, doc).select(doc, *PICKED)
+    return select_by_strategy(strategies, found, scored, chunks, n, doc).unionByName(whole).unionByName(cover)
+
+
+def selection_summary(selected: DataFrame, doc: str = "document_id") -> DataFrame:
+    return selected.groupBy(doc, "selection_method").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))

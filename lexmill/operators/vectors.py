@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -141,6 +143,34 @@ def hashed_embedding(docs: DataFrame, tokens: Column, key: str, dimension: int =
     return counts.withColumn("value", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))), 6)).drop("n")
 
 
+def hashing_encoder(dimension: int = 64):
+    """An encoder for ``encode``: unit-length counts of words in buckets of their md5; a text without words gives zeros."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        known: dict[str, int] = {}
+        out = np.zeros((len(texts), dimension))
+        for i, text in enumerate(texts):
+            for word in text.split():
+                if word not in known:
+                    known[word] = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dimension
+                out[i, known[word]] += 1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+    return run
+
+
+def encode(rows: DataFrame, encoder, key: str, text: Column) -> DataFrame:
+    """(key, embedding): any encoder from a list of texts to a matrix, called in Arrow batches on the executors; null counts as empty."""
+
+    def kernel(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(encoder(batch.column("__text").to_pylist())), pa.list_(pa.float64()))], [key, "embedding"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.coalesce(text, F.lit("")).alias("__text")).mapInArrow(kernel, f"{key} {kind}, embedding array<double>")
+
+
 def remove(vectors: DataFrame, gone: DataFrame, key: str = "chunk_id") -> DataFrame:
     return vectors.join(gone.select(key).distinct(), key, "left_anti")
 

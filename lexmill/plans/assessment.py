@@ -8,6 +8,7 @@ from lexmill.functions.text import clean_choice, drop_trailing_commas, fenced_js
 from lexmill.operators import cache as E
 from lexmill.operators import generation as N
 from lexmill.operators import planning as P
+from lexmill.operators import quiz as Q
 from lexmill.streaming import tumbling_counts
 
 from . import fixtures as X
@@ -64,6 +65,12 @@ def question_source(s, sf):
     return wanted.join(rows.select("document_id", "chunk_index", "chunk_id"), ["document_id", "chunk_index"]).select("document_id", "question", "chunk_id")
 
 
+def quiz_main(s, sf):
+    """The main path for every text: chunks, sections, vectors, selection, plan, questions with points."""
+    made = Q.make_quiz(X.table(s, sf, "documents"), {"easy": 3, "medium": 3, "hard": 2, "single": 4, "multiple": 4}, F.lit(10.0))
+    return made.questions
+
+
 # Answers as models give them, and option texts with their letters.
 ANSWERS = [(1, "a", True), (2, " B ,c", True), (3, "b,d,x,b", False), (4, "", True), (5, "z", False), (6, "D,A", False)]
 CHOICES = ["A) first", "b. second", "C", "d:x", "E) other", "A-", "Ab text", " A] spaced ", "plain"]
@@ -264,6 +271,7 @@ SQL = {
     "json_fence": f"select id, {_FENCE} body from {_J}",
     "json_fix_commas": f"select id, regexp_replace(t, ',(\\s*[}}\\]])', '\\1', 'g') fixed from {_J}",
     "json_parse": "select event_id, json_extract(props, '$.k')::bigint k from events",
+    "quiz_main": None,
     "json_repair": None,
     "json_validate": "select 1::bigint id, 'q1' kept union all select 3, 'r'",
     "cache_key": "select doc_id, md5('model:' || text) as key from documents",

@@ -138,10 +138,22 @@ def q_search_chunks(s, sf):
 QUERIES_TEXT = ["chọn cột trong bảng", "SQL với pandas", "không có gì", "lọc HÀNG"]
 
 
+#: The same with words that the test tables hold.
+EXPANDED_TEXT = [*QUERIES_TEXT[:2], "the license of SQL", "pandas and the"]
+
+
 def query_expand(s, sf):
     return s.createDataFrame([(q,) for q in QUERIES_TEXT], "query string").select("query", S.expand_query(c("query")).alias("expanded"))
 
 
+def query_expand_search(s, sf):
+    """The five best documents of each widened query, by hashed vectors of 64 buckets."""
+    words = lambda text: F.array_join(tokens(text), " ")
+    asked = s.createDataFrame([(i, q) for i, q in enumerate(EXPANDED_TEXT)], "qid long, query string")
+    queries = V.encode(asked, V.hashing_encoder(), "qid", words(S.expand_query(c("query"))))
+    return V.top_k_batch(V.encode(_docs(s, sf), V.hashing_encoder(), "chunk_id", words(c("text"))), queries, 5)
+
+
 def mmr_search(s, sf):
     q = F.array(*[F.lit(x) for x in _q0(s, sf)])
     scored = X.vectors(s, sf).select(F.lit("all").alias("document_id"), "chunk_id", c("vec_id").alias("chunk_index"), F.lit(1).alias("token_count"), F.round(V.dot(c("embedding"), q), 6).alias("score"), "embedding")
@@ -254,6 +266,49 @@ def sel_by_search(s, sf):
     return found.unionByName(rest.select("document_id", "chunk_id", "selection_method"))
 
 
+#: Questions asked of each document, and the chunks that they need.
+ASKED, NEEDED = 4, 6
+#: Prompts of the strategy tests by the number of the source modulo four: how far the prompt's vector leans to the document's first chunk; none: no prompt.
+LEANING = {0: 1.0, 1: 0.5, 2: 0.0, 3: None}
+
+
+def _leaning():
+    number = F.regexp_extract("document_id", r"(\d+)", 1).cast("int") % 4
+    return F.element_at(F.create_map(*[x for k, v in LEANING.items() for x in (F.lit(k), F.lit(v).cast("double"))]), number)
+
+
+def _prompts(s, sf):
+    return X.chunks(s, sf).select("document_id").distinct().select("document_id", F.when(_leaning().isNotNull(), "a prompt").otherwise("  ").alias("prompt"))
+
+
+def _found(s, sf):
+    """Hybrid results of each document's prompt, twice as many as are needed."""
+    rows = X.chunk_vectors(s, sf)
+    own = rows.groupBy("document_id").agg(F.min_by("embedding", "chunk_index").alias("own")).withColumn("lean", _leaning()).where("lean is not null")
+    q = F.transform(F.arrays_zip("own", F.array(*[F.lit(x) for x in _q0(s, sf)]).alias("other")), lambda z: c("lean") * z["own"] + (1 - c("lean")) * z["other"])
+    score = rows.join(own.select("document_id", q.alias("q")), "document_id").withColumn("score", V.dot(c("embedding"), c("q")))
+    fused = S.fuse(score.select("chunk_id", "score"), S.bm25(_index(s, sf, "scope"), TERMS), how="left").select("chunk_id", c("hybrid_score").alias("score"))
+    return S.ranked(rows.select("document_id", "chunk_id", "chunk_index", "token_count", "section_id").join(fused, "chunk_id"), "document_id").where(c("rank") <= 2 * NEEDED)
+
+
+def _decided(s, sf):
+    parts = S.relevance_parts(_found(s, sf), "document_id")
+    score = S.combined_relevance(c("top_part"), F.lit(None).cast("double"), F.lit(None).cast("double"), c("distribution_part"))
+    return parts.select("document_id", S.strategy(F.round(score, 6), c("top_score"))["strategy"].alias("strategy"))
+
+
+def sel_strategy(s, sf):
+    """All three branches of the switch, each document by what its prompt is judged to be."""
+    out = L.select_by_strategy(_decided(s, sf), _found(s, sf), _scored(s, sf), X.chunk_vectors(s, sf), NEEDED)
+    return out.select("document_id", "chunk_id", "token_count", "selection_method")
+
+
+def sel_dispatch(s, sf):
+    """Documents with a prompt by its strategy, the others representative and covered; summed up."""
+    rows = X.chunk_vectors(s, sf)
+    return L.selection_summary(L.select_candidates(_prompts(s, sf), _decided(s, sf), _found(s, sf), _scored(s, sf), rows, NEEDED))
+
+
 def sel_adjacent(s, sf):
     return L.add_neighbours(_picked(s, sf), X.chunks(s, sf)).select("document_id", "chunk_id", "score", "selection_method")
 
@@ -348,7 +403,7 @@ SCORE = CENT + """, scored as (select *, round(3::double * (1 - distance / (max(
   + case when chunk_index / count(*) over (partition by document_id) between 0.15 and 0.85 then 2 when chunk_index / count(*) over (partition by document_id) between 0.05 and 0.95 then 1 else 0 end, 6) score from placed)"""
 PICK = SCORE + ", picked as (select * from scored qualify row_number() over (partition by document_id order by score desc, chunk_index) <= 3)"
 ADJ = PICK + """, sides as (select document_id, chunk_index as_of, score base, section_id, unnest([-1, 1]) side from picked),
-added as (select s.document_id, c.chunk_id, c.token_count, round(base * 0.8::double, 6) score, 'context_expansion' selection_method from sides s join chunks c on c.document_id = s.document_id and c.section_id = s.section_id and c.chunk_index = as_of + side
+added as (select s.document_id, c.chunk_id, c.token_count, as_of, side, round(base * 0.8::double, 6) score, 'context_expansion' selection_method from sides s join chunks c on c.document_id = s.document_id and c.section_id = s.section_id and c.chunk_index = as_of + side
   where c.chunk_id not in (select chunk_id from picked) qualify row_number() over (partition by s.document_id, c.chunk_id order by as_of, side) = 1)"""
 JUDGE = RANK + ", judged as (select r.qid, rank, e.label = q.label relevant from ranked r join embeddings e on e.vec_id::varchar = r.chunk_id join embeddings q on q.vec_id = r.qid)"
 PREC = "per as (select qid, count(*) filter (relevant and rank <= 1) / 1 p1, count(*) filter (relevant and rank <= 3) / 3 p3, count(*) filter (relevant and rank <= 5) / 5 p5, coalesce(round(1.0::double / min(rank) filter (relevant), 6), 0) rr from {} group by 1)"
@@ -371,10 +426,18 @@ def _mmr(base: str, n: int, scale: str = "5", name: str = "m") -> str:
 {name} as (select document_id, chunk_id, chunk_index, token_count, score, o.pick from {name}_o o join {name}_b using (document_id, chunk_index))"""
 
 
-def _representative(base: str, n: int) -> str:
-    sized = f"sized as (select *, count(*) over (partition by document_id) n_chunks from {base}), large as (select * from sized where n_chunks > {n})"
-    return f"""{sized}, {_mmr('large', n)}, fits as (select *, sum(token_count) over (partition by document_id order by pick) spent from m),
-rep as (select document_id, chunk_id, chunk_index, token_count, 1.0::double score, 'representative' selection_method from sized where n_chunks <= {n} union all select document_id, chunk_id, chunk_index, token_count, score, 'representative' from fits where spent <= 3000)"""
+def _representative(base: str, n: int, name: str = "rep") -> str:
+    sized = f"{name}_sized as (select *, count(*) over (partition by document_id) n_chunks from {base}), {name}_large as (select * from {name}_sized where n_chunks > {n})"
+    return f"""{sized}, {_mmr(name + '_large', n, name=name + '_m')}, {name}_fits as (select *, sum(token_count) over (partition by document_id order by pick) spent from {name}_m),
+{name} as (select document_id, chunk_id, chunk_index, token_count, 1.0::double score, 'representative' selection_method from {name}_sized where n_chunks <= {n} union all select document_id, chunk_id, chunk_index, token_count, score, 'representative' from {name}_fits where spent <= 3000)"""
+
+
+def _room(rows: str, used: str) -> str:
+    """taken: rows (document_id, chunk_id, token_count, turn, side) in order, each if it still fits beside what is used."""
+    return f"""line as (select *, row_number() over (partition by document_id order by turn, side) i from {rows}),
+walk as (select document_id, 0::bigint i, (3000 - used)::bigint room, '' chunk_id, false kept from {used}
+  union all select w.document_id, l.i, (w.room - case when l.token_count <= w.room then l.token_count else 0 end)::bigint, l.chunk_id, l.token_count <= w.room from walk w join line l on l.document_id = w.document_id and l.i = w.i + 1),
+taken as (select l.* from line l join walk w using (document_id, chunk_id) where w.kept)"""
 
 
 def _recursive(names: str, ctes: str, body: str) -> str:
@@ -384,6 +447,33 @@ def _recursive(names: str, ctes: str, body: str) -> str:
 FOUND = SEM + """, r as (select c.document_id, c.chunk_id, token_count, round(score, 6) score from chunk_vectors c join sem on sem.chunk_id = c.vec_id::varchar),
   b as (select *, row_number() over w place, sum(token_count) over w spent from r window w as (partition by document_id order by score desc, chunk_id)),
   found as (select document_id, chunk_id from b where spent <= 3000 and place <= 6)"""
+BUDGETED = ADJ + """, used as (select document_id, sum(token_count) used from picked group by 1), near as (select document_id, chunk_id, token_count, as_of turn, side from added), """ + _room("near", "used")
+_NUMBER = "regexp_extract(document_id, '([0-9]+)', 1)::int % 4"
+_LEANS = " ".join(f"when {k} then {v}::double" for k, v in LEANING.items() if v is not None)
+DECIDED = f"""own as (select document_id, embedding::double[] own, case {_NUMBER} {_LEANS} end lean from chunk_vectors qualify row_number() over (partition by document_id order by chunk_index) = 1),
+q as (select document_id, list_transform(list_zip(own, {_Q0}::double[]), lambda z: lean * z[1] + (1 - lean) * z[2]) q from own where lean is not null),
+hyb as (select v.document_id, v.chunk_id, chunk_index, token_count, section_id, round(0.7::double * round(list_dot_product(embedding::double[], q), 6) + (1 - 0.7::double) * round(coalesce(bm25, 0), 6), 7) score from chunk_vectors v join q using (document_id) left join bm using (chunk_id)),
+found as (select * from (select *, row_number() over (partition by document_id order by score desc, chunk_id) rank from hyb) where rank <= {2 * NEEDED}),
+agg as (select document_id, max(score) top_score, coalesce(var_pop(score) filter (rank <= 5), 0) variance, count(*) n, avg(score) filter (rank between 2 and 5) rest from found group by 1),
+parts as (select document_id, top_score, round(case when variance > 0.15 then top_score * 0.8 else top_score end, 6) top_part, round(case when n >= 5 then least(1, 3 * (top_score - rest)) end, 6) spread from agg),
+judged as (select document_id, top_score, round((0.4::double * top_part + coalesce(0.15::double * spread, 0)) / (0.4::double + case when spread is null then 0 else 0.15::double end), 6) score from parts),
+decided as (select document_id, case when score >= 0.65 and top_score >= 0.40 then 'search' when score >= 0.35 then 'hybrid' else 'representative' end strategy from judged)"""
+SWITCH = f"""{SCORE}, {BM_SCOPE}, {DECIDED},
+placed_found as (select f.*, strategy, row_number() over w place, sum(token_count) over w spent from found f join decided using (document_id) window w as (partition by document_id order by score desc, chunk_id)),
+heads as (select * from placed_found where spent <= 3000 and place <= case strategy when 'search' then {NEEDED} when 'hybrid' then {int(0.6 * NEEDED)} else 0 end),
+used as (select document_id, sum(token_count) used from heads where strategy = 'search' group by 1 having count(*) < {NEEDED}),
+near as (select s.document_id, v.chunk_id, v.token_count, place turn, side from (select l.*, unnest([-1, 1]) side from heads l semi join used using (document_id)) s join chunk_vectors v on v.document_id = s.document_id and v.section_id = s.section_id and v.chunk_index = s.chunk_index + side
+  where v.chunk_id not in (select chunk_id from heads) qualify row_number() over (partition by v.document_id, v.chunk_id order by place, side) = 1),
+{_room("near", "used")},
+mixed as (select s.* from scored s join decided using (document_id) where strategy = 'hybrid' and chunk_id not in (select chunk_id from heads)), {_representative("mixed", NEEDED - int(0.6 * NEEDED), "reph")},
+strange as (select s.* from scored s join decided using (document_id) where strategy = 'representative'), {_representative("strange", NEEDED, "repf")},
+switched as (select document_id, chunk_id, token_count, 'search' selection_method from heads union all select document_id, chunk_id, token_count, 'context_expansion' from taken
+  union all select document_id, chunk_id, token_count, selection_method from reph union all select document_id, chunk_id, token_count, 'representative_fallback' from repf)"""
+DISPATCH = f"""{SWITCH}, quiet as (select * from scored where document_id not in (select document_id from q)), {_representative("quiet", NEEDED, "repq")},
+mine as (select r.*, section_id from repq r join chunk_vectors using (document_id, chunk_id)), sec as (select document_id, section_id, min(chunk_index) fi from quiet group by all), cov as (select distinct document_id, section_id from mine),
+share as (select document_id, count(c.section_id) / count(*) coverage from sec s left join cov c using (document_id, section_id) group by 1), spent as (select document_id, sum(token_count) spent from mine group by 1),
+best as (select p.*, fi from quiet p join sec using (document_id, section_id) join share using (document_id) where coverage < 0.7 and (p.document_id, p.section_id) not in (select document_id, section_id from cov) qualify row_number() over (partition by p.document_id, p.section_id order by distance, chunk_index) = 1),
+tot as (select b.*, sum(token_count) over (partition by document_id order by fi) + coalesce(spent, 0) total from best b left join spent using (document_id))"""
 SQL = {
     "vec_normalize": "with n as (select vec_id, list_transform(embedding::double[], lambda x: x * 4) v from embeddings) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as first, 1.0::double as length from n",
     "vec_add_stats": "select count(*) n_added, count(*) filter (vec_id is null) n_new, count(vec_id) n_duplicate from documents left join embeddings on vec_id = doc_id",
@@ -406,6 +496,11 @@ SQL = {
     "hybrid_by_doc": _v("chunks", BM_SCOPE, "select document_id, chunk_id, score, rank::int rank from (select document_id, chunk_id, round(bm25, 6) score, row_number() over (partition by document_id order by round(bm25, 6) desc, chunk_id) rank from bm) where rank <= 3"),
     "q_search_chunks": _v("vectors chunks", SEM + f", best as (select chunk_id::bigint vec_id, round(score, 6) score from sem order by 2 desc, chunk_id limit {K})", "select vec_id, score, c.chunk_id, md5(text[1:300] || '...') shown from best left join chunks c using (vec_id)"),
     "query_expand": f"select query, query || ' ' || array_to_string(([query] || {_EXP})[1:5], ' ') expanded from (values " + ", ".join(f"('{q}')" for q in QUERIES_TEXT) + ") v(query)",
+    "query_expand_search": f"""with asked as (select i qid, query || ' ' || array_to_string(([query] || {_EXP})[1:5], ' ') x from (values {', '.join(f"({i}::bigint, '{q}')" for i, q in enumerate(EXPANDED_TEXT))}) v(i, query)),
+words as (select 'q' || qid k, unnest({X.TOK.format('x', 2)}) t from asked union all select 'd' || doc_id, unnest({X.TOK.format('text', 2)}) from documents),
+counted as (select k, ('0x' || md5(t)[1:6])::bigint % 64 bucket, count(*)::double n from words group by all), unit as (select k, bucket, n / sqrt(sum(n * n) over (partition by k)) u from counted),
+scored as (select a.k[2:]::bigint qid, b.k[2:] chunk_id, round(sum(a.u * b.u), 6) score from unit a join unit b using (bucket) where a.k[1] = 'q' and b.k[1] = 'd' group by all)
+select qid, chunk_id, score, rank::int rank from (select *, row_number() over (partition by qid order by score desc, chunk_id) rank from scored) where rank <= 5""",
     "mmr_search": _recursive("vectors", SEM + ", best as (select 'all' document_id, chunk_id, vec_id chunk_index, 1 token_count, round(score, 6) score, embedding from sem join vectors using (chunk_id) order by round(score, 6) desc, vec_id limit 50), " + _mmr("best", K, "1"), "select chunk_id, score, pick from m"),
     "rel_top_score": _v("vectors", REL, "select qid, top_score, variance, top_part from parts"),
     "rel_distribution": _v("vectors", REL, "select qid, distribution_part from parts"),
@@ -425,7 +520,10 @@ SQL = {
     "sel_representative": _recursive("chunk_vectors", SCORE + ", " + _representative("scored", 13), "select * from rep"),
     "sel_repr_excl": _recursive("chunk_vectors", PICK + ", rest as (select * from scored where chunk_id not in (select chunk_id from picked)), " + _representative("rest", 5), "select * from rep"),
     "sel_by_search": _recursive("chunk_vectors vectors", f"{SCORE}, {FOUND}, rest as (select * from scored where chunk_id not in (select chunk_id from found)), " + _representative("rest", 4), "select document_id, chunk_id, selection_method from rep union all select document_id, chunk_id, 'search' from found"),
-    "sel_adjacent_budget": None,
+    "sel_adjacent_budget": _recursive("chunk_vectors", BUDGETED, "select document_id, chunk_id, 'context_expansion' selection_method from taken union all select document_id, chunk_id, 'representative' from picked"),
+    "sel_strategy": _recursive("chunk_vectors", SWITCH, "select * from switched"),
+    "sel_dispatch": _recursive("chunk_vectors", DISPATCH, """select document_id, selection_method, count(*) chunks, sum(token_count)::bigint tokens from (select * from switched union all select document_id, chunk_id, token_count, 'representative' from repq
+  union all select document_id, chunk_id, token_count, 'section_coverage' from tot where total <= 3000) group by all"""),
     "sel_all": W("chunks", body="select chunk_id, 1.0::double score, 'all' selection_method from chunks"),
     "sel_adjacent": _v("chunk_vectors", ADJ, "select document_id, chunk_id, score, 'context_expansion' selection_method from added union all select document_id, chunk_id, score, 'representative' from picked"),
     "sel_coverage": _v("chunk_vectors", PICK + """, mine as (select * from picked where section_id like '%en'), sec as (select document_id, section_id, min(chunk_index) fi from placed group by all), cov as (select distinct document_id, section_id from mine),

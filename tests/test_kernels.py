@@ -199,3 +199,42 @@ def test_neighbours_of_every_chunk(spark):
         got = neighbours(chunks, chunks, same)
         assert {(r.of, r.chunk_id) for r in got.collect()} == want
         assert "rn" in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[-1]  # ranked before the join
+
+
+def test_main_path(spark):
+    from lexmill.operators.quiz import make_quiz
+
+    part = "\n\n".join(f"## Part {i}\n\n" + " ".join(f"word{i}x{j % (7 + i)}" for j in range(60)) for i in range(12))
+    rows = [(1, "# Title\n\n" + part), (2, None), (3, "too short"), (4, "A plain text of one paragraph that is just long enough to be taken."), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk_id", F.lit("clash"))
+    counts = {"easy": 2, "medium": 1, "hard": 1, "single": 3, "multiple": 1}
+    quiz = make_quiz(docs, counts, F.lit(10.0))
+    got = quiz.questions.orderBy("document_id", "pos").collect()
+    assert [(r.document_id, r.pos) for r in got] == [(d, i) for d in "14" for i in range(1, 5)]
+    for d in "14":
+        mine = [r for r in got if r.document_id == d]
+        assert round(sum(r.point for r in mine), 6) == 10.0 and len({r.question for r in mine}) == 4
+        picked = [r.chunk_id for r in quiz.selected.where(F.col("document_id") == d).orderBy("chunk_index").collect()]
+        assert [r.chunk_id for r in mine] == [picked[min(i, len(picked) - 1)] for i in range(4)]
+    assert sorted(r.difficulty for r in got if r.document_id == "1") == ["easy", "easy", "hard", "medium"]
+    assert quiz.sections.where("document_id = '1'").count() > 1
+    assert make_quiz(docs.limit(0), counts, F.lit(10.0)).questions.collect() == []
+
+
+def test_adapter_asks_the_model(spark):
+    from lexmill.operators.generation import Adapter
+
+    rows = spark.createDataFrame([(1, "A passage.", "en", 0, ["old"], 2, "- Q1: easy", "right", ["a", "b"])], "id long, passage string, language string, index long, existing array<string>, n long, plan_lines string, correct string, candidates array<string>")
+    adapter = Adapter(lambda prompts: [p.upper() for p in prompts], "id")
+    for ask, word in ((adapter.multiple_choice, "AVOID:\n- OLD"), (adapter.batch, "WRITE 2 QUESTIONS"), (adapter.distractors, "CORRECT: RIGHT"), (adapter.short_answer, "SHORT-ANSWER"), (adapter.true_false, "TRUE OR FALSE")):
+        row = ask(rows).first()
+        assert row.id == 1 and word in row.output and "A PASSAGE." in row.output
+
+
+def test_encode(spark):
+    from lexmill.operators.vectors import encode, hashing_encoder
+
+    rows = spark.createDataFrame([("a", "x y y"), ("b", None), ("c", "")], "k string, t string")
+    got = {r.k: r.embedding for r in encode(rows, hashing_encoder(16), "k", F.col("t")).collect()}
+    assert abs(sum(x * x for x in got["a"]) - 1) < 1e-12 and not any(got["b"]) and not any(got["c"]) and len(got["b"]) == 16
+    assert encode(rows.limit(0), hashing_encoder(16), "k", F.col("t")).collect() == []
