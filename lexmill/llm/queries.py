@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .decontaminate import find_contamination
 from .html_extract import extract_main_text
+from .lexical_shards import lexical_search
+from .lexical_shards import oracle as search_sql
 from .licenses import oracle as license_sql
 from .licenses import scan_licenses
 from .pu_quality import quality_scores
 from .quality_rules import repetition_rules
 from .simhash import simhash_groups
+from .source_mix import mix_sources
+from .source_mix import oracle as mix_sql
 from .suffix_dedup import repeated_spans
 from .token_files import token_file_index
 from .toxicity import toxicity_scores
+from .vector_codes import oracle as codes_sql
+from .vector_codes import vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +86,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,8 +106,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_decontaminate, op4_html_text, op5_simhash, op6_quality, op7_toxicity, op8_licenses, op9_quality_rules, op10_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_decontaminate, op4_html_text, op5_simhash, op6_quality, op7_toxicity, op8_licenses, op9_quality_rules, op10_token_files, op11_vector_codes, op12_lexical_search, op13_source_mix, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": license_sql()}
+    return {"op8_licenses": license_sql(), "op11_vector_codes": codes_sql(), "op12_lexical_search": search_sql(), "op13_source_mix": mix_sql()}
