@@ -38,12 +38,16 @@ def term_weights(posts: DataFrame, corpus: DataFrame, scope: list[str] | None =
     scope = scope or []
     df = posts.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     df = df.join(corpus, scope) if scope else df.crossJoin(F.broadcast(corpus))  # without a scope one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.withColumn("raw", raw_idf(F.col("n"), F.col("df")))
     mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean_idf"))
     raw = raw.join(mean, scope) if scope else raw.crossJoin(F.broadcast(mean))
     return raw.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))).select(*scope, "term", "df", "idf", "avgdl")
 
 
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
 def corpus_stats(chunks: DataFrame, toks: Column | None = None, scope: list[str] | None = None) -> DataFrame:
     size = F.size(toks if toks is not None else tokens(F.col("text")))
     return chunks.groupBy(*(scope or [])).agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from lexmill.operators import search as S
 from lexmill.operators import selection as L
 from lexmill.operators import vectors as V
 from lexmill.operators.cache import newest
+from lexmill.operators.hybrid import hybrid_top_k
+from lexmill.operators.lexical_store import LAYOUT, LexicalStore
+from lexmill.storage import exists, listed, shared_dir, staged
 
 from . import fixtures as X
 
@@ -27,9 +33,15 @@ def _q0(s, sf):
 _INDEXES: dict[tuple, S.LexicalIndex] = {}
 
 
+def _stamp(s, sf) -> tuple:
+    """What tells one state of the documents from another: the path with its files' names, lengths and times."""
+    path = f"{sf}/documents.parquet"
+    return (path, *listed(s, path))
+
+
 def _index(s, sf, kind="docs", fresh=False):
-    """The stored index of a session and folder: built by the first query that searches it, as a search service would before it opens."""
-    name = (s.sparkContext.applicationId, sf, kind)
+    """The stored index of a session and state of the documents: built by the first query that searches it, as a search service would before it opens."""
+    name = (s.sparkContext.applicationId, _stamp(s, sf), kind)
     if fresh or name not in _INDEXES:
         if kind == "scope":
             _INDEXES[name] = S.lexical_index(X.chunks(s, sf).withColumn("text", F.substring("text", 1, 500)), scope=["document_id"])
@@ -38,6 +50,15 @@ def _index(s, sf, kind="docs", fresh=False):
     return _INDEXES[name]
 
 
+def _store(s, sf) -> LexicalStore:
+    """The index of the documents in the shared folder, by their state; a session that finds none builds it."""
+    path = f"{shared_dir(s)}/index-{LAYOUT}-{hashlib.sha1(repr(_stamp(s, sf)).encode()).hexdigest()}"
+    try:
+        return LexicalStore.open(s, path)
+    except ValueError:
+        return LexicalStore.create(s, path if not exists(s, path) else f"{path}-{uuid.uuid4().hex}", _docs(s, sf))  # a folder without a whole version is another writer's
+
+
 def _docs(s, sf):
     return X.table(s, sf, "documents").select(c("doc_id").cast("string").alias("chunk_id"), "source", "text")
 
@@ -124,6 +145,43 @@ def hybrid_left(s, sf):
     return S.top(S.fuse(_semantic(s, sf), S.bm25(_index(s, sf, "raw"), TERMS), how="left"), K)
 
 
+def _asked(s, sf):
+    """(qid, query, embedding): every document whose id is divisible by 50 asks its first five words and its vector, if it has one."""
+    return _query_text(s, sf).join(X.query_vectors(s, sf), "qid", "left")
+
+
+def bm25_topk_batch(s, sf):
+    return _store(s, sf).search(_asked(s, sf), K).select("qid", c("key").alias("chunk_id"), "bm25", "rank")
+
+
+def hybrid_topk_batch(s, sf):
+    return hybrid_top_k(_store(s, sf), X.vectors(s, sf), _asked(s, sf), K)
+
+
+def _changed(s, sf) -> LexicalStore:
+    """An index of the documents to which the benchmark items are added, and from which toxic documents are deleted."""
+    items = X.table(s, sf, "benchmark").select(F.concat(F.lit("b"), c("item_id").cast("string")).alias("chunk_id"), "text")
+    toxic = X.table(s, sf, "labels").where("toxic = 1").select(c("doc_id").cast("string").alias("chunk_id"))
+    return LexicalStore.create(s, f"{shared_dir(s)}/changed-{uuid.uuid4().hex}", _docs(s, sf)).add(items).remove(toxic)
+
+
+def store_terms(s, sf):
+    """Terms and weights after additions and deletions."""
+    store = _changed(s, sf)
+    out = staged(store.terms().select("term", "df", F.round("idf", 6).alias("idf")), "store-terms")
+    store.drop()
+    return out
+
+
+def store_search(s, sf):
+    """The five best for every benchmark item, whole, after additions and deletions."""
+    store = _changed(s, sf)
+    asked = X.table(s, sf, "benchmark").select(c("item_id").alias("qid"), c("text").alias("query"))
+    out = staged(store.search(asked, 5).select("qid", c("key").alias("chunk_id"), "bm25", "rank"), "store-search")
+    store.drop()
+    return out
+
+
 def hybrid_by_doc(s, sf):
     scored = S.bm25(_index(s, sf, "scope"), TERMS)
     return S.ranked(scored.select("document_id", "chunk_id", F.round("bm25", 6).alias("score")), "document_id").where(c("rank") <= 3)
@@ -356,14 +414,28 @@ def ir_keyword(s, sf):
     return X.table(s, sf, "documents").groupBy("source").agg(F.round(F.sum(hits) / 3.0, 6).alias("keyword_match"))
 
 
-def ir_best_method(s, sf):
-    """Which of two cut-offs of the same ranking has the higher mean reciprocal rank, first name on a tie."""
+def _methods(s, sf):
+    """(method, qid, rank, relevant): vectors alone and hybrid, each for every query that has a vector; relevant is a result with the query's label."""
+    label = X.table(s, sf, "embeddings").select(c("vec_id").cast("string").alias("chunk_id"), "label")
+    mine = X.table(s, sf, "embeddings").select(c("vec_id").alias("qid"), c("label").alias("own"))
+    lists = _ranked(s, sf).select(F.lit("semantic").alias("method"), "qid", "rank", "chunk_id").unionByName(hybrid_topk_batch(s, sf).select(F.lit("hybrid").alias("method"), "qid", "rank", "chunk_id"))
+    return lists.join(mine, "qid").join(label, "chunk_id", "left").select("method", "qid", "rank", F.coalesce(c("label") == c("own"), F.lit(False)).alias("relevant"))
+
+
+def ir_methods(s, sf):
+    """Precision and mean reciprocal rank of both methods, and how far hybrid is ahead."""
+    rows = _methods(s, sf)
     out = None
-    for name, least in (("from_first", 1), ("from_second", 2)):
-        moved = _judged(s, sf).where(c("rank") >= least).withColumn("rank", c("rank") - least + 1)
-        row = S.precision_and_mrr(moved, _qids(s, sf)).agg(F.round(F.avg("rr"), 6).alias("mrr")).select(F.lit(name).alias("method"), "mrr")
+    for name in ("semantic", "hybrid"):
+        row = S.precision_and_mrr(rows.where(c("method") == name), _qids(s, sf)).agg(*[F.round(F.avg(p), 6).alias(n) for p, n in (("p1", "p1"), ("p3", "p3"), ("p5", "p5"), ("rr", "mrr"))]).withColumn("method", F.lit(name))
         out = row if out is None else out.unionByName(row)
-    return out.agg(F.min(F.struct((-c("mrr")).alias("m"), "method")).alias("b")).select("b.method", (-c("b.m")).alias("mrr"))
+    ahead = F.max(F.when(c("method") == "hybrid", c("mrr"))).over(Window.partitionBy()) - F.max(F.when(c("method") == "semantic", c("mrr"))).over(Window.partitionBy())  # two rows
+    return out.withColumn("gain", F.round(ahead, 6)).select("method", "p1", "p3", "p5", "mrr", "gain")
+
+
+def ir_best_method(s, sf):
+    """Which method has the higher mean reciprocal rank, first name on a tie."""
+    return ir_methods(s, sf).agg(F.min(F.struct((-c("mrr")).alias("m"), "method")).alias("b")).select("b.method", (-c("b.m")).alias("mrr"))
 
 
 _DOT = "list_dot_product({0}::double[], {1}::double[])"
@@ -474,7 +546,32 @@ mine as (select r.*, section_id from repq r join chunk_vectors using (document_i
 share as (select document_id, count(c.section_id) / count(*) coverage from sec s left join cov c using (document_id, section_id) group by 1), spent as (select document_id, sum(token_count) spent from mine group by 1),
 best as (select p.*, fi from quiet p join sec using (document_id, section_id) join share using (document_id) where coverage < 0.7 and (p.document_id, p.section_id) not in (select document_id, section_id from cov) qualify row_number() over (partition by p.document_id, p.section_id order by distance, chunk_index) = 1),
 tot as (select b.*, sum(token_count) over (partition by document_id order by fi) + coalesce(spent, 0) total from best b left join spent using (document_id))"""
+ASKED_TERMS = r"qt as (select doc_id qid, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:5], ' ') query from documents where doc_id % 50 = 0)"
+
+
+def _bm_many(src: str, queries: str) -> str:
+    """bmq: (qid, chunk_id, bm25) of every document of src with a term of the query."""
+    return f"""post as (select chunk_id, term, count(*) tf, any_value(dl) dl from (select chunk_id, unnest(t) term, len(t) dl from ({src})) group by all), corpus as (select count(*) n, avg(len(t)) avgdl from ({src})),
+df as (select term, count(*) df from post group by all), rawidf as (select df.*, avgdl, ln(n - df + 0.5) - ln(df + 0.5) raw from df cross join corpus), idf as (select term, df, avgdl, case when raw < 0 then 0.25::double * avg(raw) over () else raw end idf from rawidf),
+asked as (select qid, unnest({X.TOK.format('query', 2)}) term from ({queries})), hits as (select qid, chunk_id, sum(idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))) raw from asked join post using (term) join idf using (term) group by all),
+bmq as (select qid, chunk_id, raw / case when max(raw) over (partition by qid) > 0 then max(raw) over (partition by qid) else 1 end bm25 from hits)"""
+
+
+_DOC_TOKENS = f"select doc_id::varchar chunk_id, {X.TOK.format('text', 2)} t from documents"
+_LIVE_TOKENS = f"{_DOC_TOKENS} where doc_id not in (select doc_id from labels where toxic = 1) union all select 'b' || item_id, {X.TOK.format('text', 2)} from benchmark"
+HYBRID = f"""{ASKED_TERMS}, {_bm_many(_DOC_TOKENS, 'select * from qt')}, semq as (select q.vec_id qid, v.chunk_id, round({_DOT.format('v.embedding', 'q.embedding')}, 6) score from vectors v, embeddings q where q.vec_id % 50 = 0),
+fusedq as (select qid, chunk_id, round(coalesce(score, 0), 6) semantic_score, round(coalesce(bm25, 0), 6) bm25_score from semq full join bmq using (qid, chunk_id)),
+hybridq as (select *, row_number() over (partition by qid order by hybrid_score desc, chunk_id)::int as rank from (select *, round(0.7::double * semantic_score + (1 - 0.7::double) * bm25_score, 7) hybrid_score from fusedq) qualify rank <= {K})"""
+METHODS = f"""{HYBRID}, {RANK}, lists as (select 'semantic' as method, qid, rank, chunk_id from ranked union all select 'hybrid', qid, rank, chunk_id from hybridq),
+judged as (select l.method, l.qid, l.rank, coalesce(e.label = q.label, false) relevant from lists l join embeddings q on q.vec_id = l.qid left join embeddings e on e.vec_id::varchar = l.chunk_id),
+per as (select method, qid, count(*) filter (relevant and rank <= 1) / 1 p1, count(*) filter (relevant and rank <= 3) / 3 p3, count(*) filter (relevant and rank <= 5) / 5 p5, coalesce(round(1.0::double / min(rank) filter (relevant), 6), 0) rr from judged group by all),
+methods as (select method, round(avg(round(p1, 6)), 6) p1, round(avg(round(p3, 6)), 6) p3, round(avg(round(p5, 6)), 6) p5, round(avg(rr), 6) mrr from per group by 1)"""
 SQL = {
+    "bm25_topk_batch": f"with {ASKED_TERMS}, {_bm_many(_DOC_TOKENS, 'select * from qt')} select qid, chunk_id, round(bm25, 6) bm25, (row_number() over (partition by qid order by round(bm25, 6) desc, chunk_id))::int as rank from bmq qualify rank <= {K}",
+    "hybrid_topk_batch": _v("vectors", HYBRID, "select * from hybridq"),
+    "store_terms": f"with {_bm_many(_LIVE_TOKENS, 'select item_id qid, text query from benchmark')} select term, df, round(idf, 6) idf from idf",
+    "store_search": f"with {_bm_many(_LIVE_TOKENS, 'select item_id qid, text query from benchmark')} select qid, chunk_id, round(bm25, 6) bm25, (row_number() over (partition by qid order by round(bm25, 6) desc, chunk_id))::int as rank from bmq qualify rank <= 5",
+    "ir_methods": _v("vectors", METHODS, "select *, round(max(mrr) filter (method = 'hybrid') over () - max(mrr) filter (method = 'semantic') over (), 6) gain from methods"),
     "vec_normalize": "with n as (select vec_id, list_transform(embedding::double[], lambda x: x * 4) v from embeddings) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as first, 1.0::double as length from n",
     "vec_add_stats": "select count(*) n_added, count(*) filter (vec_id is null) n_new, count(vec_id) n_duplicate from documents left join embeddings on vec_id = doc_id",
     "vec_topk": _v("vectors", SEM, f"select chunk_id, round(score, 6) score from sem order by 2 desc, 1 limit {K}"),
@@ -535,7 +632,6 @@ select qid, chunk_id, score, rank::int rank from (select *, row_number() over (p
     "ir_precision": _v("vectors", JUDGE + ", " + PREC.format("judged"), "select round(avg(round(p1, 6)), 6) p1, round(avg(round(p3, 6)), 6) p3, round(avg(round(p5, 6)), 6) p5 from per"),
     "ir_mrr": _v("vectors", JUDGE + ", " + PREC.format("judged"), "select qid, rr from per"),
     "ir_keyword": f"select source, round(sum({_HITS}) / 3.0::double, 6) keyword_match from documents group by 1",
-    "ir_best_method": _v("vectors", JUDGE + """, m as (select 'from_first' as method, qid, rank, relevant from judged union all select 'from_second', qid, rank - 1, relevant from judged where rank >= 2),
-  per as (select method, qid, coalesce(round(1.0::double / min(rank) filter (relevant), 6), 0) rr from m group by all)""", "select method, round(avg(rr), 6) mrr from per group by 1 order by 2 desc, 1 limit 1"),
+    "ir_best_method": _v("vectors", METHODS, "select method, mrr from methods order by mrr desc, method limit 1"),
 }
 QUERIES = {name: (globals()[name], sql) for name, sql in SQL.items()}

@@ -9,6 +9,28 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _located(spark: SparkSession, path: str):
+    """(path, file system) of the session's JVM, which reads whatever store Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    path, files = _located(spark, path)
+    return files.exists(path)
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, length, time of change) of a folder's entries or of a file; empty if there is none."""
+    path, files = _located(spark, path)
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(path)) if files.exists(path) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path, files = _located(spark, path)
+    files.delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Only a session in local mode gets one of its own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +55,4 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``staged`` wrote and nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.staged_path)
