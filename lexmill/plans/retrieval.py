@@ -15,6 +15,7 @@ from lexmill.operators import vectors as V
 from lexmill.operators.cache import newest
 from lexmill.operators.hybrid import hybrid_top_k
 from lexmill.operators.lexical_store import LAYOUT, LexicalStore
+from lexmill.operators.vector_index import VectorIndex
 from lexmill.storage import exists, listed, shared_dir, staged
 
 from . import fixtures as X
@@ -86,6 +87,25 @@ def vec_topk_batch(s, sf):
     return V.top_k_batch(X.vectors(s, sf), X.query_vectors(s, sf), K)
 
 
+def _cells(s, sf) -> VectorIndex:
+    """The vector index of a state of the embeddings, built by the session that finds none."""
+    stamp = (f"{sf}/embeddings.parquet", *listed(s, f"{sf}/embeddings.parquet"))
+    path = f"{shared_dir(s)}/cells-{hashlib.sha1(repr(stamp).encode()).hexdigest()}"
+    try:
+        return VectorIndex.open(s, path)
+    except ValueError:
+        return VectorIndex.create(X.vectors(s, sf), path if not exists(s, path) else f"{path}-{uuid.uuid4().hex}")
+
+
+def vec_topk_index(s, sf):
+    return _cells(s, sf).search(X.query_vectors(s, sf), K).select("qid", c("key").alias("chunk_id"), "score", "rank")
+
+
+def vec_topk_index_filtered(s, sf):
+    """Every query among the vectors of one document: the filter comes before the search."""
+    return _cells(s, sf).search(X.query_vectors(s, sf), K, where=c("document_id") == "d3").select("qid", c("key").alias("chunk_id"), "score", "rank")
+
+
 def vec_topk_filtered(s, sf):
     return V.top_k(X.vectors(s, sf).where("document_id = 'd3'"), _q0(s, sf), K)
 
@@ -576,6 +596,8 @@ SQL = {
     "vec_add_stats": "select count(*) n_added, count(*) filter (vec_id is null) n_new, count(vec_id) n_duplicate from documents left join embeddings on vec_id = doc_id",
     "vec_topk": _v("vectors", SEM, f"select chunk_id, round(score, 6) score from sem order by 2 desc, 1 limit {K}"),
     "vec_topk_batch": _v("vectors", RANK, "select qid, chunk_id, score, rank::int rank from ranked"),
+    "vec_topk_index": _v("vectors", RANK, "select qid, chunk_id, score, rank::int rank from ranked"),
+    "vec_topk_index_filtered": _v("vectors", RANK.replace("from vectors v,", "from (select * from vectors where document_id = 'd3') v,"), "select qid, chunk_id, score, rank::int rank from ranked"),
     "vec_topk_filtered": _v("vectors", SEM, f"select chunk_id, round(score, 6) score from sem join vectors using (chunk_id) where document_id = 'd3' order by 2 desc, 1 limit {K}"),
     "vec_lookup": W("vectors", body="select w.chunk_id, vec_id as position, vec_id is not null present from (values ('0'), ('7'), ('nothing')) w(chunk_id) left join vectors v on v.chunk_id = w.chunk_id"),
     "vec_stats": W("vectors", body=", u as (select * from vectors union all select * from vectors where vec_id % 10 = 0) select count(*) total, count(distinct chunk_id) unique_keys, count(distinct document_id) documents, max(len(embedding)) dimension, count(*) - count(distinct chunk_id) duplicates, printf('%.1f%%', 100.0::double * (count(*) - count(distinct chunk_id)) / count(*)) duplicate_rate from u").replace("\n, u", ", u"),
