@@ -13,7 +13,9 @@ from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunking import nearest_lower
+from lexmill.storage import staged
+
+from .ordered import previous_lower
 
 
 def sections_of(chunks: DataFrame) -> DataFrame:
@@ -35,18 +37,31 @@ def chunk_nodes(chunks: DataFrame) -> DataFrame:
 
 
 def with_parents(sections: DataFrame) -> DataFrame:
-    """parent_id: the most recent earlier section of a lesser level; none if that one has level 0."""
-    parent = nearest_lower(sections, "document_id", "ord", "level", "id", keep_zero=True)
-    return sections.withColumn("parent_id", parent)
-
-
-def tree_paths(sections: DataFrame, deepest: int = 8) -> DataFrame:
-    """(document_id, id, tree_path): titles from the root down. As many self-joins as levels, which are six at most."""
-    up = sections.select(F.col("id").alias("up_id"), F.col("title").alias("up_title"), F.col("parent_id").alias("up_parent"))
-    out = sections.select("document_id", "id", F.col("title").alias("tree_path"), F.col("parent_id").alias("next"))
-    for _ in range(deepest):
-        out = out.join(up, out["next"] == up["up_id"], "left").select("document_id", "id", F.when(F.col("up_id").isNotNull(), F.concat("up_title", F.lit("/"), "tree_path")).otherwise(F.col("tree_path")).alias("tree_path"), F.col("up_parent").alias("next"))
-    return out.drop("next")
+    """parent_id: the most recent earlier section of a lesser level, at any depth; none if that one has level 0."""
+    return previous_lower(sections, "document_id", "ord", "level", "id")
+
+
+def tree_paths(sections: DataFrame) -> DataFrame:
+    """(document_id, id, tree_path): titles from the root down, of trees of any depth.
+
+    Each round doubles how far a row has looked up, so a tree of depth d takes log2(d) joins on the id. Rows whose
+    parents run in a circle are found by ids alone, before any path is put together, and have a null path, as has
+    what hangs on them. A parent that is not there is like none.
+    """
+    rows = staged(sections.select("document_id", "id", "title", "parent_id"), "sections")
+    link = rows.select("id", F.col("parent_id").alias("next"))
+    link = staged(link.join(rows.select(F.col("id").alias("next")), "next", "left_semi").select("id", "next"), "links")  # rows without a parent are at their root
+    n, first, seen = rows.count(), link, 1
+    while seen < n and not link.isEmpty():
+        link = staged(link.join(link.select(F.col("id").alias("next"), F.col("next").alias("then")), "next").select("id", F.col("then").alias("next")), "links")
+        seen *= 2
+    endless = link.select("id")  # looked up as many steps as there are rows, and still not at a root
+    out = staged(rows.join(first, "id", "left").join(endless, "id", "left_anti").select("document_id", "id", F.col("title").alias("tree_path"), "next"), "paths")
+    while not out.where("next is not null").isEmpty():
+        up = out.select(F.col("id").alias("next"), F.col("tree_path").alias("above"), F.col("next").alias("then"))
+        out = staged(out.join(up, "next", "left").select("document_id", "id", F.concat(F.when(F.col("above").isNotNull(), F.concat("above", F.lit("/"))).otherwise(""), "tree_path").alias("tree_path"), F.col("then").alias("next")), "paths")
+    none = rows.join(endless, "id", "left_semi").select("document_id", "id", F.lit(None).cast("string").alias("tree_path"))
+    return out.drop("next").unionByName(none)
 
 
 def nearest_sections(chunks: DataFrame, sections: DataFrame, default: str = "default") -> DataFrame:

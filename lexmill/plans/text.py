@@ -10,6 +10,7 @@ from lexmill.functions import headings as H
 from lexmill.functions import text as T
 from lexmill.operators import chunking as C
 from lexmill.operators import structure as M
+from lexmill.operators.ordered import previous_lower
 
 from . import fixtures as X
 
@@ -141,7 +142,7 @@ def _levelled(s, sf):
 
 def chunk_parent(s, sf):
     rows = _levelled(s, sf)
-    return rows.select("chunk_id", "level", C.nearest_lower(rows, "document_id", "chunk_index", "level", "chunk_id").alias("parent_id"))
+    return previous_lower(rows, "document_id", "chunk_index", "level", "chunk_id", skip_zero=True).select("chunk_id", "level", "parent_id")
 
 
 def _paths_of(s, sf):
