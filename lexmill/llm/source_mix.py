@@ -55,6 +55,7 @@ def mix_sources(
     # '=' sorts before '~', so null comes last
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), key.alias("key"), order.alias("turn"))
+    sized = staged(sized, "mix-sizes")  # dealing rows to ranges looks at them twice, and texts should be read once
     ranges = Ranges(sized, ["key"], [F.col("turn"), F.col("doc_id"), F.col("size")])
     sizes = ranges.rows.groupBy("key").agg(F.sum("size").alias("source_size"))
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
