@@ -28,14 +28,17 @@ def budget_prefix(ranked: DataFrame, group: str, order: list[str], n: Column | i
 
 
 def representative_scores(chunks: DataFrame, doc: str = "document_id") -> DataFrame:
-    """``chunks`` (with distance, token_count, chunk_index, section_path size) with a ``score``: centrality, length, header, position."""
-    whole = Window.partitionBy(doc)
-    position = F.col("chunk_index") / F.count("*").over(whole)
-    central = 3.0 * (1 - F.col("distance") / (F.max("distance").over(whole) + 1e-9))
+    """``chunks`` (with distance, token_count, chunk_index, section_path size) with a ``score``: centrality, length, header, position.
+
+    A document's size and greatest distance are aggregated and joined, so its rows never meet in one task.
+    """
+    whole = chunks.groupBy(doc).agg(F.count("*").alias("__size"), F.max("distance").alias("__far"))
+    position = F.col("chunk_index") / F.col("__size")
+    central = 3.0 * (1 - F.col("distance") / (F.col("__far") + 1e-9))
     length = F.when(F.col("token_count").between(50, 150), 2.0).when(F.col("token_count").between(30, 180), 1.0).otherwise(0.0)
     place = F.when(position.between(0.15, 0.85), 2.0).when(position.between(0.05, 0.95), 1.0).otherwise(0.0)
     heading = F.when(F.col("section_id").isNotNull(), 1.0).otherwise(0.0)
-    return chunks.withColumn("score", F.round(central + length + heading + place, 6))
+    return chunks.join(whole, doc).withColumn("score", F.round(central + length + heading + place, 6)).drop("__size", "__far")
 
 
 def mmr_order(score: np.ndarray, vectors: np.ndarray, n: int, weight: float = LAMBDA, scale: float = 5.0, before: np.ndarray | None = None, least: tuple[float, int] | None = None) -> list[int]:
@@ -63,18 +66,25 @@ def mmr_order(score: np.ndarray, vectors: np.ndarray, n: int, weight: float = LA
 CANDIDATES = 256
 
 
+def _narrow(scored: DataFrame, doc: str) -> DataFrame:
+    return staged(scored.select(F.col(doc), "chunk_id", F.col("chunk_index").cast("long"), F.col("token_count").cast("long"), F.col("score").cast("double"), F.col("embedding").cast("array<double>")), "scored")
+
+
 def select_diverse(scored: DataFrame, n: int, doc: str = "document_id", weight: float = LAMBDA, scale: float = 5.0) -> DataFrame:
     """(doc, chunk_id, chunk_index, token_count, score, pick): MMR order of each document's n picks, ties to the lesser chunk_index.
 
-    No task holds a document's rows, which may be a third of the table. The first pick is the highest score, by aggregation.
-    A round then takes each document's CANDIDATES best rows by their gain beside what is picked, and picks among them
-    as long as the best is sure to be ahead of every other row; at least one a round. A written round is a row a pick.
+    No task holds a document's rows, which may be a third of the table. A round takes each open document's CANDIDATES
+    best rows by their gain beside what is picked; every task names its own best first. It picks among them as long as
+    the best is sure to be ahead of every other row, at least one a round. A written round is a row a pick.
     """
-    kind = scored.schema[doc].dataType.simpleString()
-    rows = staged(scored.select(F.col(doc), "chunk_id", F.col("chunk_index").cast("long"), F.col("token_count").cast("long"), F.col("score").cast("double"), F.col("embedding").cast("array<double>")).where("embedding is not null"), "scored")
+    rows = _narrow(scored, doc).where("embedding is not null")
+    return _diverse(rows, rows.groupBy(doc).agg(F.count("*").alias("size")), n, doc, weight, scale)
+
+
+def _diverse(rows: DataFrame, sizes: DataFrame, n: int, doc: str, weight: float = LAMBDA, scale: float = 5.0) -> DataFrame:
+    """``select_diverse`` over stored rows, for the documents in ``sizes`` (doc, size)."""
+    kind = rows.schema[doc].dataType.simpleString()
     columns = ["chunk_id", "chunk_index", "token_count", "score", "embedding"]
-    first = rows.groupBy(doc).agg(F.min(F.struct((-F.col("score")).alias("m"), "chunk_index", *[c for c in columns if c != "chunk_index"])).alias("b"))
-    picked = staged(first.select(doc, F.lit(1).cast("long").alias("pick"), *[F.col(f"b.{c}").alias(c) for c in columns]), "picked")
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["gain", "chunk_index"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -85,28 +95,29 @@ def select_diverse(scored: DataFrame, n: int, doc: str = "document_id", weight:
         order = mmr_order(frame["score"].to_numpy(), np.stack(frame["embedding"].to_numpy()).astype(float), n - done, weight, scale, before, least)
         return frame.loc[order, [doc, *columns]].assign(pick=range(done + 1, done + 1 + len(order)))
 
+    sizes = staged(sizes.select(doc, F.least("size", F.lit(n)).alias("most")), "sizes")
+    open_ = sizes.select(doc, F.lit(0).cast("long").alias("done"), F.array().cast("array<array<double>>").alias("chosen"))
+    picked = None
     while True:
-        done = picked.groupBy(doc).agg(F.count("*").alias("done"), F.collect_list("embedding").alias("chosen"))
-        open_ = done.where(F.col("done") < n)  # a row a document, with n vectors at most
-        if open_.isEmpty():
-            break
-        near = F.array_max(F.transform("chosen", lambda v: cosine(v, F.col("embedding"))))
-        left = rows.join(picked.select(doc, "chunk_id"), [doc, "chunk_id"], "left_anti").join(open_, doc).withColumn("gain", weight * F.col("score") - (1 - weight) * scale * near)
+        near = F.coalesce(F.array_max(F.transform("chosen", lambda v: cosine(v, F.col("embedding")))), F.lit(0.0))
+        left = rows if picked is None else rows.join(picked.select(doc, "chunk_id"), [doc, "chunk_id"], "left_anti")
+        left = left.join(open_, doc).withColumn("gain", weight * F.col("score") - (1 - weight) * scale * near)
         rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("gain"), "chunk_index"))
         best = left.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES).drop("rank")
         more = staged(best.groupBy(doc).applyInPandas(kernel, f"{doc} {kind}, chunk_id string, chunk_index long, token_count long, score double, embedding array<double>, pick long"), "picked")
-        if more.isEmpty():  # every document that is open has no row left
-            break
-        picked = staged(picked.unionByName(more), "picked")
-    return picked.select(doc, "chunk_id", "chunk_index", "token_count", "score", "pick")
+        picked = more if picked is None else staged(picked.unionByName(more), "picked")
+        done = picked.groupBy(doc).agg(F.count("*").alias("done"), F.collect_list("embedding").alias("chosen"))
+        open_ = done.join(sizes, doc).where(F.col("done") < F.col("most")).drop("most")  # a row a document, with n vectors at most
+        if open_.isEmpty():
+            return picked.select(doc, "chunk_id", "chunk_index", "token_count", "score", "pick")
 
 
 def select_representative(scored: DataFrame, n: int, doc: str = "document_id", budget: int = BUDGET) -> DataFrame:
     """Documents of at most n chunks whole with score 1; of others the MMR picks within the budget."""
-    size = F.count("*").over(Window.partitionBy(doc))
-    sized = scored.withColumn("n_chunks", size)
-    small = sized.where(F.col("n_chunks") <= n).select(doc, "chunk_id", F.col("chunk_index").cast("long"), F.col("token_count").cast("long"), F.lit(1.0).alias("score"))
-    picked = select_diverse(sized.where(F.col("n_chunks") > n), n, doc)
+    rows = _narrow(scored, doc)
+    sizes = rows.groupBy(doc).agg(F.count("*").alias("n_chunks"), F.count("embedding").alias("size"))
+    small = rows.join(sizes.where(F.col("n_chunks") <= n).select(doc), doc, "left_semi").select(doc, "chunk_id", "chunk_index", "token_count", F.lit(1.0).alias("score"))
+    picked = _diverse(rows.where("embedding is not null"), sizes.where(F.col("n_chunks") > n).select(doc, "size"), n, doc)
     kept = budget_prefix(picked, doc, ["pick"], n, budget).select(*small.columns)
     return small.unionByName(kept).withColumn("selection_method", F.lit("representative"))
 

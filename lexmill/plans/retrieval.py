@@ -268,9 +268,22 @@ def rel_overlap(s, sf):
     return _query_text(s, sf).join(joined, "qid").select("qid", F.round(S.token_overlap(c("query"), c("text")), 6).alias("overlap"))
 
 
+def _own_overview(s, sf):
+    """(qid, overview): cosine of each query vector with the overview of the document that it belongs to."""
+    first = X.chunk_vectors(s, sf).where("chunk_index < 3")
+    means = V.mean_vectors(first, "document_id").withColumnRenamed("embedding", "mean")
+    asked = X.query_vectors(s, sf).join(X.chunks(s, sf).select(c("vec_id").alias("qid"), "document_id"), "qid").join(means, "document_id")
+    return asked.select("qid", F.round(V.cosine(c("embedding"), c("mean")), 6).alias("overview"))
+
+
+def rel_own_overview(s, sf):
+    return _own_overview(s, sf)
+
+
 def rel_combined(s, sf):
-    parts = S.relevance_parts(_ranked(s, sf)).join(rel_overlap(s, sf), "qid", "left")
-    score = S.combined_relevance(c("top_part"), F.lit(None).cast("double"), c("overlap"), c("distribution_part"))
+    """All four parts, each where it is there."""
+    parts = S.relevance_parts(_ranked(s, sf)).join(rel_overlap(s, sf), "qid", "left").join(_own_overview(s, sf), "qid", "left")
+    score = S.combined_relevance(c("top_part"), c("overview"), c("overlap"), c("distribution_part"))
     return parts.select("qid", "top_score", F.round(score, 6).alias("relevance_score"))
 
 
@@ -488,7 +501,10 @@ OVER = REL + r""", qt as (select doc_id qid, array_to_string(list_filter(regexp_
 tt as (select qid, string_agg(text, ' ' order by rank) t from ranked join (select doc_id::varchar chunk_id, text from documents) using (chunk_id) where rank <= 3 group by 1),
 sets as (select qid, list_distinct(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: w <> '')) q, list_distinct(list_filter(regexp_split_to_array(lower(t), '\s+'), lambda w: w <> '')) t from qt join tt using (qid)),
 overlap as (select qid, round(case when len(q) > 0 then len(list_intersect(q, t)) / len(q)::double else 0 end, 6) overlap from sets)"""
-COMB = OVER + """, comb as (select qid, top_score, round((0.4::double * top_part + coalesce(0.15::double * overlap, 0) + coalesce(0.15::double * distribution_part, 0)) / (0.4::double + case when overlap is null then 0 else 0.15::double end + case when distribution_part is null then 0 else 0.15::double end), 6) relevance_score from parts left join overlap using (qid))"""
+OWN = """own_first as (select * from chunk_vectors where chunk_index < 3), own_mean as (select document_id, list(m order by p) o from (select document_id, p, avg(embedding[p]::double) m from (select document_id, embedding, unnest(range(1, 65)) p from own_first) group by all) group by 1),
+own as (select q.vec_id qid, round(list_dot_product(q.embedding::double[], o) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]) * list_dot_product(o, o)), 6) overview from embeddings q join chunks c on c.vec_id = q.vec_id join own_mean using (document_id) where q.vec_id % 50 = 0)"""
+COMB = OVER + ", " + OWN + """, comb as (select qid, top_score, round((0.4::double * top_part + coalesce(0.3::double * overview, 0) + coalesce(0.15::double * overlap, 0) + coalesce(0.15::double * distribution_part, 0))
+  / (0.4::double + case when overview is null then 0 else 0.3::double end + case when overlap is null then 0 else 0.15::double end + case when distribution_part is null then 0 else 0.15::double end), 6) relevance_score from parts left join overlap using (qid) left join own using (qid))"""
 CENT = """mean as (select document_id, list(m order by p) centroid from (select document_id, p, avg(embedding[p]::double) m from (select document_id, embedding, unnest(range(1, 65)) p from chunk_vectors) group by all) group by 1),
 placed as (select c.*, sqrt(list_sum(list_transform(list_zip(embedding::double[], centroid), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) distance from chunk_vectors c join mean using (document_id))"""
 SCORE = CENT + """, scored as (select *, round(3::double * (1 - distance / (max(distance) over (partition by document_id) + 1e-9)) + case when token_count between 50 and 150 then 2 when token_count between 30 and 180 then 1 else 0 end + 1
@@ -625,11 +641,12 @@ select qid, chunk_id, score, rank::int rank from (select *, row_number() over (p
     "rel_distribution": _v("vectors", REL, "select qid, distribution_part from parts"),
     "rel_overview": _v("chunk_vectors", """f as (select * from chunk_vectors qualify row_number() over (partition by document_id order by chunk_index) <= 3),
   mean as (select document_id, list(m order by p) o from (select document_id, p, avg(embedding[p]::double) m from (select document_id, embedding, unnest(range(1, 65)) p from f) group by all) group by 1)""", "select vec_id qid, document_id, round(list_dot_product(embedding::double[], o) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(o, o)), 6) similarity from mean, embeddings where vec_id % 50 = 0"),
+    "rel_own_overview": _v("vectors chunk_vectors", OWN, "select * from own"),
     "rel_overlap": _v("vectors", OVER, "select * from overlap"),
-    "rel_combined": _v("vectors", COMB, "select * from comb"),
-    "rel_strategy": _v("vectors", COMB, """select qid, preset, case when relevance_score >= h and top_score >= t then 'search' when relevance_score >= l then 'hybrid' else 'representative' end strategy,
+    "rel_combined": _v("vectors chunk_vectors", COMB, "select * from comb"),
+    "rel_strategy": _v("vectors chunk_vectors", COMB, """select qid, preset, case when relevance_score >= h and top_score >= t then 'search' when relevance_score >= l then 'hybrid' else 'representative' end strategy,
   case when relevance_score >= h and top_score >= t then 0.9 when relevance_score >= l then 0.6 else 0.3 end::double confidence, greatest(0, least(1, relevance_score)) relevance from comb, (values ('normal', 0.65, 0.35, 0.40), ('strict', 0.75, 0.45, 0.50)) p(preset, h, l, t)"""),
-    "rel_quick": _v("vectors", COMB, "select qid, top_score >= 0.40 is_relevant from comb"),
+    "rel_quick": _v("vectors chunk_vectors", COMB, "select qid, top_score >= 0.40 is_relevant from comb"),
     "sel_chunks_needed": "select questions, greatest(3, least(30, case when questions <= 5 then floor(questions * 1.5) when questions <= 15 then floor(questions * 1.3) else floor(questions * 1.2) end))::bigint needed from (select unnest(range(1, 41)) questions)",
     "sel_centroid": _v("chunk_vectors", CENT, "select chunk_id, round(distance, 6) distance from placed"),
     "sel_repr_score": _v("chunk_vectors", SCORE, "select chunk_id, score from scored"),
