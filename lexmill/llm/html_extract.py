@@ -25,7 +25,10 @@ _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nof
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SILENT = {"script", "style", "head", "title", "template", "textarea", "select", "option", "button", "input", "svg", "math", "iframe", "object", "canvas", "audio", "video", "noembed", "noframes", "xmp", "datalist", "noscript"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-_ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+_ASIDE = {"nav", "header", "footer", "aside", "menu", "dialog", "fieldset"}
+_IN_HEAD = {"head", "title", "base", "link", "meta", "style", "script", "template", "noscript", "noframes"}
+_FLOW = {"p", "div", "article", "section", "main", "body", "table", "ul", "ol", "dl", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "header", "footer", "nav", "aside", "form"}
+_FIELDS = {"input", "select", "textarea", "button"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "article", "section", "aside", "nav", "header", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "main", "figure", "hr", "dl", "fieldset", "address", "details", "menu"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 _SCOPE = {"p": {"td", "th", "article", "section", "body"}, "li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
@@ -33,9 +36,13 @@ _SCOPE = {"p": {"td", "th", "article", "section", "body"}, "li": {"ul", "ol", "m
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|footer|foot|copyright|sidebar\w*|side|aside|rail|widget\w*|related\w*|recommend\w*|popular|trending|comment\w*|respond|reply|replies|disqus\w*|discussion|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|share|sharing|social\w*|toolbar|pagination|pager|tags?|taglist|skip\w*|complementary|contentinfo|navigation|alert|dialog)(?:$|[\s_-])", re.I
 )
+#: Those of them that also name wrappers of whole pages: search-result-page, page-header-wrap, modal-page, login-layout.
+_LOOSE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner|search\w*|side|rail|foot|notice\w*|popup|modal|overlay|alert|dialog|login|signup|subscri\w*|toolbar|tags?|skip\w*|popular|trending|promo\w*)(?:$|[\s_-])", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|articlebody)(?:$|[\s_-])", re.I)
 #: What a class says about the page's layout or leaves out: no-sidebar, has-sidebar, with-comments.
 _MODIFIER = re.compile(r"(?<![^\s_-])(?:no|has|with|without)[_-]\S*", re.I)
+#: A form is a page's wrapper, not furniture, from so many words in blocks of prose on.
+FORM_PROSE = 40
 #: Head of an article, not of the page.
 _OWN_HEADER = re.compile(r"(?:entry|post|article)[_-]header", re.I)
 
@@ -50,12 +57,14 @@ class Block:
     furniture: bool
     article: bool
     heading: bool
+    form: int = -1  # the outermost form that it is in and that nothing else has judged
 
 
 def label_mark(given: dict[str, str]) -> str:
     """What an element's labels make of its text: a role decides, then a class or id of content, then words of furniture, then of content.
 
-    A class that has words of both, as sidebar-content, is furniture; text and body alone do not outweigh another class.
+    A class that has words of both, as sidebar-content, is furniture; text and body alone do not outweigh another class. Furniture
+    by no other than _LOOSE words is loose.
     """
     role, others = given.get("role", ""), given.get("aria-label", "")
     names = _MODIFIER.sub("", " ".join(given.get(x, "") for x in ("class", "id", "itemprop"))).split()
@@ -64,30 +73,51 @@ def label_mark(given: dict[str, str]) -> str:
     if any(_OWN_HEADER.fullmatch(x) or (_CONTENT.search(x) and not _FURNITURE.search(x) and x.lower() not in ("text", "body")) for x in names):
         return "article"
     labels = " ".join([*names, role, others])
-    return "furniture" if _FURNITURE.search(labels) else "article" if _CONTENT.search(labels) else ""
+    if _FURNITURE.search(labels):
+        return "furniture" if any(_FURNITURE.search(x) and not _LOOSE.search(x) for x in labels.split()) else "loose"
+    return "article" if _CONTENT.search(labels) else ""
 
 
 class _Open:
-    """The open elements, with running counts of what they make of their text: a tag costs the same at any depth."""
+    """The open elements, with running counts of what they make of their text: a tag costs the same at any depth.
+
+    Beside its own mark an element has a state, which is what counts for its text: that of the nearest mark, but
+    furniture that is not loose stays furniture inside.
+    """
 
     def __init__(self):
         self.stack: list[tuple[str, str]] = []
+        self.state: list[tuple[str, int]] = []  # (furniture, loose, article or none, form)
         self.count = Counter()  # open elements by mark; "link" and "heading" too
         self.places: dict[str, list[int]] = defaultdict(list)  # by name; "#block" for all that are not inline
+        self.forms: list[int] = []  # number of fields in each form
 
     def _kinds(self, name: str, mark: str) -> list[str]:
         return [mark] * bool(mark) + ["link"] * (name == "a") + ["heading"] * (name in _HEADING)
 
+    @property
+    def now(self) -> tuple[str, int]:
+        return self.state[-1] if self.state else ("", -1)
+
     def push(self, name: str, mark: str) -> None:
         self.places[name].append(len(self.stack))
         if name not in _INLINE:
             self.places["#block"].append(len(self.stack))
         self.count.update(self._kinds(name, mark))
+        state, form = self.now
+        if state != "furniture" and mark in ("furniture", "loose", "article"):
+            state = mark
+            form = -1 if mark == "article" else form
+        if name == "form" and form < 0 and state in ("", "article"):
+            self.forms.append(0)
+            form = len(self.forms) - 1
         self.stack.append((name, mark))
+        self.state.append((state, form))
 
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             name, mark = self.stack.pop()
+            self.state.pop()
             if name:
                 self.places[name].pop()
             if name and name not in _INLINE:
@@ -106,7 +136,11 @@ class _Open:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The flat text blocks of a page in order. Markup may be broken; unknown and unclosed tags are tolerated."""
+    """The flat text blocks of a page in order. Markup may be broken; unknown and unclosed tags are tolerated.
+
+    A head without an end tag ends at the first text or element that cannot stand in it, an open select at the next block.
+    A form is furniture if it is inside furniture or holds fields and under FORM_PROSE words of prose.
+    """
     out: list[Block] = []
     elements = _Open()
     parts: list[str] = []
@@ -118,11 +152,14 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         if text:
             has, n = elements.count, text.count(" ") + 1
-            out.append(Block(text, n, min(linked, n), has["furniture"] > 0, has["article"] > 0, has["heading"] > 0))
+            state, form = elements.now
+            out.append(Block(text, n, min(linked, n), state in ("furniture", "loose"), has["article"] > 0, has["heading"] > 0, form))
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
+        if raw and elements.stack and elements.stack[-1][0] == "head" and not raw.isspace():
+            close(len(elements.stack) - 1)
         if raw and not elements.count["silent"]:
             text = html.unescape(raw)
             parts.append(text)
@@ -159,6 +196,10 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 close(depth)
             continue
+        if elements.places.get("head") and name not in _IN_HEAD:
+            close(elements.last("head"))
+        if name in _FLOW and elements.places.get("select"):
+            close(elements.last("select"))
         for ended, by in _CLOSED_BY.items():
             if name in by and elements.last(ended) > max((elements.last(x) for x in _SCOPE.get(ended, ())), default=-1):
                 close(elements.last(ended))
@@ -166,6 +207,8 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         if name == "br":
             continue
+        if name in _FIELDS and elements.now[1] >= 0:
+            elements.forms[elements.now[1]] += 1
         given: dict[str, str] = {}
         for key, value in _ATTRIBUTE.findall(m[3]) if "=" in m[3] or "hidden" in m[3].lower() else ():
             given.setdefault(key.lower(), value.strip("\"'"))
@@ -176,10 +219,10 @@ def blocks_of(page: str) -> list[Block]:
         elif name in ("html", "body"):
             mark = ""
         elif name in _ASIDE and not (name == "header" and (label == "article" or elements.count["article"])):
-            mark = "furniture"
+            mark = "loose" if name in ("header", "fieldset") and label in ("", "loose") else "furniture"
         elif name in ("article", "main"):
             mark = "article"
-        elif not (label == "furniture" and name in _INLINE and name != "span"):
+        elif not (label in ("furniture", "loose") and name in _INLINE and name != "span"):
             mark = label
         if name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -188,6 +231,13 @@ def blocks_of(page: str) -> list[Block]:
         if name not in _VOID and not _CLOSED.search(m[3]):
             elements.push(name, mark)
     flush()
+    prose = [0] * len(elements.forms)
+    for b in out:
+        if b.form >= 0 and b.words >= 10 and 2 * b.linked < b.words:
+            prose[b.form] += b.words
+    for b in out:
+        if b.form >= 0 and prose[b.form] < FORM_PROSE and (elements.forms[b.form] or not b.article):
+            b.furniture = True
     return out
 
 

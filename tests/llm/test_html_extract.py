@@ -70,6 +70,38 @@ LAYOUTS = [
 ]
 
 
+MENU = "<ul class='nav-menu'><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>About us</a></li></ul>"
+SEARCH = "<form action=/find><input name=q><button>Search</button><label>Search this site</label></form>"
+#: Pages without an article element whose markup ends late, lies in forms, or is named by words of furniture.
+LAYOUTS += [
+    (f"<html><head><title>x</title><body><article><p>{LONG}</p></article>", LONG),
+    (f"<head><meta charset=utf-8><title>x</title><link href=/s rel=stylesheet><p>{LONG}</p>", LONG),
+    (f"<html><head><title>x</title>{LONG}", LONG),
+    (f"<head><title>x</title><script>var a;</script><noscript><style>p</style></noscript><div class=page><h1>A title</h1><p>{LONG}</p></div>", f"A title {LONG}"),
+    (f"<body><form method=post><article><p>{LONG}</p></article></form>", LONG),
+    (f"<body><form method=post id=aspnetForm><input type=hidden name=state>{MENU}<div class=content><p>{LONG}</p><p>Short.</p></div></form>", f"{LONG} Short."),
+    (f"<form method=post><input name=state>{MENU}<div><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></div><div class=footer>All rights</div></form>", f"A title {LONG} {LONG}"),
+    (f"<form method=post><table><tr><td>{MENU}</td><td><p>{LONG}</p><p>{LONG}</p></td></tr></table></form>", f"{LONG} {LONG}"),
+    (f"<div>{SEARCH}</div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+    (f"<div class='search-result-page'><div class='story-text'><p>{LONG}</p></div></div>", LONG),
+    (f"<div class='page-header-wrap'><div class='header'><a href=/>Site</a></div><div class='main-content'><h1>A title</h1><p>{LONG}</p></div></div>", f"A title {LONG}"),
+    (f"<div class='modal-page'><div class='post-body'><p>{LONG}</p><div class='share'><a href=/s>Share</a></div></div></div>", LONG),
+    (f"<div id='login-layout'><main><p>{LONG}</p></main></div>", LONG),
+    (f"<div class='side-by-side'><div class='entry'><p>{LONG}</p></div><div class='sidebar'><div class='content'><p>{LONG}</p></div></div></div>", LONG),
+    (f"<div class='alert-banner-page'><section class='article-text'><h2>A title</h2><p>{LONG}</p></section></div>", f"A title {LONG}"),
+    (f"<header><div class='content'><h1>A title</h1><p>{LONG}</p></div></header>", f"A title {LONG}"),
+    (f"<fieldset><div class='entry-content'><p>{LONG}</p></div></fieldset>", LONG),
+    (f"<div class='comments'><article class='comment'><p>{LONG}</p></article><div class='text'>{LONG}</div></div><div class='post'><p>{LONG}</p></div>", LONG),
+    (f"<nav><div class='content'><p>{LONG}</p></div></nav><div class='story'><p>{LONG}</p></div>", LONG),
+    (f"<aside><article><p>{LONG}</p></article></aside><div id='main'><p>{LONG}</p></div>", LONG),
+    (f"<div class='tags-layout'><div class='article-body'><p>{LONG}</p><div class='tags'><a href=/t>tag</a></div></div></div>", LONG),
+    (f"<div><select><option>One<option>Two<p>{LONG}</p><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+    (f"<table><tr><td class='side'><a href=/a>Home</a></td><td class='content'><h1>A title</h1><p>{LONG}</p></td></tr></table>", f"A title {LONG}"),
+    (f"<div class='main'><p>{LONG}</p><form class='comment-form'><p>{LONG}</p><textarea>x</textarea></form></div>", LONG),
+    (f"<div class='main'><p>{LONG}</p><form><p>Leave your mail here</p><input name=mail></form></div>", LONG),
+]
+
+
 @pytest.mark.parametrize(("page", "want"), LAYOUTS)
 def test_layouts_named_by_furniture(tree, page, want):
     assert main_text(page, tree) == want
