@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_type, keyed_text, text_slices, utf8
-from .sampling import hash_sample, one_label
+from .sampling import hash_sample, one_label, one_text
 
 #: Rows from which the model is fitted, at most (about): trusted positives, and as many unlabelled texts.
 FIT_ROWS = 20_000
@@ -147,14 +147,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fit on trusted positives (label 1) and unlabelled texts of the training folds, each a bounded sample.
 
     Rows labelled 0 are not used, nor for the class prior (``estimate_prior``). The texts of both samples, about
-    2 * ``fit_rows`` rows at most, are read in one scan. Without positives there is no model.
+    2 * ``fit_rows`` rows at most, are read in one scan; an id that has several texts counts with one. Without positives there is no model.
     """
     source = keyed_text(docs, id_col, text_col)
     trusted = hash_sample(one_label(labels, id_col, label_col).where(in_training() & (F.col("label") == 1)), "doc_id", fit_rows, 11)
     free = hash_sample(source.select("doc_id").where(in_training()), "doc_id", fit_rows, 12)
     chosen = trusted.select("doc_id", F.lit(True).alias("trusted"), F.lit(False).alias("free")).unionByName(free.select("doc_id", F.lit(False).alias("trusted"), F.lit(True).alias("free")))
     chosen = chosen.groupBy("doc_id").agg(F.max("trusted").alias("trusted"), F.max("free").alias("free"))
-    rows = _feature_rows(source.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "trusted", "free")).orderBy("doc_id", "x").collect()
+    rows = _feature_rows(one_text(source.join(F.broadcast(chosen), "doc_id"), "trusted", "free")).orderBy("doc_id", "x").collect()
     x = np.frombuffer(b"".join(r.x for r in rows), "<f8").reshape(-1, len(NAMES))
     is_trusted, is_free = (np.array([r[k] for r in rows], bool) for k in (1, 2))
     if not is_trusted.any() or not is_free.any():

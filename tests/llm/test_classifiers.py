@@ -1,12 +1,14 @@
+import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import queries
-from lexmill.llm.pu_quality import crc_fold, estimate_prior, fit_nnpu, quality_scores, text_features
+from lexmill.llm.pu_quality import crc_fold, estimate_prior, fit_nnpu, fit_quality, quality_scores, text_features
 from lexmill.llm.toxicity import CATEGORIES, drop_toxic, fit_chain, fit_logistic, kinds_of, probability, toxicity_scores
 
 SF = "/root/testdata/sf0.01"
@@ -95,3 +97,39 @@ def test_drop_toxic_keeps_columns(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
     kept = drop_toxic(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(90) if i % 3}
+
+
+@pytest.mark.parametrize("run", [quality_scores, toxicity_scores])
+def test_samples_are_bounded_by_rows(spark, monkeypatch, run):
+    docs = spark.range(60_000).select(F.when(F.col("id") < 500, F.col("id")).otherwise(7).alias("doc_id"), F.concat(F.lit("some words and idiot "), F.col("id") % 97).alias("text"))
+    labels = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    sizes, kind = [], type(docs)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: sizes.append(len(out := collect(self))) or out)
+    assert run(docs, labels, fit_rows=100).count() == 60_000
+    assert sizes and max(sizes) < 500
+
+
+def test_scores_from_the_fitted_weights(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    chain = fit_chain(docs, labels)
+    want = {}
+    for i, text in texts:
+        held = {f for w in re.findall(r"\w+", text.lower()) for f in ["=" + w, *("^" + w[:k] for k in (4, 5, 6, 7) if len(w) >= k)]}
+        seen = [1.0 if f in held else 0.0 for f in sorted(chain.features, key=chain.features.get)]
+        for w in chain.weights:
+            z = sum(a * b for a, b in zip(seen, w[:-1], strict=True)) + w[-1]
+            seen.append(1 / (1 + math.exp(-z)))
+        want[i] = seen[-len(CATEGORIES):]
+    got = {r.doc_id: r[1 : 1 + len(CATEGORIES)] for r in toxicity_scores(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-4) for i in want)
+    model, want = fit_quality(docs, labels), {}
+    for i, text in texts:
+        z, at = model.weights[-1], 0
+        for value, edges in zip(text_features(text.encode()), model.edges, strict=True):
+            z += model.weights[at + sum(e <= value for e in edges)]
+            at += len(edges) + 1
+        want[i] = 1 / (1 + math.exp(-z))
+    got = {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
