@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .common import bits_differ, free_prefix, id_type, keyed_text, staged, text_column, text_slices, utf8
 from .components import connected_components
 
+#: Shingles of a text whose bits are counted at a time.
+SHINGLES = 1 << 16
+
 
 def fingerprint(data: bytes, width: int) -> int:
     """64-bit SimHash of the word shingles of a UTF-8 text, repeats included; 0 without words."""
@@ -24,9 +27,11 @@ def fingerprint(data: bytes, width: int) -> int:
     last = ends[width - 1 :].tolist() or [len(joined)]
     first = [0, *(ends + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(first, last, strict=False)], np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(last), SHINGLES):  # bits take 64 bytes a shingle
+        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(first[at : at + SHINGLES], last[at : at + SHINGLES], strict=False)], np.uint64)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(last), bitorder="little").tobytes(), "little")
 
 
 def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

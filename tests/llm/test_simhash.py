@@ -87,3 +87,12 @@ def test_empty(spark):
     assert simhash_groups(docs).collect() == []
     with pytest.raises(ValueError):
         ball_links(docs.selectExpr("doc_id fp"), 3)
+
+
+def test_long_text_by_blocks_of_shingles(monkeypatch):
+    from lexmill.llm import simhash
+
+    data = " ".join(f"w{i * i % 1009}" for i in range(5000)).encode()
+    whole = simhash.fingerprint(data, 3)
+    monkeypatch.setattr(simhash, "SHINGLES", 7)
+    assert simhash.fingerprint(data, 3) == whole and simhash.fingerprint(b"a b", 3) == simhash.fingerprint(b"A  b", 3)
