@@ -184,7 +184,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     x, toxic = bits[:, :width].astype(np.float32), bits[:, len(every)].astype(np.float64)
     marks = np.column_stack([kinds_of(x, toxic), toxic])
     # rows with the same features in one fold are one row that counts as often; most clean texts have none
-    _, first, of, times = np.unique(np.column_stack([bits[:, : len(every)], [r.fold for r in got]]), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    alike: dict[tuple[int, bytes], int] = {}
+    of = np.array([alike.setdefault((r.fold, row.tobytes()), len(alike)) for r, row in zip(got, np.packbits(bits[:, : len(every)], axis=1), strict=True)])
+    first = np.unique(of, return_index=True)[1]
+    times = np.bincount(of)
     fold, bits, x = np.array([got[i].fold for i in first]), bits[first], x[first]
     marks = np.column_stack([np.bincount(of, weights=marks[:, k], minlength=len(first)) for k in range(len(CATEGORIES))])
     earlier = np.zeros((len(x), 0), np.float32)
