@@ -166,8 +166,8 @@ def hybrid_left(s, sf):
 
 
 def _asked(s, sf):
-    """(qid, query, embedding): every document whose id is divisible by 50 asks its first five words and its vector, if it has one."""
-    return _query_text(s, sf).join(X.query_vectors(s, sf), "qid", "left")
+    """(qid, query, embedding): every id divisible by 50 asks the first five words of its document and its vector, or the one that it has."""
+    return _query_text(s, sf).join(X.query_vectors(s, sf), "qid", "full").withColumn("query", F.coalesce("query", F.lit("")))
 
 
 def bm25_topk_batch(s, sf):
