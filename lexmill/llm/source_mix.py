@@ -45,7 +45,8 @@ def mix_sources(
     taken whole as often as target over source size says in whole numbers; for the rest, documents are
     taken once more in the order of a seeded hash of the id, as long as half of the document still fits.
     So a source's words miss its target by half a document at most, and no document is taken more than
-    ``max_epochs`` times, rounded up. Running sums over the documents of a source are spread over ranges.
+    ``max_epochs`` times, rounded up. Texts are read once, for their sizes; running sums over the documents
+    of a source are spread over ranges.
 
     Null and empty texts have size 0. Rows with a null or repeated id are documents of their own; rows
     equal in source, id and size are interchangeable, so reruns agree. Empty tables give empty tables. A
