@@ -114,7 +114,8 @@ def repetition_rules(
     word sequences. A text is kept if the base rules pass, repeats of at least ``min_repeat`` words
     cover at most ``max_covered`` of its words, and no repeat is longer than ``max_longest`` words.
     Null and empty texts have no words, so the base rules fail. Repeated rows each give a row. A text
-    is never cut; a text of any length is one array of its own words.
+    is never cut; a text of any length is one array of its own words. An empty table gives an empty table;
+    other columns are ignored, whatever their names.
     """
     source = keyed_text(docs, id_col, text_col)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]

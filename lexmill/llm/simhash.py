@@ -75,7 +75,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id is the least doc_id reachable over links of at most ``radius`` bits. Equal
     fingerprints (copies, word-less texts) are one node: the pair search sees each only once.
     Null ids stay null and never name a component unless it has no other; repeated rows each give a row.
-    An empty table gives an empty table.
+    An empty table gives an empty table; other columns are ignored, whatever their names.
     """
     prints = staged(simhash_fingerprints(docs, id_col, text_col, width), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
