@@ -102,7 +102,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     distinct word once. Longer texts are cut into a tree of halves wherever the cuts fall; leaves are
     rows of their own that tasks encode in parallel, and each text's leaves are then joined pairwise
     (``join_tokens``). Null and empty texts give no ids and an empty decoded text. Rows are never
-    merged: repeated rows each give a row, also those with a null id.
+    merged: repeated rows each give a row, also those with a null id. An empty table gives an empty table;
+    other columns are ignored, whatever their names.
     """
     source = keyed_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     kind = id_type(source)
