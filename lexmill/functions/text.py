@@ -77,10 +77,14 @@ def preview(text: Column, size: int = 500) -> Column:
 
 
 def file_size(size: Column) -> Column:
-    """Bytes in B, KB, MB, GB or TB with two places."""
-    out = F.format_string("%.2f TB", size / float(1 << 40))
+    """Bytes in B, KB, MB, GB or TB with two places, halves to even."""
+
+    def shown(power: int, unit: str) -> Column:
+        return F.concat(F.call_function("format_number", size / F.lit(float(1 << power)), F.lit("0.00")), F.lit(f" {unit}"))
+
+    out = shown(40, "TB")
     for unit, power in (("GB", 30), ("MB", 20), ("KB", 10), ("B", 0)):
-        out = F.when(size < (1 << (power + 10)), F.format_string(f"%.2f {unit}", size / float(1 << power))).otherwise(out)
+        out = F.when(size < (1 << (power + 10)), shown(power, unit)).otherwise(out)
     return out
 
 

@@ -79,18 +79,28 @@ JSONS = [
 ]
 
 
-def _answers(s):
-    rows = s.createDataFrame(ANSWERS, "id long, raw string, single boolean")
+SIGNS = [")", "]", ":", ".", "-", " ", "x"]
+
+
+def _answers(s, sf):
+    """Answers made of the keys and states of all orders; the fixed ones have ids below 0."""
+    letter = lambda key, n: F.char(65 + c(key) % n)
+    raw = F.concat(letter("o_orderkey", 7), F.lit(", "), F.lower(letter("o_custkey", 5)), F.lit(" ,"), "o_orderstatus", F.lit(","), letter("o_orderkey", 3))
+    rows = X.table(s, sf, "orders").select(c("o_orderkey").alias("id"), raw.alias("raw"), (c("o_custkey") % 2 == 0).alias("single"))
+    rows = rows.unionByName(s.createDataFrame(ANSWERS, "id long, raw string, single boolean").withColumn("id", -c("id")))
     return rows.select("id", P.answer_letters(F.split("raw", ","), c("single")).alias("letters"))
 
 
 def answers_normalize(s, sf):
     opts = P.options(F.array(*[F.lit(x) for x in "wxyz"]), c("found"))
-    return _answers(s).withColumnRenamed("letters", "found").select("id", F.array_join("found", ",").alias("letters"), F.array_join(F.transform(opts, lambda o: F.concat(o["id"].cast("string"), o["optionText"], o["isCorrect"].cast("string"))), ";").alias("options"))
+    return _answers(s, sf).withColumnRenamed("letters", "found").select("id", F.array_join("found", ",").alias("letters"), F.array_join(F.transform(opts, lambda o: F.concat(o["id"].cast("string"), o["optionText"], o["isCorrect"].cast("string"))), ";").alias("options"))
 
 
 def choice_clean(s, sf):
-    return s.createDataFrame([(x,) for x in CHOICES], "raw string").select("raw", clean_choice(c("raw")).alias("clean"))
+    """Names of all parts behind letters and signs, and the fixed options."""
+    sign = F.element_at(F.array(*map(F.lit, SIGNS)), (c("p_partkey") % len(SIGNS) + 1).cast("int"))
+    parts = X.table(s, sf, "part").select(F.concat(F.lit(" "), F.substring(F.lit("ABcdE"), (c("p_partkey") % 5 + 1).cast("int"), F.lit(1)), sign, F.lit(" "), "p_name").alias("raw"))
+    return parts.unionByName(s.createDataFrame([(x,) for x in CHOICES], "raw string")).select("raw", clean_choice(c("raw")).alias("clean"))
 
 
 def pipeline_metrics(s, sf):
@@ -98,8 +108,12 @@ def pipeline_metrics(s, sf):
     return rows.agg(F.countDistinct("document_id").alias("documents"), F.countDistinct("section_id").alias("sections"), F.count("*").alias("chunks"), F.round(F.avg("token_count"), 6).alias("mean_tokens"), F.max("token_count").alias("most_tokens"))
 
 
+def _docs(s, sf):
+    return X.table(s, sf, "documents")
+
+
 def _passages(s, sf):
-    return X.table(s, sf, "documents").select("doc_id", c("text").alias("passage"), "lang")
+    return _docs(s, sf).select("doc_id", c("text").alias("passage"), "lang")
 
 
 def mock_mcq(s, sf):
@@ -152,19 +166,48 @@ def prompt_tf(s, sf):
 
 
 def llm_token_budget(s, sf):
-    return s.range(1, 41).select(c("id").alias("questions"), N.token_budget(c("id")).alias("budget"))
+    """The numbers from 1 to 40, and the orders of each customer as questions."""
+    per = X.table(s, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("id")).select("id")
+    return s.range(1, 41).unionByName(per).select(c("id").alias("questions"), N.token_budget(c("id")).alias("budget"))
 
 
 def _jsons(s):
-    return s.createDataFrame(JSONS, "id long, t string")
+    return s.createDataFrame(JSONS, "id long, t string").withColumn("id", -c("id"))
+
+
+def _outputs(s, sf):
+    """Model output made of all events, bare, with trailing commas, fenced, in an open fence or behind prose; the fixed ones have ids below 0."""
+    turn, p = c("event_id") % 5, c("props")
+    made = F.when(turn == 0, p).when(turn == 1, F.concat(F.lit("["), p, F.lit(", ]"))).when(turn == 2, F.concat(F.lit("```json\n["), p, F.lit(",\n]\n``` done")))
+    made = made.when(turn == 3, F.concat(F.lit("Here: ```json\n["), p, F.lit(","))).otherwise(F.concat(F.lit("So ```\n"), p, F.lit("\n```")))
+    return X.table(s, sf, "events").select(c("event_id").alias("id"), made.alias("t")).unionByName(_jsons(s))
+
+
+def _objects(s, sf, *, answers: bool):
+    """(id, o): the first two questions of each document as JSON objects; a third of the answers is missing if asked for."""
+    def one(i: int):
+        answer = F.when((c("doc_id") + i) % 3 > 0, F.lit("A")) if answers else F.lit(i)
+        return F.to_json(F.struct(F.concat(F.lit(f"{i} "), "text").alias("question"), F.array(F.lit("x"), c("lang")).alias("choices"), answer.alias("answer")))
+
+    return _docs(s, sf).select(c("doc_id").alias("id"), one(0).alias("a"), one(1).alias("b"))
+
+
+def _damaged(s, sf):
+    """Two questions of each document, whole, cut in a third one, with trailing commas, or behind prose in an open fence and cut; the fixed ones have ids below 0."""
+    turn = c("id") % 4
+    comma = lambda o: F.concat(F.expr(f"substring({o}, 1, length({o}) - 1)"), F.lit(", }"))
+    cut = F.concat(c("a"), F.lit(", "), c("b"), F.lit(", "), F.expr("substring(a, 1, cast(length(a) div 2 as int))"))
+    made = F.when(turn == 0, F.concat(F.lit("["), "a", F.lit(","), "b", F.lit("]"))).when(turn == 1, F.concat(F.lit("["), cut))
+    made = made.when(turn == 2, F.concat(F.lit("["), comma("a"), F.lit(", "), comma("b"), F.lit(" , ]"))).otherwise(F.concat(F.lit("Questions:\n```json\n["), cut))
+    return _objects(s, sf, answers=False).select("id", made.alias("t")).unionByName(_jsons(s))
 
 
 def json_fence(s, sf):
-    return _jsons(s).select("id", fenced_json(c("t")).alias("body"))
+    return _outputs(s, sf).select("id", fenced_json(c("t")).alias("body"))
 
 
 def json_fix_commas(s, sf):
-    return _jsons(s).select("id", drop_trailing_commas(c("t")).alias("fixed"))
+    return _outputs(s, sf).select("id", drop_trailing_commas(c("t")).alias("fixed"))
 
 
 def json_parse(s, sf):
@@ -172,11 +215,13 @@ def json_parse(s, sf):
 
 
 def json_repair(s, sf):
-    return N.repaired(_jsons(s).withColumn("t", fenced_json(c("t"))), "id", "t")
+    return N.repaired(_damaged(s, sf).withColumn("t", fenced_json(c("t"))), "id", "t").select("id", F.md5("repaired").alias("repaired_md5"))
 
 
 def json_validate(s, sf):
-    return _jsons(s).where("id in (1, 3)").select("id", F.array_join(F.transform(N.valid_questions(F.from_json(fenced_json(c("t")), N.QUESTION)), lambda q: q["question"]), ",").alias("kept"))
+    made = _objects(s, sf, answers=True).select("id", F.concat(F.lit("```json\n["), "a", F.lit(","), "b", F.lit("]\n```")).alias("t"))
+    rows = made.unionByName(_jsons(s).where("id in (-1, -3)"))
+    return rows.select("id", F.md5(F.array_join(F.transform(N.valid_questions(F.from_json(fenced_json(c("t")), N.QUESTION)), lambda q: q["question"]), ",")).alias("kept_md5"))
 
 
 def _cache(s, sf):
@@ -239,9 +284,13 @@ select plan_id, pos, case when last then 10::decimal(12,2)::double - coalesce(su
 _LANG = f"case lang when 'vi' then '{N.LANGUAGE['vi']}' else '{N.LANGUAGE['en']}' end"
 _WORDS = "list_filter(string_split(text, ' '), lambda w: w <> '')"
 _HINTS = "[" + ", ".join(f"'{h}'" for h in N.HINTS) + "]"
-_J = "(values " + ", ".join("({}::bigint, {})".format(i, " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in t.split("\n"))) for i, t in JSONS) + ") v(id, t)"
+_J = "(select event_id id, case event_id % 5 when 0 then props when 1 then '[' || props || ', ]' when 2 then '```json' || chr(10) || '[' || props || ',' || chr(10) || ']' || chr(10) || '``` done' when 3 then 'Here: ```json' || chr(10) || '[' || props || ',' else 'So ```' || chr(10) || props || chr(10) || '```' end t from events union all select * from (values " + ", ".join("({}::bigint, {})".format(-i, " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in t.split("\n"))) for i, t in JSONS) + ") v(id, t))"
 _FENCE = "trim(case when contains(t, '```json') then regexp_extract(t, '(?s)```json(.*?)(?:```|\\z)', 1) when contains(t, '```') then regexp_extract(t, '(?s)```(.*?)(?:```|\\z)', 1) else t end)"
-_A = "(values " + ", ".join(f"({i}::bigint, '{r}', {str(b).lower()})" for i, r, b in ANSWERS) + ") v(id, raw, single)"
+_QUESTION = """'{{"question": ' || to_json('{0} ' || text)::varchar || ', "choices": ["x", ' || to_json(lang)::varchar || '], "answer": {0}}}'"""
+# What is left of the fixed outputs.
+REPAIRED = {-1: '[{"question": "q1", "choices": ["a", "b"], "answer": "A"}]', -2: '{"a": 1}', -3: '[{"question": "q", "choices": ["x"]}, {"question": "r", "choices": ["y"], "answer": "B"}]', -4: '[{"a": 1}, {"b": "x}"}]', -5: None, -6: None, -7: '{"k": [1, 2]}'}
+_REPAIRED = ", ".join(f"({i}, {'null' if r is None else repr(r)})" for i, r in REPAIRED.items())
+_A = "(select o_orderkey id, chr((65 + o_orderkey % 7)::int) || ', ' || chr((97 + o_custkey % 5)::int) || ' ,' || o_orderstatus || ',' || chr((65 + o_orderkey % 3)::int) raw, o_custkey % 2 = 0 single from orders union all select * from (values " + ", ".join(f"({-i}::bigint, '{r}', {str(b).lower()})" for i, r, b in ANSWERS) + ") v(id, raw, single))"
 SQL = {
     "plan_interleave": f"with {COUNTS}, {_turns('t', 'counts', P.DIFFICULTIES)} select * from t",
     "plan_build": PLAN + " select * from plan",
@@ -254,7 +303,7 @@ SQL = {
     "answers_normalize": f"""with l as (select id, single, list_filter(list_transform(string_split(raw, ','), lambda a: upper(trim(a))), lambda a: a in ('A', 'B', 'C', 'D')) l from {_A}), f as (select id, single, case when len(l) > 0 then l else ['A'] end l from l),
   d as (select id, case when single then l[1:1] else list_filter(l, lambda x, i: list_position(l, x) = i) end l from f)
   select id, array_to_string(l, ',') letters, array_to_string(list_transform(['w', 'x', 'y', 'z'], lambda o, i: i || o || list_contains(l, ['A', 'B', 'C', 'D'][i])), ';') options from d""",
-    "choice_clean": "select raw, case when length(trim(raw)) > 2 and regexp_matches(trim(raw), '^[A-Da-d][)\\]:.\\-]') then trim(trim(raw)[3:]) else trim(raw) end clean from (values " + ", ".join(f"('{x}')" for x in CHOICES) + ") v(raw)",
+    "choice_clean": "select raw, case when length(trim(raw)) > 2 and regexp_matches(trim(raw), '^[A-Da-d][)\\]:.\\-]') then trim(trim(raw)[3:]) else trim(raw) end clean from (select ' ' || 'ABcdE'[(p_partkey % 5 + 1)::int] || [" + ", ".join(f"'{x}'" for x in SIGNS) + f"][(p_partkey % {len(SIGNS)} + 1)::int] || ' ' || p_name raw from part union all select * from (values " + ", ".join(f"('{x}')" for x in CHOICES) + ") v(raw))",
     "pipeline_metrics": W("chunks", body="select count(distinct document_id) documents, count(distinct section_id) sections, count(*) chunks, round(avg(token_count), 6) mean_tokens, max(token_count) most_tokens from chunks"),
     "mock_mcq": "select doc_id, 'What is the main concept in this passage? (mock-' || md5(text)[1:8] || ')' question, 'A' answer, 'medium' difficulty from documents",
     "mock_batch": "select doc_id, i, 'Question ' || (i + 1) || ': What concept is discussed? (mock-' || md5(text || '_' || i)[1:8] || ')' question, case when i % 2 = 0 then 'A' else 'A,B' end answers, 'medium' difficulty from (select doc_id, text, unnest(range(0, 4)) i from documents)",
@@ -267,13 +316,15 @@ SQL = {
     "prompt_distractor": f"""select doc_id, md5('Correct: right' || chr(10) || 'Candidates: [' || array_to_string(list_transform({_WORDS}[1:6], lambda w: '"' || w || '"'), ',') || ']' || chr(10) || 'Passage:' || chr(10) || text) prompt_md5 from documents""",
     "prompt_short": f"select doc_id, md5('Ask one short-answer question. ' || {_LANG} || chr(10) || 'Passage:' || chr(10) || text) prompt_md5 from documents",
     "prompt_tf": f"select doc_id, md5('Write one true or false statement. {N.LANGUAGE['vi']}' || chr(10) || 'Passage:' || chr(10) || text) prompt_md5 from documents",
-    "llm_token_budget": "select questions, greatest(8192, least(600 * questions + 500, 16384))::bigint budget from (select unnest(range(1, 41)) questions)",
+    "llm_token_budget": "select questions, greatest(8192, least(600 * questions + 500, 16384))::bigint budget from (select unnest(range(1, 41)) questions union all select count(*) from orders group by o_custkey)",
     "json_fence": f"select id, {_FENCE} body from {_J}",
     "json_fix_commas": f"select id, regexp_replace(t, ',(\\s*[}}\\]])', '\\1', 'g') fixed from {_J}",
     "json_parse": "select event_id, json_extract(props, '$.k')::bigint k from events",
     "quiz_main": None,
-    "json_repair": None,
-    "json_validate": "select 1::bigint id, 'q1' kept union all select 3, 'r'",
+    "json_repair": f"""with o as (select doc_id id, {_QUESTION.format(0)} a, {_QUESTION.format(1)} b from documents), fixed as (select * from (values {_REPAIRED}) v(id, r))
+  select id, md5('[' || a || ', ' || b || ']') repaired_md5 from o union all select id::bigint, md5(r) from fixed""",
+    "json_validate": """select doc_id id, md5(array_to_string(list_filter([case when doc_id % 3 > 0 then '0 ' || text end, case when (doc_id + 1) % 3 > 0 then '1 ' || text end], lambda x: x is not null), ',')) kept_md5 from documents
+  union all select -1, md5('q1') union all select -3, md5('r')""",
     "cache_key": "select doc_id, md5('model:' || text) as key from documents",
     "cache_split": "select doc_id, case when text in (select text from documents where doc_id in (select vec_id from embeddings)) then 'hit' else 'miss' end state from documents",
     "cache_encode": "select doc_id, length(text)::double as value from documents",

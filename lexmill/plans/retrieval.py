@@ -221,7 +221,10 @@ EXPANDED_TEXT = [*QUERIES_TEXT[:2], "the license of SQL", "pandas and the"]
 
 
 def query_expand(s, sf):
-    return s.createDataFrame([(q,) for q in QUERIES_TEXT], "query string").select("query", S.expand_query(c("query")).alias("expanded"))
+    """All turns of users, by turns with a word of the list behind them, and the fixed queries."""
+    word = F.element_at(F.array(*map(F.lit, ["", *S.EXPANSIONS])), ((c("conv_id") + c("turn")) % (len(S.EXPANSIONS) + 1) + 1).cast("int"))
+    asked = X.table(s, sf, "conversations").where("role = 'user'").select(F.concat_ws(" ", "text", word).alias("query"))
+    return asked.unionByName(s.createDataFrame([(q,) for q in QUERIES_TEXT], "query string")).select("query", S.expand_query(c("query")).alias("expanded"))
 
 
 def query_expand_search(s, sf):
@@ -301,7 +304,9 @@ def rel_quick(s, sf):
 
 
 def sel_chunks_needed(s, sf):
-    return s.range(1, 41).select(c("id").alias("questions"), L.chunks_needed(c("id")).alias("needed"))
+    """The numbers from 1 to 40, and the orders of each customer as questions."""
+    per = X.table(s, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("id")).select("id")
+    return s.range(1, 41).unionByName(per).select(c("id").alias("questions"), L.chunks_needed(c("id")).alias("needed"))
 
 
 def _placed(s, sf):
@@ -516,6 +521,7 @@ added as (select s.document_id, c.chunk_id, c.token_count, as_of, side, round(ba
 JUDGE = RANK + ", judged as (select r.qid, rank, e.label = q.label relevant from ranked r join embeddings e on e.vec_id::varchar = r.chunk_id join embeddings q on q.vec_id = r.qid)"
 PREC = "per as (select qid, count(*) filter (relevant and rank <= 1) / 1 p1, count(*) filter (relevant and rank <= 3) / 3 p3, count(*) filter (relevant and rank <= 5) / 5 p5, coalesce(round(1.0::double / min(rank) filter (relevant), 6), 0) rr from {} group by 1)"
 _HITS = "(contains(lower(text), 'the')::int + contains(lower(text), 'license')::int + contains(lower(text), 'idiot')::int)"
+_KEYS = "[" + ", ".join(f"'{k}'" for k in ["", *S.EXPANSIONS]) + "]"
 _EXP = " || ".join("case when contains(lower(query), '{}') then [{}] else [] end".format(k, ", ".join(f"'{x}'" for x in v)) for k, v in S.EXPANSIONS.items())
 
 
@@ -630,7 +636,7 @@ SQL = {
     "hybrid_left": _v("vectors", f"{SEM}, {BM_RAW}, {FUSE.format(how='left')}", f"select * from fused order by hybrid_score desc, chunk_id limit {K}"),
     "hybrid_by_doc": _v("chunks", BM_SCOPE, "select document_id, chunk_id, score, rank::int rank from (select document_id, chunk_id, round(bm25, 6) score, row_number() over (partition by document_id order by round(bm25, 6) desc, chunk_id) rank from bm) where rank <= 3"),
     "q_search_chunks": _v("vectors chunks", SEM + f", best as (select chunk_id::bigint vec_id, round(score, 6) score from sem order by 2 desc, chunk_id limit {K})", "select vec_id, score, c.chunk_id, md5(text[1:300] || '...') shown from best left join chunks c using (vec_id)"),
-    "query_expand": f"select query, query || ' ' || array_to_string(([query] || {_EXP})[1:5], ' ') expanded from (values " + ", ".join(f"('{q}')" for q in QUERIES_TEXT) + ") v(query)",
+    "query_expand": f"select query, query || ' ' || array_to_string(([query] || {_EXP})[1:5], ' ') expanded from (select concat_ws(' ', text, {_KEYS}[((conv_id + turn) % {len(S.EXPANSIONS) + 1} + 1)::int]) as query from conversations where role = 'user' union all select * from (values " + ", ".join(f"('{q}')" for q in QUERIES_TEXT) + ") v(query))",
     "query_expand_search": f"""with asked as (select i qid, query || ' ' || array_to_string(([query] || {_EXP})[1:5], ' ') x from (values {', '.join(f"({i}::bigint, '{q}')" for i, q in enumerate(EXPANDED_TEXT))}) v(i, query)),
 words as (select 'q' || qid k, unnest({X.TOK.format('x', 2)}) t from asked union all select 'd' || doc_id, unnest({X.TOK.format('text', 2)}) from documents),
 counted as (select k, ('0x' || md5(t)[1:6])::bigint % 64 bucket, count(*)::double n from words group by all), unit as (select k, bucket, n / sqrt(sum(n * n) over (partition by k)) u from counted),
@@ -647,7 +653,7 @@ select qid, chunk_id, score, rank::int rank from (select *, row_number() over (p
     "rel_strategy": _v("vectors chunk_vectors", COMB, """select qid, preset, case when relevance_score >= h and top_score >= t then 'search' when relevance_score >= l then 'hybrid' else 'representative' end strategy,
   case when relevance_score >= h and top_score >= t then 0.9 when relevance_score >= l then 0.6 else 0.3 end::double confidence, greatest(0, least(1, relevance_score)) relevance from comb, (values ('normal', 0.65, 0.35, 0.40), ('strict', 0.75, 0.45, 0.50)) p(preset, h, l, t)"""),
     "rel_quick": _v("vectors chunk_vectors", COMB, "select qid, top_score >= 0.40 is_relevant from comb"),
-    "sel_chunks_needed": "select questions, greatest(3, least(30, case when questions <= 5 then floor(questions * 1.5) when questions <= 15 then floor(questions * 1.3) else floor(questions * 1.2) end))::bigint needed from (select unnest(range(1, 41)) questions)",
+    "sel_chunks_needed": "select questions, greatest(3, least(30, case when questions <= 5 then floor(questions * 1.5) when questions <= 15 then floor(questions * 1.3) else floor(questions * 1.2) end))::bigint needed from (select unnest(range(1, 41)) questions union all select count(*) from orders group by o_custkey)",
     "sel_centroid": _v("chunk_vectors", CENT, "select chunk_id, round(distance, 6) distance from placed"),
     "sel_repr_score": _v("chunk_vectors", SCORE, "select chunk_id, score from scored"),
     "sel_search_budget": _v("chunk_vectors vectors", SEM + """, r as (select c.document_id, c.chunk_id, token_count, round(score, 6) score from chunk_vectors c join sem on sem.chunk_id = c.vec_id::varchar),

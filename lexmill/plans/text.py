@@ -22,11 +22,15 @@ def _docs(s, sf):
 
 
 PATHS = ["a/b.PDF", "x.txt", "dir.v1/noext", "p/q.Docx", "r.md", "s.png", "t.jpeg", "u.tar.gz", ".hidden", "v.pptx"]
+ENDS = ["", ".pdf", ".TXT", ".docx", ".md", ".PNG", ".jpeg", ".tar.gz", ".pptx", "/.hidden", ".doc", "."]
 SIZES = [0, 1, 1023, 1024, 1536, 1048576, 5 * 1048576 + 1, 52428801, 3 * 1073741824, 2199023255552]
 
 
-def _paths(s):
-    return s.createDataFrame([(p,) for p in PATHS], "path string")
+def _paths(s, sf):
+    """The addresses of all pages without query and fragment, most with an ending, and the fixed paths."""
+    end = F.element_at(F.array(*map(F.lit, ENDS)), (c("page_id") % len(ENDS) + 1).cast("int"))
+    pages = X.table(s, sf, "pages").select(F.concat(F.regexp_replace("url", "[?#].*$", ""), end).alias("path"))
+    return pages.unionByName(s.createDataFrame([(p,) for p in PATHS], "path string"))
 
 
 def src_text(s, sf):
@@ -34,19 +38,21 @@ def src_text(s, sf):
 
 
 def src_route(s, sf):
-    return _paths(s).select("path", S.reader_of(c("path")).alias("reader"))
+    return _paths(s, sf).select("path", S.reader_of(c("path")).alias("reader"))
 
 
 def src_meta(s, sf):
-    return _paths(s).select("path", S.file_meta(c("path")).alias("m")).select("path", "m.file_name", "m.file_type")
+    return _paths(s, sf).select("path", S.file_meta(c("path")).alias("m")).select("path", "m.file_name", "m.file_type")
 
 
 def src_validate(s, sf):
-    return _paths(s).select("path", S.is_allowed(c("path")).alias("allowed"))
+    return _paths(s, sf).select("path", S.is_allowed(c("path")).alias("allowed"))
 
 
 def fmt_size(s, sf):
-    return s.createDataFrame([(x,) for x in SIZES], "size long").select("size", T.file_size(c("size")).alias("shown"))
+    """Sizes of all texts, in bytes, KB, MB and GB by turns, and the fixed sizes."""
+    texts = _docs(s, sf).select((c("n_chars") * F.pow(F.lit(1024.0), c("doc_id") % 4).cast("long")).alias("size"))
+    return texts.unionByName(s.createDataFrame([(x,) for x in SIZES], "size long")).select("size", T.file_size(c("size")).alias("shown"))
 
 
 def src_min_content(s, sf):
@@ -104,6 +110,7 @@ def chunk_paragraphs(s, sf):
     return _md(s, sf).select("page_id", F.posexplode(C.paragraphs(c("text"))).alias("i", "p")).select("page_id", c("i").cast("long").alias("i"), F.md5("p").alias("paragraph_md5"))
 
 
+LINK = "<a [^>]*>([^<]*)</a>"
 # Small Markdown texts for the tests of kinds of chunk.
 SAMPLES = [
     "# Title\nbody text that is long enough", "plain paragraph of some words", "| a | b |\n|---|---|\n| 1 | 2 |", "a | b\nc | d", "+---+\n| x |\n+---+", "text\n```\ncode\n```\nmore", "```\nopen fence", "###### deep\n", "#nospace", "# Only header",
@@ -116,8 +123,23 @@ def _samples(s):
     return s.createDataFrame(list(enumerate(SAMPLES)), "id long, t string")
 
 
+def _kinds(s, sf):
+    """All texts by turns as they are, below a header, in a fence and in an open fence; the fixed samples have ids below 0."""
+    turn = c("doc_id") % 4
+    text = F.when(turn == 1, F.concat(F.lit("## Part\n"), "text")).when(turn == 2, F.concat(F.lit("```\n"), "text", F.lit("\n```"))).when(turn == 3, F.concat(F.lit("```\n"), "text")).otherwise(c("text"))
+    return _docs(s, sf).select(c("doc_id").alias("id"), text.alias("t")).unionByName(_samples(s).select((c("id") - 100).alias("id"), "t"))
+
+
+def _links(s, sf):
+    """The links of all pages as lines of a table of contents, every fourth as a plain item; the fixed samples have ids below 0."""
+    found = X.table(s, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("i", "v"))
+    turn, number = (c("page_id") + c("i")) % 4, (c("i") + 1).cast("string")
+    line = F.when(turn == 0, F.concat(F.lit("- ["), "v", F.lit("](#"), "v", F.lit(")"))).when(turn == 1, F.concat(number, F.lit(". ["), "v", F.lit("](#x)"))).when(turn == 2, F.concat(F.lit("* "), "v", F.lit(" .... "), number)).otherwise(F.concat(F.lit("- "), "v"))
+    return found.select((c("page_id") * 100000 + c("i")).alias("id"), line.alias("t")).unionByName(_samples(s).select((c("id") - 100).alias("id"), "t"))
+
+
 def chunk_type(s, sf):
-    return _samples(s).select("id", T.chunk_type(c("t")).alias("chunk_type"))
+    return _kinds(s, sf).select("id", T.chunk_type(c("t")).alias("chunk_type"))
 
 
 def chunk_is_table(s, sf):
@@ -125,7 +147,7 @@ def chunk_is_table(s, sf):
 
 
 def chunk_has_code(s, sf):
-    return _samples(s).select("id", T.has_code(c("t")).alias("has_code"))
+    return _kinds(s, sf).select("id", T.has_code(c("t")).alias("has_code"))
 
 
 def chunk_drop_empty(s, sf):
@@ -133,7 +155,7 @@ def chunk_drop_empty(s, sf):
 
 
 def md_toc_line(s, sf):
-    return _samples(s).select("id", T.is_toc_line(c("t")).alias("is_toc"))
+    return _links(s, sf).select("id", T.is_toc_line(c("t")).alias("is_toc"))
 
 
 def _levelled(s, sf):
@@ -194,9 +216,12 @@ def chunk_split(s, sf):
 
 
 def chunk_split_table(s, sf):
+    """The customers of each nation as tables of 300 ids at most, and one table of the nations, eight times over."""
+    who = X.table(s, sf, "customer").select(F.concat_ws("_", c("c_nationkey").cast("string"), F.floor(c("c_custkey") / 300).cast("string")).alias("id"), "c_custkey", F.concat_ws(" | ", F.lit(""), "c_name", "c_mktsegment", F.lit("")).alias("row"))
+    tables = who.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "row"))), lambda x: x["row"]), "\n").alias("rows")).select("id", F.concat(F.lit("# Customers\n| name | segment |\n|---|---|\n"), "rows").alias("text"))
     made = X.table(s, sf, "nation").crossJoin(s.range(8)).select(F.concat_ws(" | ", F.lit(""), "n_name", c("n_nationkey").cast("string"), F.lit("")).alias("row"), "n_nationkey", "id")
     text = made.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "n_nationkey", "row"))), lambda x: x["row"]), "\n").alias("rows")).select(F.lit("t").alias("id"), F.concat(F.lit("before\n| name | key |\n|---|---|\n"), "rows", F.lit("\nafter")).alias("text"))  # 200 rows
-    return _summary(C.chunk_markdown(text, "id"))
+    return _summary(C.chunk_markdown(text.unionByName(tables), "id"))
 
 
 # Heading items of three made-up documents: (doc, pos, value, height).
@@ -205,41 +230,73 @@ ITEMS = [
     ("m", 0, "Plain Heading Of Some Size", 22.0), ("m", 1, "Second Plain Heading Follows", 20.0), ("m", 2, "1. Numbered", 22.5), ("m", 3, "Overview", 30.0), ("m", 4, "Ab cd", 20.0), ("m", 5, "Data Types", 20.0), ("m", 6, "(1) paren", 20.0),
     ("n", 0, "(b) paren comes first", 12.0), ("n", 1, "Then A Plain Heading Comes", 12.0), ("n", 2, "Kết luận", 12.0), ("n", 3, "Acme2024 course", 12.0), ("n", 4, "1.2.3 numbered deep", 11.0),
 ]
-ITEM_SQL = "items as (select * from (values " + ", ".join("('{}', {}::bigint, '{}', {}::double)".format(d, p, v.replace("'", "''"), h) for d, p, v, h in ITEMS) + ") v(doc, pos, value, h))"
+FIXED_SQL = "fixed_items as (select * from (values " + ", ".join("('{}', {}::bigint, '{}', {}::double)".format(d, p, v.replace("'", "''"), h) for d, p, v, h in ITEMS) + ") v(doc, pos, value, h))"
+
+
+# Elements of a page as items: h1, b, a and footer are headings of heights 24, 16, 14 and 8, p is text. Numbers are put before some headings by turns.
+ELEMENT = "<(?:h1|b|a|p|footer)(?: [^>]*)?>[^<]+<"
+HEIGHTS = {"h1": 24.0, "b": 16.0, "a": 14.0, "footer": 8.0}
+NUMBERS = ["", "I. ", "1.2 ", "A. ", "", "(a) ", "Chapter ", "2.1.3 ", "", "IV.2 ", "• ", "7 "]
 
 
-def _items(s):
+def _elements(s, sf):
+    """(doc, pos, type, value, md, h): items of all pages."""
+    found = X.table(s, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ELEMENT), F.lit(0))).alias("pos", "m"))
+    tag = F.regexp_extract("m", "^<([a-z0-9]+)", 1)
+    text = F.trim(F.regexp_replace(F.regexp_extract("m", ">([^<]+)<", 1), r"\s+", " "))
+    height = F.lit(0.0)
+    for name, h in HEIGHTS.items():
+        height = F.when(tag == name, h).otherwise(height)
+    number = F.when(tag == "p", "").otherwise(F.element_at(F.array(*map(F.lit, NUMBERS)), ((c("page_id") + c("pos")) % len(NUMBERS) + 1).cast("int")))
+    kind = F.when(tag == "p", "text").otherwise("heading")
+    return found.where(text != "").select(F.concat(F.lit("p"), c("page_id").cast("string")).alias("doc"), c("pos").cast("long").alias("pos"), kind.alias("type"), F.concat(number, text).alias("value"), F.lit("").alias("md"), height.alias("h"))
+
+
+def _items(s, sf):
+    """Items of all pages, and the fixed ones."""
     rows = s.createDataFrame(ITEMS, "doc string, pos long, value string, h double")
-    return rows.select("doc", "pos", F.lit("heading").alias("type"), "value", F.lit("").alias("md"), "h")
+    return _elements(s, sf).unionByName(rows.select("doc", "pos", F.lit("heading").alias("type"), "value", F.lit("").alias("md"), "h"))
+
+
+def _heads(s, sf):
+    return _items(s, sf).where("type = 'heading'")
+
+
+_NUMBERS = "[" + ", ".join(f"'{n}'" for n in NUMBERS) + "]"
+_HEIGHTS = " ".join(f"when '{k}' then {h}::double" for k, h in HEIGHTS.items())
+ITEM_SQL = rf"""{FIXED_SQL}, found as (select page_id, i - 1 pos, m[i] m from (select page_id, m, unnest(range(1, len(m) + 1)) i from (select page_id, regexp_extract_all(html, '{ELEMENT}') m from pages))),
+elements as (select page_id, pos, regexp_extract(m, '^<([a-z0-9]+)', 1) tag, trim(regexp_replace(regexp_extract(m, '>([^<]+)<', 1), '\s+', ' ', 'g')) t from found),
+every_item as (select 'p' || page_id doc, pos, case tag when 'p' then t else {_NUMBERS}[((page_id + pos) % {len(NUMBERS)} + 1)::int] || t end as value, coalesce(case tag {_HEIGHTS} end, 0) h, tag = 'p' is_text from elements where t <> '' union all select doc, pos, value, h, false from fixed_items),
+items as (select doc, pos, value, h from every_item where not is_text)"""
 
 
 def md_numbering(s, sf):
-    return _items(s).select("doc", "pos", H.numbering(c("value")).alias("n")).select("doc", "pos", "n.kind", "n.depth", "n.label")
+    return _heads(s, sf).select("doc", "pos", H.numbering(c("value")).alias("n")).select("doc", "pos", "n.kind", "n.depth", "n.label")
 
 
 def md_title(s, sf):
-    return _items(s).select("doc", "pos", H.is_title(c("value")).alias("is_title"))
+    return _heads(s, sf).select("doc", "pos", H.is_title(c("value")).alias("is_title"))
 
 
 def md_ui_filter(s, sf):
-    return _items(s).select("doc", "pos", H.is_screen_text(c("value")).alias("is_screen"))
+    return _heads(s, sf).select("doc", "pos", H.is_screen_text(c("value")).alias("is_screen"))
 
 
 def md_height_levels(s, sf):
-    return M.height_levels(M.heading_facts(_items(s))).select("doc", "h", "level")
+    return M.height_levels(M.heading_facts(_items(s, sf))).select("doc", "h", "level")
 
 
 def md_levels(s, sf):
-    return M.heading_levels(_items(s)).select("doc", "pos", "level")
+    return M.heading_levels(_items(s, sf)).select("doc", "pos", "level")
 
 
 def md_gap_compress(s, sf):
-    return M.close_gaps(M.heading_levels(_items(s))).select("doc", "pos", "level")
+    return M.close_gaps(M.heading_levels(_items(s, sf))).select("doc", "pos", "level")
 
 
 def md_build(s, sf):
     texts = s.createDataFrame([("k", 2, "text", "A paragraph.", "", 0.0), ("k", 7, "table", "", "| a | b |", 0.0), ("m", 0, "text", "", "", 0.0)], "doc string, pos long, type string, value string, md string, h double")
-    both = _items(s).withColumn("pos", c("pos") * 2).unionByName(texts.withColumn("pos", c("pos") * 2 + 1))
+    both = _items(s, sf).withColumn("pos", c("pos") * 2).unionByName(texts.withColumn("pos", c("pos") * 2 + 1))
     return M.build_markdown(both).select("doc", F.md5("markdown").alias("markdown_md5"), F.size(F.split("markdown", "\n")).cast("long").alias("n_lines"))
 
 
@@ -263,11 +320,15 @@ anchored as (select *, coalesce(fixed, case when nth = 1 then case when kind = '
 runs as (select *, count(anchor) over (partition by doc order by pos) run from anchored),
 levels as (select doc, pos, least(first_value(anchor) over (partition by doc, run order by pos) + row_number() over (partition by doc, run order by pos) - 1, 6)::int as level from runs)"""
 
-P_SQL = "(values " + ", ".join(f"('{p}')" for p in PATHS) + ") v(path)"
+P_SQL = "(select regexp_replace(url, '[?#].*$', '') || [{}][(page_id % {} + 1)::int] path from pages union all select * from (values {}) v(path))".format(", ".join(f"'{e}'" for e in ENDS), len(ENDS), ", ".join(f"('{p}')" for p in PATHS))
 _EXT = r"lower(regexp_extract(path, '(\.[^./]+)$', 1))"
 _READ = " ".join(f"when '{k}' then '{v}'" for k, v in S.READERS.items())
 _BIG = "when size < {} then printf('%.2f {}', size / {}::double)"
 _SIZE = "case " + " ".join(_BIG.format(1 << (p + 10), u, 1 << p) for u, p in (("B", 0), ("KB", 10), ("MB", 20), ("GB", 30))) + f" else printf('%.2f TB', size / {1 << 40}::double) end"
+KIND_SQL = SAMPLE_SQL + r""", kinds as (select doc_id id, case doc_id % 4 when 1 then '## Part' || chr(10) || text when 2 then '```' || chr(10) || text || chr(10) || '```' when 3 then '```' || chr(10) || text else text end t from documents
+  union all select id - 100, t from samples)"""
+LINK_SQL = SAMPLE_SQL + f""", found as (select page_id, i - 1 i, m[i] v from (select page_id, m, unnest(range(1, len(m) + 1)) i from (select page_id, regexp_extract_all(html, '{LINK}', 1) m from pages))),
+  links as (select page_id * 100000 + i id, case (page_id + i) % 4 when 0 then '- [' || v || '](#' || v || ')' when 1 then (i + 1) || '. [' || v || '](#x)' when 2 then '* ' || v || ' .... ' || (i + 1) else '- ' || v end t from found union all select id - 100, t from samples)"""
 _TABLE = r"(len(list_filter(string_split({0}, chr(10)), lambda r: starts_with(trim(r), '|'))) >= 2 or len(list_filter(string_split({0}, chr(10)), lambda r: regexp_matches(r, '\S\s*\|\s*\S'))) >= 2 or len(list_filter(string_split({0}, chr(10)), lambda r: regexp_matches(trim(r), '^\+[-=+]+\+$'))) >= 2)"
 _CODE = "regexp_matches({0}, '(?s)```.*?```')"
 _BODY = r"length(trim(regexp_replace({0}, '(?m)^#{{1,6}}\s+.+$', '', 'g'))) >= 10"
@@ -276,7 +337,7 @@ SQL = {
     "src_route": f"select path, case {_EXT} {_READ} end reader from {P_SQL}",
     "src_meta": f"select path, string_split(path, '/')[-1] file_name, string_split(path, '.')[-1] file_type from {P_SQL}",
     "src_validate": f"select path, {_EXT} in ({', '.join(repr(x) for x in S.ALLOWED)}) allowed from {P_SQL}",
-    "fmt_size": f"select size, {_SIZE} shown from (select unnest({SIZES}::bigint[]) size)",
+    "fmt_size": f"select size, {_SIZE} shown from (select unnest({SIZES}::bigint[]) size union all select n_chars * (1024 ** (doc_id % 4))::bigint from documents)",
     "src_min_content": "select doc_id, n_chars from documents where length(trim(text)) >= 50",
     "src_error_rows": f"select case when n_chars > {S.MAX_BYTES} then 'too large' when length(trim(coalesce(text, ''))) < 50 then 'too short' else 'usable' end state, count(*) n from documents group by 1",
     "sink_chunks_json": X.with_views("chunks", body="""select chunk_id, md5('{"chunk_id":"' || chunk_id || '","token_count":' || token_count || ',"lang":"' || lang || '"}') json_md5 from chunks"""),
@@ -290,11 +351,11 @@ SQL = {
   n as (select *, regexp_extract(first_value(line) over (partition by page_id, block order by i), '^#\\s+(.*)$', 1) path from b)
   select page_id, block::bigint block, path, md5(string_agg(line, '  ' || chr(10) order by i)) text_md5 from n where line <> '' group by all""",
     "chunk_paragraphs": rf"with {MD_SQL} select page_id, i - 1 i, md5(p[i]) paragraph_md5 from (select page_id, p, unnest(range(1, len(p) + 1)) i from (select page_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') p from md))",
-    "chunk_type": rf"with {SAMPLE_SQL} select id, case when regexp_matches(trim(t), '^#{{1,6}}\s+.+') then 'heading' when {_TABLE.format('trim(t)')} then 'table' when {_CODE.format('t')} then 'code' else 'content' end chunk_type from samples",
+    "chunk_type": rf"with {KIND_SQL} select id, case when regexp_matches(trim(t), '^#{{1,6}}\s+.+') then 'heading' when {_TABLE.format('trim(t)')} then 'table' when {_CODE.format('t')} then 'code' else 'content' end chunk_type from kinds",
     "chunk_is_table": f"with {SAMPLE_SQL} select doc_id id, {_TABLE.format('text')} is_table from documents union all select id - 100, {_TABLE.format('t')} from samples",
-    "chunk_has_code": f"with {SAMPLE_SQL} select id, {_CODE.format('t')} has_code from samples",
+    "chunk_has_code": f"with {KIND_SQL} select id, {_CODE.format('t')} has_code from kinds",
     "chunk_drop_empty": f"with {SAMPLE_SQL} select id, {_BODY.format('t')} kept from samples union all select doc_id + 1000, {_BODY.format('text')} from documents",
-    "md_toc_line": rf"with {SAMPLE_SQL} select id, regexp_matches(trim(t), '^[-*]\s+\[.+\]\(#.+\)$') or regexp_matches(trim(t), '^\d+\.\s+\[.+\]\(#.+\)$') or regexp_matches(trim(t), '^[-*]\s+.+\.{{2,}}\s*\d+$') is_toc from samples",
+    "md_toc_line": rf"with {LINK_SQL} select id, regexp_matches(trim(t), '^[-*]\s+\[.+\]\(#.+\)$') or regexp_matches(trim(t), '^\d+\.\s+\[.+\]\(#.+\)$') or regexp_matches(trim(t), '^[-*]\s+.+\.{{2,}}\s*\d+$') is_toc from links",
     "chunk_parent": X.with_views("chunks", body=""", l as (select document_id, chunk_id, chunk_index, token_count % 5 as level from chunks)
   select a.chunk_id, a.level, (select max_by(b.chunk_id, b.chunk_index) from l b where b.document_id = a.document_id and b.chunk_index < a.chunk_index and b.level > 0 and (a.level = 0 or b.level < a.level)) parent_id from l a""").replace("\n, l as", ", l as"),
     "chunk_section_path": X.with_views("chunks", body=f", {PATH_SQL} select chunk_id, array_to_string(path, '/') path, path[-1] heading, len(path) as level from paths").replace("\n, paths", ", paths"),
@@ -310,7 +371,7 @@ SQL = {
     "md_gap_compress": f"with {LEVEL_SQL} select doc, pos, dense_rank() over (partition by doc order by level)::int as level from levels",
     "md_build": f"""with {LEVEL_SQL}, texts as (select * from (values ('k', 5, 'text', 'A paragraph.', ''), ('k', 15, 'table', '', '| a | b |'), ('m', 1, 'text', '', '')) v(doc, pos, type, value, md)),
   placed as (select doc, pos * 2 pos, case when level is null then value else repeat('#', level) || ' ' || value end line from items left join (select doc, pos, dense_rank() over (partition by doc order by level)::int as level from levels) using (doc, pos)
-    union all select doc, pos, case type when 'text' then value else md end || chr(10) from texts where value <> '' or md <> ''),
+    union all select doc, pos, case type when 'text' then value else md end || chr(10) from texts where value <> '' or md <> '' union all select doc, pos * 2, value || chr(10) from every_item where is_text),
   built as (select doc, string_agg(line, chr(10) order by pos) markdown from placed where line <> '' group by 1) select doc, md5(markdown) markdown_md5, len(string_split(markdown, chr(10))) n_lines from built""",
 }
 QUERIES = {name: (globals()[name], sql) for name, sql in SQL.items()}
