@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +32,22 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(path, True)
 
 
+def claim(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file with a text; false if it is there already, so of many writers one gets it."""
+    if exists(spark, path):
+        return False
+    where, files = _located(spark, path)
+    try:
+        out = files.create(where, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception) or "already exists" in str(error.java_exception):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Only a session in local mode gets one of its own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
