@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ledger import Ledger
+
 LANGUAGE = {"en": "Write in English.", "vi": "Viết bằng tiếng Việt."}
 HINTS = ["Ask about a key fact.", "Ask about a cause.", "Ask about a comparison.", "Ask about an application.", "Ask about a definition.", "Ask about an exception.", "Ask about a consequence."]
 ANSWER_LETTERS = "ABCD"
@@ -98,12 +100,17 @@ def generate(prompts: DataFrame, model: Model, key: str, prompt_col: str = "prom
 
 
 class Adapter:
-    """The five requests to a model, each over rows of passages and with a (key, output) row for each; ``output`` is the model's text."""
+    """The five requests to a model, each over rows of passages and with a (key, output) row for each; ``output`` is the model's text.
+
+    With a ledger, prompts that it has answers to are not asked again.
+    """
 
-    def __init__(self, model: Model, key: str):
-        self.model, self.key = model, key
+    def __init__(self, model: Model, key: str, ledger: Ledger | None = None):
+        self.model, self.key, self.ledger = model, key, ledger
 
     def _ask(self, rows: DataFrame, prompt: Column) -> DataFrame:
+        if self.ledger:
+            return self.ledger.ask(rows.select(self.key, prompt.alias("prompt")), self.model, self.key)
         return generate(rows.select(self.key, prompt.alias("prompt")), self.model, self.key)
 
     def multiple_choice(self, rows: DataFrame) -> DataFrame:

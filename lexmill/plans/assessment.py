@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import clean_choice, drop_trailing_commas, fenced_json
@@ -9,6 +12,8 @@ from lexmill.operators import cache as E
 from lexmill.operators import generation as N
 from lexmill.operators import planning as P
 from lexmill.operators import quiz as Q
+from lexmill.operators.ledger import Ledger
+from lexmill.storage import delete, shared_dir, staged
 from lexmill.streaming import tumbling_counts
 
 from . import fixtures as X
@@ -120,6 +125,21 @@ def mock_mcq(s, sf):
     return _passages(s, sf).select("doc_id", N.stand_in_question(c("passage")).alias("question"), F.lit("A").alias("answer"), F.lit("medium").alias("difficulty"))
 
 
+def llm_resume(s, sf):
+    """Short-answer prompts of all texts, asked through a ledger in two runs: the second asks for what the first, of even ids, has not."""
+    rows = _passages(s, sf).select("doc_id", N.short_prompt(c("passage"), c("lang")).alias("prompt"))
+    ledger = Ledger(s, f"{shared_dir(s)}/ledger-{uuid.uuid4().hex}")
+    ledger.ask(rows.where("doc_id % 2 = 0"), digests, "doc_id")
+    out = staged(ledger.ask(rows, digests, "doc_id").join(rows.withColumn("prompt_key", F.sha2("prompt", 256)).join(ledger.entries.groupBy("prompt_key").agg(F.count("*").alias("asked")), "prompt_key").select("doc_id", "asked"), "doc_id"), "resumed")
+    delete(s, ledger.path)
+    return out
+
+
+def digests(prompts):
+    """A stand-in for a model: the md5 of each prompt."""
+    return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
 def mock_batch(s, sf):
     return N.stand_in_batch(_passages(s, sf), "doc_id", "passage", 4)
 
@@ -315,6 +335,7 @@ SQL = {
     "prompt_batch": f"select doc_id, md5('Write ' || (doc_id % 5 + 1) || ' questions as a JSON array. ' || {_LANG} || chr(10) || 'Plan:' || chr(10) || '- Q1: easy' || chr(10) || 'Passage:' || chr(10) || text) prompt_md5 from documents",
     "prompt_distractor": f"""select doc_id, md5('Correct: right' || chr(10) || 'Candidates: [' || array_to_string(list_transform({_WORDS}[1:6], lambda w: '"' || w || '"'), ',') || ']' || chr(10) || 'Passage:' || chr(10) || text) prompt_md5 from documents""",
     "prompt_short": f"select doc_id, md5('Ask one short-answer question. ' || {_LANG} || chr(10) || 'Passage:' || chr(10) || text) prompt_md5 from documents",
+    "llm_resume": f"select doc_id, md5('Ask one short-answer question. ' || {_LANG} || chr(10) || 'Passage:' || chr(10) || text) as output, 1::bigint asked from documents",
     "prompt_tf": f"select doc_id, md5('Write one true or false statement. {N.LANGUAGE['vi']}' || chr(10) || 'Passage:' || chr(10) || text) prompt_md5 from documents",
     "llm_token_budget": "select questions, greatest(8192, least(600 * questions + 500, 16384))::bigint budget from (select unnest(range(1, 41)) questions union all select count(*) from orders group by o_custkey)",
     "json_fence": f"select id, {_FENCE} body from {_J}",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import preview
 from lexmill.operators import graph as G
+from lexmill.operators.keyed_store import KeyedTable
+from lexmill.storage import shared_dir, staged
 
 from . import fixtures as X
 
@@ -60,6 +64,41 @@ def graph_upsert(s, sf):
     return G.upsert(base, changes, "id", "seq")
 
 
+def _stored(s, rows, key):
+    return KeyedTable.create(s, f"{shared_dir(s)}/keyed-{uuid.uuid4().hex}", rows, key)
+
+
+def _taken(table):
+    """Rows of a table that is dropped."""
+    out = staged(table.rows, "keyed-result")
+    table.drop()
+    return out
+
+
+def graph_store_upsert(s, sf):
+    """Texts stored by id; those of even ids are written again in capitals, some with an earlier number that loses."""
+    docs = X.table(s, sf, "documents")
+    changes = docs.where("doc_id % 2 = 0").select("doc_id", F.upper(F.md5("text")).alias("mark"), F.when(F.col("doc_id") % 10 == 0, 0).otherwise(2).cast("long").alias("seq"))
+    added = changes.select((-1 - F.col("doc_id")).alias("doc_id"), "mark", "seq")
+    return _taken(_stored(s, docs.select("doc_id", F.md5("text").alias("mark"), F.lit(1).cast("long").alias("seq")), "doc_id").upsert(changes.unionByName(changes).unionByName(added.unionByName(changes.withColumn("seq", F.lit(-1).cast("long")))), "seq"))
+
+
+def graph_store_delete(s, sf):
+    """What is left of stored chunks and questions without the chunks whose vec_id is divisible by 50."""
+    chunks, questions = X.chunks(s, sf).select("chunk_id", "vec_id"), X.questions(s, sf).select("question_id", "chunk_id")
+    gone = chunks.where("vec_id % 50 = 0").select("chunk_id")
+    left = _taken(_stored(s, chunks, "chunk_id").delete(gone)).select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"))
+    asked = _taken(_stored(s, questions, "question_id").delete(questions.join(gone, "chunk_id", "left_semi")))
+    return left.unionByName(asked.select(F.lit("question").alias("kind"), F.col("question_id").cast("string").alias("id")))
+
+
+def graph_store_merge(s, sf):
+    """Different texts stored with the id that brought them: first those of even ids, then the others, which change nothing that is there."""
+    docs = X.table(s, sf, "documents").select(F.md5("text").alias("text_md5"), "doc_id")
+    first = docs.where("doc_id % 2 = 0").groupBy("text_md5").agg(F.min("doc_id").alias("doc_id"))
+    return _taken(_stored(s, first, "text_md5").insert(docs.where("doc_id % 2 = 1"), keep_first=True))
+
+
 def graph_edges(s, sf):
     pairs = X.chunks(s, sf).select(F.col("section_id").alias("src"), F.col("chunk_id").alias("dst"))
     pairs = pairs.unionByName(pairs).unionByName(s.createDataFrame([("nowhere", "x")], "src string, dst string"))
@@ -201,6 +240,10 @@ SQL = {
     "graph_cascade_delete": W("docs", "sections", "questions", body=f"""select 'documents' kind, count(*) n from docs where id <> '{DOC}' union all select 'sections', count(*) from sections where document_id <> '{DOC}' union all select 'chunks', count(*) from chunks where document_id <> '{DOC}'
   union all select 'questions', count(*) from questions join chunks using (chunk_id) where document_id <> '{DOC}'"""),
     "graph_orphans": W("mentions", body="select concept_id from concepts where concept_id not in (select concept_id from mentions)"),
+    "graph_store_upsert": """select doc_id, case when doc_id % 2 = 0 and doc_id % 10 <> 0 then upper(md5(text)) else md5(text) end mark, case when doc_id % 2 = 0 and doc_id % 10 <> 0 then 2 else 1 end::bigint seq from documents
+  union all select -1 - doc_id, upper(md5(text)), case when doc_id % 10 = 0 then 0 else 2 end from documents where doc_id % 2 = 0""",
+    "graph_store_delete": W("questions", body="select 'chunk' kind, chunk_id id from chunks where vec_id % 50 <> 0 union all select 'question', question_id::varchar from questions q where chunk_id not in (select chunk_id from chunks where vec_id % 50 = 0)"),
+    "graph_store_merge": "select md5(text) text_md5, coalesce(min(doc_id) filter (doc_id % 2 = 0), min(doc_id)) doc_id from documents group by 1",
     "graph_concept_merge": W("mentions", body="select concept_id, min_by(chunk_id, vec_id) first_chunk, min(vec_id) seq from mentions join chunks using (chunk_id) group by 1"),
     "graph_unique_check": "select md5(text) text_md5, count(*) n from documents group by text having count(*) > 1",
     "graph_path_string": W("chunks", body="select chunk_id, document_id || ' > ' || lang path_string, lang last_part from chunks"),
