@@ -15,6 +15,7 @@ from lexmill.operators import quiz as Q
 from lexmill.operators.ledger import Ledger
 from lexmill.storage import delete, shared_dir, staged
 from lexmill.streaming import tumbling_counts
+from lexmill.streaming.recency import cached
 
 from . import fixtures as X
 
@@ -277,6 +278,21 @@ def cache_ttl(s, sf):
     return E.live_entries(puts, F.lit("2024-01-30").cast("timestamp"), ttl=86400, capacity=50).select("key", c("at").cast("timestamp").alias("at"))
 
 
+CACHE_ROOM, CACHE_TTL = 20, 6 * 3600
+
+
+def cache_requests(s, sf):
+    """All events as requests: errors and a third of the clicks write what the event holds, others read; keys are users."""
+    rows = X.table(s, sf, "events")
+    write = (c("event_type") == "error") | ((c("event_type") == "click") & (c("event_id") % 3 == 0))
+    return rows.select(c("user_id").cast("string").alias("key"), c("ts").cast("timestamp").alias("at"), c("event_id").alias("seq"), F.when(write, c("props")).alias("value"))
+
+
+def cache_recency(s, sf):
+    """Hits, misses and entries driven out, of a cache with one order of use."""
+    return cached(cache_requests(s, sf), CACHE_ROOM, CACHE_TTL, shards=1)
+
+
 def ext_tumbling_counts(s, sf):
     return tumbling_counts(X.table(s, sf, "events"), "ts", "1 day", "event_type").select(c("start").cast("timestamp").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
@@ -350,6 +366,7 @@ SQL = {
     "cache_split": "select doc_id, case when text in (select text from documents where doc_id in (select vec_id from embeddings)) then 'hit' else 'miss' end state from documents",
     "cache_encode": "select doc_id, length(text)::double as value from documents",
     "cache_stats": "select hits, misses, printf('%.2f%%', 100.0::double * hits / (hits + misses)) hit_rate from (select count(*) filter (hit) hits, count(*) filter (not hit) misses from (select text in (select text from documents where doc_id in (select vec_id from embeddings)) hit from documents))",
+    "cache_recency": None,
     "cache_ttl": "select key, last_put as \"at\" from (select user_id::varchar as key, max(ts) last_put from events group by 1) where last_put >= timestamp '2024-01-30' - interval 1 day order by last_put desc, key limit 50",
     "ext_tumbling_counts": "select date_trunc('day', ts) as start, event_type, count(*) n, round(sum(value), 2) total from events group by all",
 }
