@@ -40,10 +40,24 @@ TEXTS = [
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    # Other versions and families, so that a text of theirs meets its own name.
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("MPL-1.0", "Mozilla Public License Version 1.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GFDL-1.1", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("Artistic-1.0", "The \"Artistic License\""),
+    ("Artistic-2.0", "The Artistic License 2.0"),
 ]
 
 # The notice that the GNU licences ask for, with each licence's name and version.
-_GNU = [("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3")]
+_GNU = [("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"), ("GPL-1.0", "GNU General Public License", "1"), ("LGPL-2.0", "GNU Library General Public License", "2")]
 _GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
 _GNU_LINE = "This work is licensed under the {0}, version {1}."
 
@@ -62,6 +76,12 @@ NOTICES = [
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. Unauthorized copying is prohibited. Proprietary and confidential."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Artistic-1.0", "Released under the Artistic License."),
+    ("MPL-1.1", "Licensed under the Mozilla Public License, version 1.1."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("GFDL-1.1", "This work is licensed under the GNU Free Documentation License, version 1.1."),
+    ("GFDL-1.2", "This work is licensed under the GNU Free Documentation License, version 1.2."),
+    ("GFDL-1.3", "This work is licensed under the GNU Free Documentation License, version 1.3."),
 ]
 
 # Parts of Creative Commons licences, and identifiers of the SPDX list.

@@ -14,6 +14,8 @@ from .license_texts import all_templates
 TEMPLATES = all_templates()
 #: A line or paragraph that may be a licence header.
 HINT = r"(?i)licen[sc]|copyright|spdx|public domain|creative commons|rights reserved|redistribution|permission is hereby|permission to use|neither the name|software is provided"
+#: A line or paragraph that says which licence does not hold is no header.
+NEGATED = r"(?i)\bnot\s+(\w+\s+){0,2}(licen[sc]ed|released|available)\s+under\b"
 #: Lines without letters or digits part paragraphs, so that headers inside comment marks fall apart too.
 PARAGRAPH = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 #: Base names of licence files.
@@ -71,7 +73,7 @@ def best_template(units: DataFrame, templates: list[tuple[str, str]] | None = No
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, path, license, score, origin) of every row of ``files``.
 
-    Compared with the templates are a text's lines and paragraphs that hold a hint, all its hinted paragraphs
+    Compared with the templates are a text's lines and paragraphs that hold a hint and no negation, all these paragraphs
     together, and, at ``file_threshold`` unless the name is that of a licence file, the whole text. origin 'file': the
     whole text meets a template, or the row has such a name; 'header': another part does; 'inherited': none does, and
     the nearest directory at or above its own that holds a licence file has one (several there: the highest score, then
@@ -83,8 +85,9 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     # one scan of the texts: rows get a number, and only those with a hint keep their text
     rows = staged(read.select("doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), named.alias("named"), F.monotonically_increasing_id().alias("k"), F.when(F.col("text").rlike(HINT) | named, F.col("text")).alias("text")), "files")
     hinted = rows.where("text is not null").select("k", "named", "text")
-    parts = F.filter(F.split("text", PARAGRAPH), lambda x: x.rlike(HINT))
-    units = hinted.select("k", "named", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), lambda x: x.rlike(HINT)), parts, F.array(F.array_join(parts, "\n"))))).alias("unit"), F.lit(2).alias("rank"))
+    header = lambda x: x.rlike(HINT) & ~x.rlike(NEGATED)
+    parts = F.filter(F.split("text", PARAGRAPH), header)
+    units = hinted.select("k", "named", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), header), parts, F.array(F.array_join(parts, "\n"))))).alias("unit"), F.lit(2).alias("rank"))
     units = units.unionByName(hinted.select("k", "named", F.col("text").alias("unit"), F.lit(1).alias("rank")))
     units = units.withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit"), "least": F.when((F.col("rank") == 2) | F.col("named"), threshold).otherwise(file_threshold)})
     # a part that many rows share is scored once
@@ -109,7 +112,7 @@ def oracle(source: str = "documents", path: str = "source || '/' || lang || '/'
     """DuckDB SQL for ``scan_licenses`` over a table with unique doc_id, and no null there, in source or lang."""
     quoted = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(TEMPLATES))
     hint, name = HINT.removeprefix("(?i)"), FILE_NAME.removeprefix("(?i)")
-    hits = f"lambda x: regexp_matches(x, '{hint}', 'i')"
+    hits = f"lambda x: regexp_matches(x, '{hint}', 'i') and not regexp_matches(x, '{NEGATED}')"
     return f"""
 with tpl(t, license, text) as (values {quoted}),
 tt as (select t, license, unnest(regexp_extract_all(lower(text), '{TERM}')) term from tpl),

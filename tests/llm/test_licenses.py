@@ -3,9 +3,11 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import pytest
+
 from lexmill.llm import common
 from lexmill.llm.license_texts import TEXTS
-from lexmill.llm.licenses import HINT, TEMPLATES, scan_licenses
+from lexmill.llm.licenses import HINT, NEGATED, TEMPLATES, scan_licenses
 
 
 def brute(rows, threshold=0.6, file_threshold=0.9):
@@ -26,14 +28,15 @@ def brute(rows, threshold=0.6, file_threshold=0.9):
                 got.append((name == "Proprietary", -c, name, rank))
         return got
 
-    hint = re.compile(HINT)
+    hinted = re.compile(HINT)
+    hint = type("Header", (), {"search": staticmethod(lambda x: hinted.search(x) and not re.search(NEGATED, x))})
     name = re.compile(r"^(licen[sc]e|copying|copyright|unlicense)([-._].*)?$", re.I)
     own = []
     for _, path, text in rows:
         text = text or ""
         named = bool(path and name.search(path.split("/")[-1]))
         got = []
-        if named or hint.search(text):
+        if named or hinted.search(text):
             parts = [p for p in re.split(r"\n(?:[^\w\n]*\n)+", text) if hint.search(p)]
             got = best(text, threshold if named else file_threshold, 1)
             for unit in {x for x in text.split("\n") if hint.search(x)} | set(parts) | {"\n".join(parts)}:
@@ -89,6 +92,27 @@ def test_texts_that_are_no_templates(spark):
     assert got == [("MIT", "file"), ("MIT", "inherited"), ("BSD-3-Clause", "file"), ("BSD-3-Clause", "header"), ("Apache-2.0", "header"), ("GPL-3.0-or-later", "header"), ("GPL-3.0", "file"), ("GPL-3.0", "inherited"), ("Proprietary", "header"), ("CC-BY-NC-4.0", "header"), (None, None), ("MIT", "header")]
 
 
+PUBLIC = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause",
+}
+
+
+def test_public_texts_name_themselves_or_nothing(spark):
+    there = [(f, want) for f, want in PUBLIC.items() if Path("/usr/share/common-licenses", f).exists()]
+    if not there:
+        pytest.skip("no public licence texts on this machine")
+    got = scan(spark, [(f"{f}/LICENSE", Path("/usr/share/common-licenses", f).read_text(errors="replace")) for f, _ in there])
+    named = {f: g[0] for (f, _), g in zip(there, got, strict=True)}
+    assert {f: n for f, n in named.items() if n not in (None, PUBLIC[f])} == {}
+    assert sum(n is not None for n in named.values()) >= len(there) - 2
+
+
+def test_negated_lines_give_none(spark):
+    got = scan(spark, [("a/x", "This code is not licensed under the MIT License."), ("b/x", "It is not made available under the Apache License, Version 2.0."), ("c/x", "Not released under GPL.\nReleased under the MIT License.")])
+    assert got == [(None, None), (None, None), ("MIT", "header")]
+
+
 def test_hot_directories(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_LEAST", 1)
     assert scan(spark, [("a/LICENSE", "MIT License"), ("a/x", ""), ("a/y", None), ("a/b/z", ""), ("c/d", "")]) == [("MIT", "file"), ("MIT", "inherited"), ("MIT", "inherited"), ("MIT", "inherited"), (None, None)]
