@@ -20,6 +20,7 @@ _ROMAN = r"^([IVXLCDMivxlcdm]+)"
 ROMAN_TO_20 = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX".split()
 
 
+# The patterns of the five kinds of numbers below, which have to match the same headings. TITLES unites several lists of opening words; the answer is the same.
 def numbering(text: Column) -> Column:
     """Struct (kind, depth, label): roman 1, roman_arabic 2, decimal by its parts, letter 1, parenthetical 3; nulls for none."""
     body = F.regexp_replace(F.trim(text), r"^\[[\w\s]+\]\s*", "")

@@ -23,6 +23,7 @@ def mark(text: Column) -> Column:
     return F.substring(F.md5(text), 1, 8)
 
 
+# The sentences of stand-in questions below, which output has to equal.
 def stand_in_question(passage: Column) -> Column:
     return F.concat(F.lit("What is the main concept in this passage? (mock-"), mark(passage), F.lit(")"))
 
