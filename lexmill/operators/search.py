@@ -82,13 +82,27 @@ def bm25(index: LexicalIndex, query_terms: list[str]) -> DataFrame:
     times = index.terms.sparkSession.createDataFrame([(t, float(query_terms.count(t))) for t in sorted(set(query_terms))], "term string, times double")
     weights = index.terms.where(mine).join(F.broadcast(times), "term")  # a row a query term
     hits = index.postings.where(mine).join(weights, [*scope, "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy(*scope, key).agg(F.sum(part).alias("raw"))
+    scored = hits.groupBy(*scope, key).agg(F.sum(_impact()).alias("raw"))
     best = scored.groupBy(*scope).agg(F.max("raw").alias("best"))
     scored = scored.join(best, scope) if scope else scored.crossJoin(F.broadcast(best))
     return scored.select(*scope, key, (F.col("raw") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)).alias("bm25"))
 
 
+def bm25_each(chunks: DataFrame, asked: DataFrame, scope: list[str], key: str = "chunk_id") -> DataFrame:
+    """(scope..., key, bm25) as ``bm25``, but with a query for each scope. asked: (scope..., terms), repeated terms count again."""
+    posts = staged(postings(chunks, key, scope=scope), "postings")
+    weights = term_weights(posts, corpus_stats(chunks, scope=scope), scope)
+    wanted = asked.select(*scope, F.explode("terms").alias("term")).groupBy(*scope, "term").agg(F.count("*").alias("times"))
+    hits = posts.join(wanted.join(weights, [*scope, "term"]), [*scope, "term"])
+    scored = hits.groupBy(*scope, key).agg(F.sum(_impact()).alias("raw"))
+    best = scored.groupBy(*scope).agg(F.max("raw").alias("best"))
+    return scored.join(best, scope).select(*scope, key, (F.col("raw") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)).alias("bm25"))
+
+
+def _impact() -> Column:
+    return F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def fuse(semantic: DataFrame, lexical: DataFrame, weight: float = 0.7, key: str = "chunk_id", how: str = "full") -> DataFrame:
     """(key, semantic_score, bm25_score, hybrid_score): weighted sum over the full outer join, missing scores 0."""
     both = semantic.join(lexical, key, how).select(key, F.round(F.coalesce("score", F.lit(0.0)), 6).alias("semantic_score"), F.round(F.coalesce("bm25", F.lit(0.0)), 6).alias("bm25_score"))

@@ -12,6 +12,7 @@ from lexmill.operators import cache as E
 from lexmill.operators import generation as N
 from lexmill.operators import planning as P
 from lexmill.operators import quiz as Q
+from lexmill.operators import selection as L
 from lexmill.operators.ledger import Ledger
 from lexmill.storage import delete, shared_dir, staged
 from lexmill.streaming import tumbling_counts
@@ -77,6 +78,22 @@ def quiz_main(s, sf):
     return made.questions
 
 
+def _wishes(s, sf):
+    """A prompt for two of three texts: eight words of its own from the ninth on, or the first eight words of a benchmark item."""
+    few = lambda text, start: F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), start, 8), " ")
+    docs, items = X.table(s, sf, "documents"), X.table(s, sf, "benchmark")
+    rows = docs.select("doc_id", few(c("text"), 9).alias("own")).crossJoin(F.broadcast(items.agg(F.count("*").alias("n")))).withColumn("item_id", c("doc_id") % c("n"))
+    rows = rows.join(items.select("item_id", few(c("text"), 1).alias("other")), "item_id", "left")
+    return rows.select("doc_id", F.when(c("doc_id") % 3 == 0, c("own")).when(c("doc_id") % 3 == 1, c("other")).alias("prompt"))
+
+
+def quiz_prompted(s, sf):
+    """The main path for every text with prompts: what each prompt is judged to be, and what is selected."""
+    made = Q.make_quiz(X.table(s, sf, "documents"), {"easy": 3, "medium": 3, "hard": 2, "single": 4, "multiple": 4}, F.lit(10.0), prompts=_wishes(s, sf))
+    asked = made.questions.groupBy("document_id").agg(F.count("*").alias("questions"))
+    return L.selection_summary(made.selected).join(made.relevance.select("document_id", "strategy", "relevance", "confidence", "is_relevant"), "document_id", "left").join(asked, "document_id", "left")
+
+
 # Answers as models give them, and option texts with their letters.
 ANSWERS = [(1, "a", True), (2, " B ,c", True), (3, "b,d,x,b", False), (4, "", True), (5, "z", False), (6, "D,A", False)]
 CHOICES = ["A) first", "b. second", "C", "d:x", "E) other", "A-", "Ab text", " A] spaced ", "plain"]
@@ -357,7 +374,7 @@ SQL = {
     "json_fence": f"select id, {_FENCE} body from {_J}",
     "json_fix_commas": f"select id, regexp_replace(t, ',(\\s*[}}\\]])', '\\1', 'g') fixed from {_J}",
     "json_parse": "select event_id, json_extract(props, '$.k')::bigint k from events",
-    "quiz_main": None,
+    "quiz_main": None, "quiz_prompted": None,
     "json_repair": f"""with o as (select doc_id id, {_QUESTION.format(0)} a, {_QUESTION.format(1)} b from documents), fixed as (select * from (values {_REPAIRED}) v(id, r))
   select id, md5('[' || a || ', ' || b || ']') repaired_md5 from o union all select id::bigint, md5(r) from fixed""",
     "json_validate": """select doc_id id, md5(array_to_string(list_filter([case when doc_id % 3 > 0 then '0 ' || text end, case when (doc_id + 1) % 3 > 0 then '1 ' || text end], lambda x: x is not null), ',')) kept_md5 from documents
