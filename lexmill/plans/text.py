@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lexmill.functions import text as T
 from lexmill.operators import chunking as C
 from lexmill.operators import structure as M
 from lexmill.operators.ordered import previous_lower
+from lexmill.storage import delete, shared_dir, staged
 
 from . import fixtures as X
 
@@ -300,6 +303,24 @@ def md_build(s, sf):
     return M.build_markdown(both).select("doc", F.md5("markdown").alias("markdown_md5"), F.size(F.split("markdown", "\n")).cast("long").alias("n_lines"))
 
 
+def src_pages(s, sf):
+    """Page JSON of all pages, ten items a page and a file a document, some files broken: read back, told apart, and built into Markdown."""
+    items = _elements(s, sf).withColumn("page", F.floor(c("pos") / 10))
+    listed = items.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "value", "md", F.struct("h").alias("bBox")))).alias("items"))
+    pages = listed.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "items"))).alias("pages"))
+    kind, whole = F.substring("doc", 2, 20).cast("long") % 10, F.to_json(F.struct("pages"))
+    text = F.when(kind == 3, F.expr("substring(to_json(struct(pages)), 1, length(to_json(struct(pages))) div 2)")).when(kind == 5, '{"pages": []}').when(kind == 7, " ").when(kind == 9, '{"pages": "none"}').otherwise(whole)
+    folder = f"{shared_dir(s)}/page-json-{uuid.uuid4().hex}"
+    pages.select("doc", text.alias("value")).write.partitionBy("doc").option("lineSep", "\n").text(folder)
+    renamed = S.read_page_json(s, folder, suffix=".txt").withColumn("doc_id", F.regexp_extract("path", "doc=([^/]+)/", 1))
+    files = staged(renamed.select("doc_id", "doc", "error"), "page-docs")
+    delete(s, folder)
+    read = M.page_items(files.where("error is null").select("doc_id", c("doc.pages").alias("pages")), "doc_id")
+    size = read.groupBy("doc").agg(F.count("*").alias("n_items"))
+    built = M.build_markdown(read).select("doc", F.md5("markdown").alias("markdown_md5"))
+    return files.select(c("doc_id").alias("doc"), "error").join(size, "doc", "left").join(built, "doc", "left")
+
+
 _ROMANS = ", ".join(f"'{x}'" for x in H.ROMAN_TO_20)
 _WORDS = ", ".join(f"'{x}'" for x in H.SCREEN_WORDS)
 FACTS_SQL = rf"""{ITEM_SQL}, body as (select *, regexp_replace(trim(value), '^\[[\w\s]+\]\s*', '') b, trim(value) v from items),
@@ -363,6 +384,11 @@ SQL = {
     "section_metadata": X.with_views("chunks", body=f", {PATH_SQL}, g as (select document_id, path, min(chunk_index) first_index from paths group by all) select a.document_id, array_to_string(a.path, '/') path, a.first_index, array_to_string(b.path, '/') parent_path from g a left join g b on a.document_id = b.document_id and b.path = a.path[1 : len(a.path) - 1]").replace("\n, paths", ", paths"),
     "chunk_format": X.with_views("chunks", body="select chunk_id, document_id || '.md' file_name, chunk_index + 1 as position, section_id, length(text)::varchar length, 'None' embedding from chunks"),
     "chunk_pipeline": None, "chunk_merge": None, "chunk_split": None, "chunk_split_table": None,
+    "src_pages": f"""with {LEVEL_SQL}, named as (select 'p' || page_id doc, case page_id % 10 when 3 then 'not JSON' when 5 then 'no pages' when 7 then 'empty' when 9 then 'unexpected shape' end as error, count(*) n from elements where t <> '' group by all),
+  placed as (select doc, pos, case when level is null then value else repeat('#', level) || ' ' || value end line from items left join (select doc, pos, dense_rank() over (partition by doc order by level)::int as level from levels) using (doc, pos)
+    union all select doc, pos, value || chr(10) from every_item where is_text),
+  built as (select doc, md5(string_agg(line, chr(10) order by pos)) markdown_md5 from placed where line <> '' group by 1)
+  select doc, error, case when error is null then n end n_items, case when error is null then markdown_md5 end markdown_md5 from named left join built using (doc)""",
     "md_numbering": f"with {FACTS_SQL} select doc, pos, kind, depth, label from facts",
     "md_title": f"with {FACTS_SQL} select doc, pos, is_title from facts",
     "md_ui_filter": f"with {FACTS_SQL} select doc, pos, is_screen from facts",

@@ -44,10 +44,27 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), as_markdown(F.col("value")).alias("content"))
 
 
-def read_page_json(spark: SparkSession, path: str) -> DataFrame:
-    """(path, doc): files with the page JSON of an external parser; doc is null where it cannot be read."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", PAGE_JSON).alias("doc"))
+def read_page_json(spark: SparkSession, path: str, most: int = MAX_BYTES, suffix: str = ".json") -> DataFrame:
+    """(path, size, doc, error): every file with the suffix below a folder, the page JSON of an external parser; doc is null where error says why.
+
+    Errors: too large (such a file is listed and never opened), empty, not UTF-8, not JSON, unexpected shape (a field has another type than
+    PAGE_JSON), no pages. Fields that are not in PAGE_JSON are ignored, items of pages may be missing. Files are dealt to tasks by their sizes;
+    filters on size and path reach the listing, and without doc and error no file is read. A folder without such files gives no rows;
+    Spark's readers pass over files of no bytes, so these give none either. "empty" is a file of white space.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    large = files.where(F.col("length") > most).select("path", F.col("length").alias("size"), F.lit(None).cast(PAGE_JSON).alias("doc"), F.lit("too large").alias("error"))
+    text = files.where(F.col("length") <= most).select("path", F.col("length").alias("size"), F.col("content").cast("string").alias("text"))
+    valid = F.is_valid_utf8("text")
+    parsed = text.withColumn("valid", valid).withColumn("got", F.when(F.col("valid"), F.from_json("text", f"{PAGE_JSON[:-1]}, broken: string>", {"columnNameOfCorruptRecord": "broken"})))
+    whole = F.try_parse_json(F.when(F.col("valid"), F.col("text")))
+    error = (
+        F.when(~F.col("valid"), "not UTF-8").when(F.regexp_replace("text", r"\s+", "") == "", "empty").when(whole.isNull(), "not JSON")
+        .when(F.col("got.broken").isNotNull(), "unexpected shape").when(F.coalesce(F.size("got.pages"), F.lit(0)) <= 0, "no pages")
+    )
+    parsed = parsed.withColumn("error", error)
+    doc = F.when(F.col("error").isNull(), F.struct(F.col("got.pages").alias("pages")))
+    return parsed.select("path", "size", doc.alias("doc"), "error").unionByName(large)
 
 
 def with_errors(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
