@@ -11,6 +11,7 @@ from lexmill import sources as S
 from lexmill.functions import headings as H
 from lexmill.functions import text as T
 from lexmill.operators import chunking as C
+from lexmill.operators import long_text as D
 from lexmill.operators import structure as M
 from lexmill.operators.ordered import previous_lower
 from lexmill.storage import delete, shared_dir, staged
@@ -210,6 +211,11 @@ def chunk_pipeline(s, sf):
     return _summary(C.chunk_markdown(_md(s, sf), "page_id")).unionByName(_summary(C.chunk_markdown(_docs(s, sf), "doc_id").withColumn("doc", F.concat(F.lit("d"), "doc"))))
 
 
+def chunk_by_lines(s, sf):
+    """``chunk_pipeline`` by ranges of lines, whatever the length of a text."""
+    return _summary(D.chunk_long(_md(s, sf), "page_id")).unionByName(_summary(D.chunk_long(_docs(s, sf), "doc_id").withColumn("doc", F.concat(F.lit("d"), "doc"))))
+
+
 def chunk_merge(s, sf):
     return _summary(C.chunk_markdown(_md(s, sf), "page_id", stage="merge"))
 
@@ -383,7 +389,7 @@ SQL = {
     "section_ids": X.with_views("chunks", body=f", {PATH_SQL} select sha256(document_id || '|' || array_to_string(path, '|')) section_id, count(*) n, min(chunk_index) first_index from paths group by 1").replace("\n, paths", ", paths"),
     "section_metadata": X.with_views("chunks", body=f", {PATH_SQL}, g as (select document_id, path, min(chunk_index) first_index from paths group by all) select a.document_id, array_to_string(a.path, '/') path, a.first_index, array_to_string(b.path, '/') parent_path from g a left join g b on a.document_id = b.document_id and b.path = a.path[1 : len(a.path) - 1]").replace("\n, paths", ", paths"),
     "chunk_format": X.with_views("chunks", body="select chunk_id, document_id || '.md' file_name, chunk_index + 1 as position, section_id, length(text)::varchar length, 'None' embedding from chunks"),
-    "chunk_pipeline": None, "chunk_merge": None, "chunk_split": None, "chunk_split_table": None,
+    "chunk_pipeline": None, "chunk_by_lines": None, "chunk_merge": None, "chunk_split": None, "chunk_split_table": None,
     "src_pages": f"""with {LEVEL_SQL}, named as (select 'p' || page_id doc, case page_id % 10 when 3 then 'not JSON' when 5 then 'no pages' when 7 then 'empty' when 9 then 'unexpected shape' end as error, count(*) n from elements where t <> '' group by all),
   placed as (select doc, pos, case when level is null then value else repeat('#', level) || ' ' || value end line from items left join (select doc, pos, dense_rank() over (partition by doc order by level)::int as level from levels) using (doc, pos)
     union all select doc, pos, value || chr(10) from every_item where is_text),
