@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegralType
 
-from .common import keyed_text, shared_dir, text_slices, utf8
-from .word_cache import load_tokenizer, piece_table, space_pieces
+from .common import keyed_text, shared_dir, text_slices
+from .word_cache import PieceTable, byte_list, load_tokenizer, piece_table, space_pieces
 
 MAGIC = b"LEXTOKEF"
 FOOTER = struct.Struct("<QQQQqQQ")  # ids, documents, documents with null id, id width, least id, sizes of both codes
@@ -150,6 +151,19 @@ class ShardReader:
         return [None] * nulls + (self.doc_ids.slice(max(0, first - self.nulls), count - nulls) + self.least).tolist()
 
 
+def encode_texts(texts: pa.Array, lead: PieceTable, rest: PieceTable) -> list[bytes]:
+    """Packed ids of each text: of its first piece from ``lead``, of the pieces behind a space from ``rest``."""
+    lists = space_pieces(texts)
+    n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    first, flat = np.cumsum(n) - n, lists.flatten()
+    spaced = np.ones(len(flat), bool)
+    spaced[first] = False
+    heads, tails = lead.encode(flat.take(pa.array(first))), rest.encode(flat.filter(pa.array(spaced)))
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(tails).to_numpy())])[np.concatenate([[0], np.cumsum(n - 1)])].tolist()
+    data = memoryview(tails.buffers()[2] or b"")
+    return [x + data[s:e] for x, s, e in zip(byte_list(heads), ends, ends[1:], strict=False)]
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int, int]]:
     """Encode every whole text, write the shards, and return (uri, documents, ids, ids before it) of each.
 
@@ -174,11 +188,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         out = None
         for part in text_slices(batches):
             out = out or ShardWriter(f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.ids", width)
-            lists = [space_pieces(x) for x in utf8(part.column("text"))]
-            lead.learn({x[0] for x in lists})
-            rest.learn(set().union(*(x[1:] for x in lists)))
-            first, ids = lead.ids, rest.ids
-            out.add(part.column("doc_id").to_pylist(), [first[x[0]] + b"".join(map(ids.__getitem__, x[1:])) + end for x in lists])
+            out.add(part.column("doc_id").to_pylist(), [x + end for x in encode_texts(part.column("text"), lead, rest)])
         if out:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "uri": [f"{folder}/{out.path.rpartition('/')[2]}"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})

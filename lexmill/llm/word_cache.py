@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Collection
 from functools import lru_cache
 from string import ascii_letters
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries that a worker's table holds. Beyond it, pieces are forgotten that the current batch does not use and that
 #: no batch has met again; those met again stay, up to half the table.
 TABLE_ENTRIES = 600_000
+#: Runs of signs behind words that a table remembers; all are forgotten beyond it.
+SIGN_ENTRIES = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -32,6 +37,8 @@ def load_tokenizer(path: str):
 
 #: Signs behind a word that make one pre-token of their own.
 _TRAIL = b".,;:!?#*$%&|>"
+#: UTF-8 of a word of Latin-1 letters with such signs behind it.
+_WORD = rb"^(?P<core>(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(?P<trail>[.,;:!?#*$%&|>]*)$"
 
 
 def byte_letters() -> list[str]:
@@ -71,13 +78,31 @@ class PieceTable:
         if not text.isalpha() or not (text.isascii() or max(text) <= "\u024f"):
             return None
         mapped = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(self.lead + mapped)]
-        trail = piece[len(core) :]
+        return [t.id for t in self.model.tokenize(self.lead + mapped)] + self.signs(piece[len(core) :])
+
+    def signs(self, trail: bytes) -> list[int]:
         if trail not in self.trails:
+            if len(self.trails) >= SIGN_ENTRIES:
+                self.trails = {b"": []}
             self.trails[trail] = [t.id for t in self.model.tokenize(trail.decode())]
-        return ids + self.trails[trail]
-
-    def learn(self, pieces: set[bytes]) -> None:
+        return self.trails[trail]
+
+    def encode(self, pieces: pa.Array) -> pa.Array:
+        """Packed ids of each piece. Arrow finds the distinct pieces and splits words from the signs behind them, so that a word is learnt once, whatever signs follow it."""
+        coded = pieces.dictionary_encode()
+        whole = coded.dictionary
+        parts = pc.extract_regex(whole, _WORD)
+        split = pc.and_(parts.is_valid(), self.normalizer is None)  # a normaliser might change what the signs join
+        cores = pc.if_else(split, parts.field("core"), whole).dictionary_encode()
+        trails = pc.if_else(split, parts.field("trail"), pa.scalar(b"", whole.type)).dictionary_encode()
+        words = byte_list(cores.dictionary)
+        self.learn(words)
+        ids = pa.array([self.ids[x] for x in words], pa.large_binary()).take(cores.indices)
+        ends = pa.array([np.array(self.signs(x), self.dtype).tobytes() for x in byte_list(trails.dictionary)], pa.large_binary()).take(trails.indices)
+        return pc.binary_join_element_wise(ids, ends, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+
+    def learn(self, pieces: Collection[bytes]) -> None:
+        """Enter the ids of distinct pieces."""
         new, known = [], []
         for piece in pieces:  # set operators would go through the whole table
             (known if piece in self.ids else new).append(piece)
@@ -113,10 +138,21 @@ def piece_table(path: str, dtype: str, spaced: bool = False, decode: bool = Fals
 
 #: A space before which a byte-level pre-tokenizer may not cut: white space or the end follows. First bytes of
 #: two- and three-byte white space count as white space.
-_NO_CUT = re.compile(rb" (?=[\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\Z)")
+_NO_CUT = rb" (?:[\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\z)"
 _CUT = re.compile(rb" (?![\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\Z)")
 
 
-def space_pieces(data: bytes) -> list[bytes]:
-    """Pieces of a UTF-8 text between single spaces that the next piece's first token takes along."""
-    return _CUT.split(data) if _NO_CUT.search(data) else data.split(b" ")
+def byte_list(array: pa.Array) -> list[bytes]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def space_pieces(texts: pa.Array) -> pa.Array:
+    """Lists of the pieces of UTF-8 texts between single spaces that the next piece's first token takes along; null is empty."""
+    data = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).fill_null(b"")
+    lists = pc.split_pattern(data, b" ")
+    held = pc.match_substring_regex(data, _NO_CUT)
+    if some := byte_list(data.filter(held)):
+        place = np.arange(len(lists))
+        place[held.to_numpy(zero_copy_only=False)] = len(lists) + np.arange(len(some))
+        lists = pa.concat_arrays([lists, pa.array([_CUT.split(x) for x in some], lists.type)]).take(pa.array(place))
+    return lists

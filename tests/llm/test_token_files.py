@@ -3,14 +3,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexmill.llm import token_files
-from lexmill.llm.token_files import EliasFano, ShardReader, ef_encode, token_file_index, write_token_files
+from lexmill.llm import token_files, word_cache
+from lexmill.llm.token_files import EliasFano, ShardReader, ef_encode, encode_texts, token_file_index, write_token_files
+from lexmill.llm.word_cache import PieceTable
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
@@ -32,6 +34,40 @@ def test_space_is_near_minimal():
     assert 8 * len(ef_encode(ends)) / len(ends) < 2.6 + np.log2(ends[-1] / len(ends))
 
 
+LEAD, REST = PieceTable(PATH, "<u2"), PieceTable(PATH, "<u2", True)
+PARTS = st.sampled_from(["the", "Ça", "×", "÷", "é", "ÿ", "ı", "ĳ", "漢字", "’", "”", "«", "'s", "12", "<|endoftext|>", "<|endoftext", "|>", ".", "...", ",", "###", "\n", "\t", "\x1c", "\xa0", "\u3000", " ", " ", " ", "  ", "e\u0301", "😀", "\x00"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.lists(PARTS, max_size=12).map("".join) | st.text(max_size=8), max_size=8), st.sampled_from([pa.string(), pa.large_string()]), st.integers(0, 2))
+def test_texts_encode_as_the_library_does(texts, kind, first):
+    got = encode_texts(pa.array(texts, kind).slice(first), LEAD, REST)
+    assert got == [np.array(TOK.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in texts[first:]]
+
+
+def test_a_word_is_tokenized_once_whatever_signs_follow():
+    table, words, calls = PieceTable(PATH, "<u2", True), [f"{a}{b}" for a in ("Über", "stein", "lang") for b in "abcdefgh"], []
+
+    class Counted:
+        def tokenize(self, text):
+            calls.append(text)
+            return TOK.model.tokenize(text)
+
+    table.model = Counted()
+    text = " ".join(f"x {w} {w}, {w}. {w}!? {w}###" for w in words)
+    assert encode_texts(pa.array([text] * 3), LEAD, table) == [np.array(TOK.encode(text, add_special_tokens=False).ids, "<u2").tobytes()] * 3
+    assert len(calls) == len(set(calls)) == len(words) + 5  # x behind a space and four kinds of signs are the rest
+    assert len(table.ids) == len(words) + 1
+
+
+def test_runs_of_signs_do_not_pile_up(monkeypatch):
+    monkeypatch.setattr(word_cache, "SIGN_ENTRIES", 20)
+    table = PieceTable(PATH, "<u2", True)
+    text = " ".join(f"ab{a}{b}{c}" for a in ".,;:" for b in "!?#*" for c in "$%&|")
+    assert encode_texts(pa.array([text]), LEAD, table) == [np.array(TOK.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+    assert len(table.trails) <= 20 and len(table.ids) == 1
+
+
 def test_files(spark, tmp_path, monkeypatch):
     rng = random.Random(7)
     parts = ["the", " the", "  ", "\n", " \n x", "é", "漢字", "'s", "12", "<|endoftext|>", "  a", "　", " ’q", "\x1c ", "😀"]
