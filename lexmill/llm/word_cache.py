@@ -78,7 +78,8 @@ class PieceTable:
         if not text.isalpha() or not (text.isascii() or max(text) <= "\u024f"):
             return None
         mapped = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(self.lead + mapped)] + self.signs(piece[len(core) :])
+        ids = [t.id for t in self.model.tokenize(self.lead + mapped)]
+        return ids if len(core) == len(piece) else ids + self.signs(piece[len(core) :])
 
     def signs(self, trail: bytes) -> list[int]:
         if trail not in self.trails:
