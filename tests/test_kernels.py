@@ -97,6 +97,16 @@ def test_bounded_rounds_pick_as_the_whole_would(spark, monkeypatch):
         assert [r.chunk_index for r in got if r.document_id == d] == order
 
 
+def test_bounded_rounds_with_vectors_that_point_away(spark, monkeypatch):
+    """A row beyond the candidates of the first round gains by its distance from the first choice."""
+    rng = np.random.default_rng(8)
+    rows = [("a", f"a{i}", i, 10, float(s), v.tolist()) for i, (s, v) in enumerate(zip(rng.random(40).round(2), rng.standard_normal((40, 3)), strict=True))]
+    table = spark.createDataFrame(rows, "document_id string, chunk_id string, chunk_index long, token_count long, score double, embedding array<double>")
+    monkeypatch.setattr(selection, "CANDIDATES", 6)
+    got = [r.chunk_index for r in select_diverse(table, 9).orderBy("pick").collect()]
+    assert got == mmr_order(np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), 9)
+
+
 def test_many_headers_take_linear_time():
     text = "\n".join(f"{'#' * (1 + i % 6)} header {i}\nsome words of text below it" for i in range(20_000))
     began = time.time()
