@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -248,3 +249,30 @@ def test_encode(spark):
     got = {r.k: r.embedding for r in encode(rows, hashing_encoder(16), "k", F.col("t")).collect()}
     assert abs(sum(x * x for x in got["a"]) - 1) < 1e-12 and not any(got["b"]) and not any(got["c"]) and len(got["b"]) == 16
     assert encode(rows.limit(0), hashing_encoder(16), "k", F.col("t")).collect() == []
+
+
+def test_batched_search_takes_bounded_memory(spark, monkeypatch):
+    """The scores of a whole Arrow batch and all queries are never there at once, and many equal scores are no matter."""
+    import tracemalloc
+
+    from lexmill.operators import vectors
+
+    rng = np.random.default_rng(6)
+    rows = np.repeat(rng.standard_normal((50, 8)), 200, axis=0)
+    ids, matrix = np.arange(2000), rng.standard_normal((2000, 8))
+    taken = {}
+
+    def here(table, queries, kernel, schema, qid):
+        batch = pa.RecordBatch.from_pydict({"chunk_id": [f"k{i}" for i in range(len(rows))], "embedding": pa.array(list(rows))})
+        tracemalloc.start()
+        taken["rows"] = [x for found in kernel(iter([batch]), ids, matrix) for x in found.to_pylist()]
+        taken["peak"] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(vectors, "_every_block", here)
+    top_k_batch(spark.createDataFrame([], "chunk_id string, embedding array<double>"), None, 3)
+    assert taken["peak"] < 150e6 < 10_000 * 2000 * 8
+    scores = np.round(rows @ matrix[7], 6)
+    want = sorted((-x, f"k{i}") for i, x in enumerate(scores))[:3]
+    assert sorted((-x["score"], x["chunk_id"]) for x in taken["rows"] if x["qid"] == 7) == want
