@@ -16,6 +16,8 @@ from .ordered import RANGE, running
 
 #: Characters from which ``chunk_documents`` takes the way by ranges.
 LONG_FROM = 4 << 20
+#: Characters that a range of lines holds anyway: a text below is not worth being cut, as its lines would lie in one range.
+RANGE_FROM = 64 << 10
 FENCES = ("", "```", "~~~")
 _LINE = f"row long, doc string, at long, raw string, line string, level int, name string, mask int, kind int, {RANGE} int"
 _LEVELS = range(1, 7)

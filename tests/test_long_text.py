@@ -92,3 +92,22 @@ def test_parts_equal_the_plain_rules():
 
 def test_whole_tables_equal_the_kernel(spark):
     assert _rows(chunk_by_lines(spark, SF)) == _rows(chunk_pipeline(spark, SF))
+
+
+def test_short_texts_are_not_cut_into_lines(spark, monkeypatch):
+    """Only texts that fill a range go by lines; the rows are those of the whole texts wherever that begins."""
+    from lexmill.operators import long_text
+
+    given, cut = [], long_text.chunk_long
+
+    def spy(docs, id_col="doc_id", text_col="text", *args):
+        given.append(docs.select(F.min(F.length(text_col))).first()[0])
+        return cut(docs, id_col, text_col, *args)
+
+    monkeypatch.setattr(long_text, "chunk_long", spy)
+    want = sorted(map(tuple, chunk_pipeline(spark, SF).collect()))
+    for least in (4 << 10, 1 << 30):
+        monkeypatch.setattr(long_text, "RANGE_FROM", least, raising=False)
+        given.clear()
+        assert sorted(map(tuple, chunk_by_lines(spark, SF).collect())) == want
+        assert given and all(n is None or n >= least for n in given) and any(given) == (least < 1 << 30)
