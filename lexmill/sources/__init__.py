@@ -55,8 +55,13 @@ def read_page_json(spark: SparkSession, path: str, most: int = MAX_BYTES, suffix
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
     large = files.where(F.col("length") > most).select("path", F.col("length").alias("size"), F.lit(None).cast(PAGE_JSON).alias("doc"), F.lit("too large").alias("error"))
     text = files.where(F.col("length") <= most).select("path", F.col("length").alias("size"), F.col("content").cast("string").alias("text"))
+    return page_docs(text).select("path", "size", "doc", "error").unionByName(large)
+
+
+def page_docs(rows: DataFrame) -> DataFrame:
+    """``rows`` (text and others) with doc, as PAGE_JSON, and error, which says why doc is null."""
     valid = F.is_valid_utf8("text")
-    parsed = text.withColumn("valid", valid).withColumn("got", F.when(F.col("valid"), F.from_json("text", f"{PAGE_JSON[:-1]}, broken: string>", {"columnNameOfCorruptRecord": "broken"})))
+    parsed = rows.withColumn("valid", valid).withColumn("got", F.when(F.col("valid"), F.from_json("text", f"{PAGE_JSON[:-1]}, broken: string>", {"columnNameOfCorruptRecord": "broken"})))
     whole = F.try_parse_json(F.when(F.col("valid"), F.col("text")))
     error = (
         F.when(~F.col("valid"), "not UTF-8").when(F.regexp_replace("text", r"\s+", "") == "", "empty").when(whole.isNull(), "not JSON")
@@ -64,7 +69,18 @@ def read_page_json(spark: SparkSession, path: str, most: int = MAX_BYTES, suffix
     )
     parsed = parsed.withColumn("error", error)
     doc = F.when(F.col("error").isNull(), F.struct(F.col("got.pages").alias("pages")))
-    return parsed.select("path", "size", doc.alias("doc"), "error").unionByName(large)
+    return parsed.withColumn("doc", doc).drop("valid", "got", "text")
+
+
+def read_page_lines(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
+    """(doc_id, size, doc, error): page JSON of many documents a file, a line for each: its id, a tab, the JSON. Errors as in ``read_page_json``.
+
+    A file a document costs a listing, an opening and a removal each; lines are read in splits, however many documents there are.
+    """
+    line = spark.read.text(path, lineSep="\n").withColumn("tab", F.instr("value", "\t"))
+    rows = line.select(F.expr("substring(value, 1, tab - 1)").alias("doc_id"), F.expr("substring(value, tab + 1)").alias("text")).withColumn("size", F.octet_length("text").cast("long"))
+    large = rows.where(F.col("size") > most).select("doc_id", "size", F.lit(None).cast(PAGE_JSON).alias("doc"), F.lit("too large").alias("error"))
+    return page_docs(rows.where(F.col("size") <= most)).select("doc_id", "size", "doc", "error").unionByName(large)
 
 
 def with_errors(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
