@@ -100,3 +100,14 @@ def test_main_path_takes_prompts(spark):
     plain = make_quiz(docs, COUNTS, F.lit(10.0))
     assert plain.relevance is None
     assert plain.selected.where("document_id = '3'").select("chunk_id").exceptAll(quiz.selected.where("document_id = '3'").select("chunk_id")).count() == 0
+
+
+def test_scores_of_many_documents_store_no_postings(spark, monkeypatch):
+    """Terms of a chunk meet where the chunk is; repeated asked words count again, chunks without them give no row."""
+    from lexmill.operators import search
+
+    monkeypatch.delattr(search, "staged")
+    chunks = spark.createDataFrame([("a", "a0", "red red fox"), ("a", "a1", "blue fox"), ("a", "a2", "green owl"), ("a", "a3", None), ("a", "a4", "grey owl"), ("b", "b0", "red owl")], "document_id string, chunk_id string, text string")
+    asked = spark.createDataFrame([("a", ["red", "red", "fox", "none"]), ("c", ["red"])], "document_id string, terms array<string>")
+    got = {r.chunk_id: r.bm25 for r in search.bm25_each(chunks, asked, ["document_id"]).collect()}
+    assert got["a0"] == 1.0 and 0 < got["a1"] < 1 and set(got) == {"a0", "a1"}
